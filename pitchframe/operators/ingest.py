@@ -40,15 +40,20 @@ def numeric_profile(df: DataFrame) -> DataFrame:
     if not names:
         return schemas.empty(
             df.sparkSession,
-            T.StructType.fromDDL("column string, non_blank bigint, numeric bigint, integral boolean"),
+            schemas.table_schema("column string, non_blank bigint, numeric bigint, integral boolean"),
         )
+    entries = [(F.col(f"`{name}`"), i) for i, name in enumerate(names)]
+    # each text is parsed once; the aggregation then reads flags and numbers only
+    parsed = df.select(
+        *[(~is_blank(c)).alias(f"b{i}") for c, i in entries],
+        *[F.when(~is_blank(c), to_number(c)).alias(f"v{i}") for c, i in entries],
+    )
     counts = []
-    for i, name in enumerate(names):
-        number = F.when(~is_blank(F.col(f"`{name}`")), to_number(F.col(f"`{name}`")))
+    for _, i in entries:
         counts += [
-            F.count_if(~is_blank(F.col(f"`{name}`"))).alias(f"f{i}"),
-            F.count(number).alias(f"n{i}"),
-            F.coalesce(F.bool_and(number % 1 == 0), F.lit(True)).alias(f"i{i}"),
+            F.count_if(F.col(f"b{i}")).alias(f"f{i}"),
+            F.count(f"v{i}").alias(f"n{i}"),
+            F.coalesce(F.bool_and(F.col(f"v{i}") % 1 == 0), F.lit(True)).alias(f"i{i}"),
         ]
     rows = F.array(
         *[
@@ -61,7 +66,7 @@ def numeric_profile(df: DataFrame) -> DataFrame:
             for i, name in enumerate(names)
         ]
     )
-    return df.agg(*counts).select(F.inline(rows))
+    return parsed.agg(*counts).select(F.inline(rows))
 
 
 def infer_numeric(df: DataFrame, share: float = NUMERIC_SHARE) -> dict[str, str]:
@@ -102,8 +107,9 @@ def match_stats_for_fixture(
             if key in stats.columns:
                 stats = stats.where(F.col(key).cast("string") == wanted)
                 break
-    rest = [F.col(c) for c in stats.columns if c != "fixture_id"]
-    return sanitize_match_stats(stats.select(wanted.alias("fixture_id"), *rest), types)
+    # the id is added after typing: it stays text even if it looks like a number
+    typed = sanitize_match_stats(stats.drop("fixture_id"), types)
+    return typed.select(wanted.alias("fixture_id"), *typed.columns)
 
 
 def resolve_fixture_key(

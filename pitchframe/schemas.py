@@ -10,28 +10,39 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _struct(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+_TYPES = {
+    "string": T.StringType(),
+    "double": T.DoubleType(),
+    "bigint": T.LongType(),
+    "boolean": T.BooleanType(),
+    "timestamp_ntz": T.TimestampNTZType(),
+}
 
 
-SCHEDULE = _struct(
+def table_schema(columns: str) -> T.StructType:
+    """Schema of a ``name type, ...`` list, without needing a session."""
+    fields = [c.split() for c in columns.split(",")]
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in fields])
+
+
+SCHEDULE = table_schema(
     "game_id string, date string, home_team string, score string, away_team string, "
     "season string, league string"
 )
-FIXTURES = _struct(
+FIXTURES = table_schema(
     "fixture_id string, season string, league string, date timestamp_ntz, home_team string, "
     "away_team string, home_goals double, away_goals double, home_xg double, away_xg double"
 )
-MATCH_STATS = _struct(
+MATCH_STATS = table_schema(
     "fixture_id string, team string, opponent string, xg double, shots bigint, sot bigint, "
     "match_report string"
 )
-ELO = _struct("team string, date timestamp_ntz, elo double")
-PLAYER_LOGS = _struct(
+ELO = table_schema("team string, date timestamp_ntz, elo double")
+PLAYER_LOGS = table_schema(
     "fixture_id string, date timestamp_ntz, team string, player_id string, player_name string, "
     "position string, minutes_played double"
 )
-ABSENCES = _struct(
+ABSENCES = table_schema(
     "fixture_id string, date timestamp_ntz, team string, player_id string, player_name string, "
     "position_group string, absence_type string, starter_minute_share double"
 )

@@ -1,0 +1,6 @@
+"""No operator needs stream state: the stages are whole-table batch jobs.
+
+The row-wise operators (schedule normalization, names, flags, differentials,
+expected goals, outcome probabilities) are plain projections and also accept a
+streaming DataFrame.
+"""
