@@ -443,8 +443,8 @@ select fixture_id, expected_home_goals, expected_away_goals from static"""
 ORACLES["expected_goals_summary"] = ctes("fixtures") + _STATIC_ALL + f"""
 , stacked as (select 'expected_home_goals' as "column", expected_home_goals as v from static
   union all select 'expected_away_goals', expected_away_goals from static)
-select "column", count(v) as count, {_round('avg(v)')} as mean, {_round('stddev_samp(v)')} as std, min(v) as min,
- {_round('quantile_cont(v, 0.25)')} as p25, {_round('quantile_cont(v, 0.5)')} as p50, {_round('quantile_cont(v, 0.75)')} as p75,
+select "column", count(v) as count, {_round('avg(v)', 9)} as mean, {_round('stddev_samp(v)', 9)} as std, min(v) as min,
+ {_round('quantile_cont(v, 0.25)', 9)} as p25, {_round('quantile_cont(v, 0.5)', 9)} as p50, {_round('quantile_cont(v, 0.75)', 9)} as p75,
  max(v) as max from stacked group by "column" """
 
 # --- features ---

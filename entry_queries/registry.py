@@ -354,7 +354,8 @@ def expected_goals(spark, sf):
 def expected_goals_summary(spark, sf):
     goals = ["expected_home_goals", "expected_away_goals"]
     summary = profile.describe(_static_expected_goals(spark, sf), goals)
-    return rounded(summary, "mean", "std", "p25", "p50", "p75")
+    # the mean of three-decimal values has an exact short form: round beyond its digits
+    return rounded(summary, "mean", "std", "p25", "p50", "p75", places=9)
 
 
 # --- features ---
