@@ -1,6 +1,8 @@
 """Sports tables derived from the given tables, as SQL that both engines run unchanged."""
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,8 +16,7 @@ RAW_NAMES = [
 
 
 def _raw_name(index: str) -> str:
-    cases = " ".join(f"when {i} then '{n}'" for i, n in enumerate(RAW_NAMES))
-    return f"case {index} {cases} end"
+    return f"split_part('{'|'.join(RAW_NAMES)}', '|', cast({index} as int) + 1)"
 
 
 _SEASON = "case when ts < timestamp '2024-01-16 00:00:00' then '2023{0}2024' else '2024{0}2025' end"
@@ -74,6 +75,25 @@ from labels l join documents d on l.doc_id = d.doc_id""",
 }
 
 _SOURCES = {"scores": ("labels", "documents")}
+_KEYS = {"events": "event_id", "labels": "doc_id", "documents": "doc_id"}
+
+
+@lru_cache(maxsize=None)
+def _layout(application: str, path: str):
+    """Schema and number of scan tasks of a given table, looked up once per session."""
+    df = SparkSession.active().read.parquet(path)
+    return df.schema, df.rdd.getNumPartitions()
+
+
+def _scan(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """A given table. One small file is one scan task: its rows are spread over the cores.
+
+    Tables with enough files or row groups to occupy the cluster are left as scanned.
+    """
+    schema, tasks = _layout(spark.sparkContext.applicationId, path)
+    df = spark.read.schema(schema).parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if tasks < cores else df
 
 
 def table(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +102,7 @@ def table(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     text = SQL[name]
     for s in sources:
         text = text.replace(f"from {s}", f"from {{{s}}}").replace(f"join {s} ", f"join {{{s}}} ")
-    frames = {s: spark.read.parquet(f"{sf_dir}/{s}.parquet") for s in sources}
+    frames = {s: _scan(spark, f"{sf_dir}/{s}.parquet", _KEYS[s]) for s in sources}
     df = spark.sql(text, **frames)
     return with_dates(df) if "date" in df.columns else df
 

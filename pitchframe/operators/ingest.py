@@ -121,20 +121,24 @@ def resolve_fixture_key(
     without a usable link is matched by (date, team). Rows matching no fixture
     are left out.
     """
-    linked = stats.withColumn(
-        "fixture_id", F.nullif(F.regexp_extract("match_report", pattern, 1), F.lit(""))
-    )
-    ids = fixtures.select("fixture_id").distinct()
-    by_link = linked.where(F.col("fixture_id").isNotNull()).join(ids, "fixture_id", "left_semi")
-    sides = F.array_distinct(F.array("home_team", "away_team"))
-    calendar = (
-        fixtures.select("fixture_id", "date", F.explode(sides).alias("team"))
-        .where(F.col("team").isNotNull())
-        .groupBy("date", "team")
+    at = lambda date, team: F.concat(F.lit("at "), F.col(date).cast("string"), F.lit("|"), F.col(team))
+    by_id = lambda c: F.concat(F.lit("id "), c)
+    link = F.nullif(F.regexp_extract("match_report", pattern, 1), F.lit(""))
+    wanted = F.coalesce(by_id(link), at("date", "team"))
+    # both ways of finding a fixture in one table, so both inputs are read once
+    ways = F.array(by_id(F.col("fixture_id")), at("date", "home_team"), at("date", "away_team"))
+    known = (
+        fixtures.select("fixture_id", F.explode(ways).alias("__key"))
+        .where(F.col("__key").isNotNull())
+        .groupBy("__key")
         .agg(F.min("fixture_id").alias("fixture_id"))
     )
-    by_date = linked.where(F.col("fixture_id").isNull()).drop("fixture_id").join(calendar, ["date", "team"])
-    return by_link.unionByName(by_date).select("fixture_id", *stats.columns)
+    return (
+        stats.drop("fixture_id")
+        .withColumn("__key", wanted)
+        .join(known, "__key")
+        .select("fixture_id", *[c for c in stats.columns if c != "fixture_id"])
+    )
 
 
 def player_minutes(players: DataFrame, fixture_id: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from pitchframe.operators.clean import chronological
 from pitchframe.plans.ordered import ordered_groups
+from pitchframe.plans.scratch import written
 from pitchframe.schemas import REQUIRED_FIXTURE_COLUMNS
 
 
@@ -55,32 +56,35 @@ def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     stacked = df.select(
         F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns]))
     ).where(F.col("value").isNotNull())
-    totals = stacked.groupBy("column").agg(
-        F.count("*").alias("count"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
+    # the input is read once; everything else follows from its distinct values
+    distinct = written(stacked.groupBy("column", "value").agg(F.count("*").alias("__n")), "values")
+    totals = distinct.groupBy("column").agg(
+        F.sum("__n").alias("count"),
+        (F.sum(F.col("value") * F.col("__n")) / F.sum("__n")).alias("mean"),
         F.min("value").alias("min"),
         F.max("value").alias("max"),
     )
-    distinct = stacked.groupBy("column", "value").agg(F.count("*").alias("__n"))
     ranked = (
         ordered_groups(distinct, ["column"], ["value"])
         .running({"__upto": ("sum", F.col("__n"))}, inclusive=True)
         .result()
         # one row per described column
-        .join(F.broadcast(totals.select("column", "count")), "column")
+        .join(F.broadcast(totals), "column")
     )
+    count = F.col("count")
+    squares = F.sum(F.col("__n") * F.pow(F.col("value") - F.col("mean"), 2))
+    std = F.sqrt(squares / F.nullif(F.first("count") - 1, F.lit(0)))
     quartiles, ranks = {}, []
     for name, share in (("p25", 0.25), ("p50", 0.5), ("p75", 0.75)):
-        place = (F.col("count") - 1) * F.lit(share)
+        place = (count - 1) * F.lit(share)
         for end, rank in (("lo", F.floor(place)), ("hi", F.ceil(place))):
             here = (F.col("__upto") - F.col("__n") <= rank) & (rank < F.col("__upto"))
             ranks.append(F.max(F.when(here, F.col("value"))).alias(f"{name}_{end}"))
         low, high = F.col(f"{name}_lo"), F.col(f"{name}_hi")
         quartiles[name] = low + (high - low) * (place - F.floor(place))
-    at = ranked.groupBy("column").agg(*ranks)
     return (
-        totals.join(at, "column")
+        ranked.groupBy("column", "count", "mean", "min", "max")
+        .agg(std.alias("std"), *ranks)
         .withColumns(quartiles)
         .select("column", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
     )
