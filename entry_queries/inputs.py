@@ -1,4 +1,4 @@
-"""Sports tables derived from the given tables, as SQL that both engines run unchanged."""
+"""Sports tables derived from the given tables, as SQL that both engines run (but for ``unnest``)."""
 from __future__ import annotations
 
 from functools import lru_cache
@@ -60,8 +60,8 @@ select case when event_id % 17 = 0 then null else concat('/matches/', {_ID}, '/'
  case when (event_id + side) % 19 = 0 then '' else cast(event_id % 23 + side as string) end as shots,
  case when (event_id + side) % 23 = 0 then null else concat(' ', cast(event_id % 9 + side as string), ' ') end as sot,
  case when event_id % 3 = 0 then 'Fine' when event_id % 3 = 1 then '12' else '' end as notes
-from events
-cross join (select 0 as side, 'a' as part union all select 1, 'a' union all select 0, 'b' union all select 1, 'b') p
+from (select *, k % 2 as side, case when k < 2 then 'a' else 'b' end as part
+ from (select *, unnest([0, 1, 2, 3]) as k from events) x) y
 where part = 'a' or event_id % 10 = 0""",
     "elo": """
 select team, day as date, cast(1500 as double) + cast(count(*) as double) as elo
@@ -99,7 +99,7 @@ def _scan(spark: SparkSession, path: str, key: str) -> DataFrame:
 def table(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     """A derived table as a lazy plan over the Parquet files of ``sf_dir``."""
     sources = _SOURCES.get(name, ("events",))
-    text = SQL[name]
+    text = SQL[name].replace("unnest([0, 1, 2, 3])", "explode(array(0, 1, 2, 3))")
     for s in sources:
         text = text.replace(f"from {s}", f"from {{{s}}}").replace(f"join {s} ", f"join {{{s}}} ")
     frames = {s: _scan(spark, f"{sf_dir}/{s}.parquet", _KEYS[s]) for s in sources}

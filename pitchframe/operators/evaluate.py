@@ -62,12 +62,10 @@ def reliability_bins(df: DataFrame, p: str, y: str, bins: int = 10) -> DataFrame
 def outcome_brier_trend(df: DataFrame, period: str = "week") -> DataFrame:
     """Three-way Brier score of played fixtures per period of the fixture date."""
     margin = F.col("home_goals") - F.col("away_goals")
-    hit = lambda test: F.when(test, 1.0).otherwise(0.0)
-    score = (
-        F.pow(F.col("p_home") - hit(margin > 0), 2)
-        + F.pow(F.col("p_draw") - hit(margin == 0), 2)
-        + F.pow(F.col("p_away") - hit(margin < 0), 2)
-    )
+    happened = F.when(margin > 0, F.col("p_home")).when(margin == 0, F.col("p_draw")).otherwise(F.col("p_away"))
+    squares = [F.col(c) * F.col(c) for c in ("p_home", "p_draw", "p_away")]
+    # sum of (p - y)^2 over the outcomes, where y is 1 for one of them and 0 else
+    score = squares[0] + squares[1] + squares[2] - 2 * happened + 1
     start = F.date_trunc(period, "date").cast("timestamp_ntz").alias("period")
     return (
         df.where(margin.isNotNull() & F.col("p_home").isNotNull())

@@ -69,12 +69,21 @@ def adjusted_lambda(
     ).drop("home_load", "away_load")
 
 
-def _goal_probabilities(rate: Column, max_goals: int) -> list[Column]:
-    """Poisson probabilities of 0 to ``max_goals`` goals, each from the one before."""
-    terms = [F.exp(-rate)]
-    for k in range(1, max_goals + 1):
-        terms.append(terms[-1] * rate / F.lit(float(k)))
-    return terms
+def _with_terms(df: DataFrame, home_rate: str, away_rate: str, max_goals: int) -> DataFrame:
+    """Add ``__h1..`` and ``__a1..``: rate^k / k! for each side, built up one power at a time.
+
+    A null rate counts as 0 here: terms that are never null make short code.
+    """
+    rates = {"__h1": F.col(home_rate), "__a1": F.col(away_rate)}
+    df = df.withColumns({c: F.coalesce(r.cast("double"), F.lit(0.0)) for c, r in rates.items()})
+    for k in range(2, max_goals + 1):
+        step = {f"__{s}{k}": F.col(f"__{s}{k - 1}") * F.col(f"__{s}1") * F.lit(1.0 / k) for s in "ha"}
+        df = df.withColumns(step)
+    return df
+
+
+def _term(side: str, k: int) -> Column:
+    return F.lit(1.0) if k == 0 else F.col(f"__{side}{k}")
 
 
 def scoreline_grid(
@@ -84,16 +93,19 @@ def scoreline_grid(
     max_goals: int = MAX_GOALS,
 ) -> DataFrame:
     """Probability of each scoreline up to ``max_goals`` per side, one row per scoreline."""
-    sides = {
-        role: F.array(*_goal_probabilities(F.col(rate).cast("double"), max_goals))
-        for role, rate in (("home", home_rate), ("away", away_rate))
-    }
     known = df.where(F.col(home_rate).isNotNull() & F.col(away_rate).isNotNull())
+    terms = _with_terms(known, home_rate, away_rate, max_goals)
+    sides = {s: F.array(*[_term(s, k) for k in range(max_goals + 1)]) for s in "ha"}
     return (
-        known.select("fixture_id", sides["home"].alias("home"), sides["away"].alias("away"))
-        .select("fixture_id", "away", F.posexplode("home").alias("home_goals", "ph"))
-        .select("fixture_id", "home_goals", "ph", F.posexplode("away").alias("away_goals", "pa"))
-        .select("fixture_id", "home_goals", "away_goals", (F.col("ph") * F.col("pa")).alias("probability"))
+        terms.select(
+            "fixture_id",
+            F.exp(-(F.col("__h1") + F.col("__a1"))).alias("none"),
+            sides["h"].alias("home"),
+            sides["a"].alias("away"),
+        )
+        .select("fixture_id", "none", "away", F.posexplode("home").alias("home_goals", "h"))
+        .select("fixture_id", "none", "home_goals", "h", F.posexplode("away").alias("away_goals", "a"))
+        .select("fixture_id", "home_goals", "away_goals", (F.col("none") * F.col("h") * F.col("a")).alias("probability"))
     )
 
 
@@ -106,33 +118,28 @@ def outcome_probabilities(
     """Add home, draw and away probabilities: exact sums over the scoreline grid.
 
     The sums stay within the row: no scorelines are produced and nothing is shuffled.
+    The common factor exp(-rate) cancels out of the shares.
     """
-    # Shares of the grid do not depend on the common factor exp(-rate), so the terms
-    # rate^k / k! do. Known rates are never null here, which keeps the code short.
-    sides = (("h", F.col(home_rate).cast("double")), ("a", F.col(away_rate).cast("double")))
-    df = df.withColumns({f"__{s}1": F.coalesce(rate, F.lit(0.0)) for s, rate in sides})
-    for k in range(2, max_goals + 1):
-        df = df.withColumns({f"__{s}{k}": F.col(f"__{s}{k - 1}") * F.col(f"__{s}1") * F.lit(1.0 / k) for s, _ in sides})
-    term = lambda s, k: F.lit(1.0) if k == 0 else F.col(f"__{s}{k}")
+    names = df.columns
+    df = _with_terms(df, home_rate, away_rate, max_goals)
 
     def total(terms: list[Column]) -> Column:
-        return reduce(lambda x, y: x + y, terms, F.lit(0.0))
+        return reduce(lambda x, y: x + y, terms)
 
-    # terms of fewer goals than k
+    # sums of the terms of fewer than k goals
     goals = range(max_goals + 1)
     df = df.withColumns(
-        {f"__{s}_below{k}": total([term(s, j) for j in range(k)]) for s, _ in sides for k in range(1, max_goals + 2)}
+        {f"__{s}_below{k}": total([_term(s, j) for j in range(k)]) for s in "ha" for k in range(1, max_goals + 2)}
     )
     below = lambda s, k: F.col(f"__{s}_below{k}")
     mass = {
-        "p_home": total([term("h", k) * below("a", k) for k in goals if k]),
-        "p_draw": total([term("h", k) * term("a", k) for k in goals]),
-        "p_away": total([term("a", k) * below("h", k) for k in goals if k]),
+        "p_home": total([_term("h", k) * below("a", k) for k in goals if k]),
+        "p_draw": total([_term("h", k) * _term("a", k) for k in goals]),
+        "p_away": total([_term("a", k) * below("h", k) for k in goals if k]),
     }
     whole = below("h", max_goals + 1) * below("a", max_goals + 1)
     known = F.col(home_rate).isNotNull() & F.col(away_rate).isNotNull()
-    helpers = [c for c in df.columns if c.startswith(("__h", "__a"))]
-    return df.withColumns({o: F.when(known, m / whole) for o, m in mass.items()}).drop(*helpers)
+    return df.select(*names, *[F.when(known, m / whole).alias(o) for o, m in mass.items()])
 
 
 def blend_probabilities(

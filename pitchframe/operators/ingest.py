@@ -34,7 +34,8 @@ def _text_columns(df: DataFrame) -> list[str]:
 def numeric_profile(df: DataFrame) -> DataFrame:
     """Per text column: filled entries, numbers among them, whether all are integral.
 
-    One aggregation over all columns; the result has one row per text column.
+    One aggregation over all columns; the result has one row per text column
+    (none for an empty table).
     """
     names = _text_columns(df)
     if not names:
@@ -42,31 +43,22 @@ def numeric_profile(df: DataFrame) -> DataFrame:
             df.sparkSession,
             schemas.table_schema("column string, non_blank bigint, numeric bigint, integral boolean"),
         )
-    entries = [(F.col(f"`{name}`"), i) for i, name in enumerate(names)]
-    # each text is parsed once; the aggregation then reads flags and numbers only
-    parsed = df.select(
-        *[(~is_blank(c)).alias(f"b{i}") for c, i in entries],
-        *[F.when(~is_blank(c), to_number(c)).alias(f"v{i}") for c, i in entries],
+    texts = F.array(
+        *[F.struct(F.lit(name).alias("column"), F.col(f"`{name}`").alias("text")) for name in names]
     )
-    counts = []
-    for _, i in entries:
-        counts += [
-            F.count_if(F.col(f"b{i}")).alias(f"f{i}"),
-            F.count(f"v{i}").alias(f"n{i}"),
-            F.coalesce(F.bool_and(F.col(f"v{i}") % 1 == 0), F.lit(True)).alias(f"i{i}"),
-        ]
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(name).alias("column"),
-                F.col(f"f{i}").alias("non_blank"),
-                F.col(f"n{i}").alias("numeric"),
-                F.col(f"i{i}").alias("integral"),
-            )
-            for i, name in enumerate(names)
-        ]
+    # long form: one short expression for all columns, combined before the shuffle
+    filled = ~is_blank(F.col("text"))
+    number = F.when(filled, to_number(F.col("text")))
+    return (
+        df.select(F.inline(texts))
+        .select("column", filled.alias("filled"), number.alias("number"))
+        .groupBy("column")
+        .agg(
+            F.count_if("filled").alias("non_blank"),
+            F.count("number").alias("numeric"),
+            F.coalesce(F.bool_and(F.col("number") % 1 == 0), F.lit(True)).alias("integral"),
+        )
     )
-    return parsed.agg(*counts).select(F.inline(rows))
 
 
 def infer_numeric(df: DataFrame, share: float = NUMERIC_SHARE) -> dict[str, str]:

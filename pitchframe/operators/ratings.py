@@ -383,49 +383,55 @@ def team_last_n(fixtures: DataFrame, n: int = RATING_WINDOW) -> DataFrame:
     )
 
 
-def window_histories(fixtures: DataFrame, window: int = RATING_WINDOW) -> DataFrame:
-    """Per fixture the last ``window`` earlier fixtures of its home and of its away team.
+def _histories(fixtures: DataFrame, window: int, remember: Column, name: str) -> DataFrame:
+    """Per fixture what is remembered of the last ``window`` earlier fixtures of both teams.
 
-    Unplayed fixtures take a place in the window. Result columns: ``fixture_id``,
-    ``home_history``, ``away_history`` (arrays of match structs, oldest first).
+    Unplayed fixtures take a place in the window. A fixture of a team with itself
+    counts once, as a home row.
     """
-    match = F.struct(
-        "fixture_id",
-        "home_team",
-        "away_team",
-        F.col("home_goals").cast("double").alias("home_goals"),
-        F.col("away_goals").cast("double").alias("away_goals"),
+    rows = _sides(with_dates(fixtures), "fixture_id", "date").where(
+        F.col("team").isNotNull() & ((F.col("home") == 1) | ~F.col("team").eqNullSafe(F.col("opponent")))
     )
-    roles = F.array_distinct(F.array("home_team", "away_team"))
-    sides = (
-        with_dates(fixtures)
-        .select("fixture_id", "date", match.alias("match"), F.explode(roles).alias("team"))
-        .where(F.col("team").isNotNull())
+    rows = rows.select("fixture_id", "date", "team", "home", remember.alias("__match"))
+    groups = ordered_groups(rows, ["team"], ["date", "fixture_id"]).rolling(
+        window, lambda w: {"history": F.collect_list("__match").over(w)}, reads=["__match"]
     )
-    groups = ordered_groups(sides, ["team"], ["date", "fixture_id"]).rolling(
-        window, lambda w: {"history": F.collect_list("match").over(w)}, reads=["match"]
+    side = lambda flag: F.first(F.when(F.col("home") == flag, F.col("history")), ignorenulls=True)
+    return (
+        groups.result()
+        .groupBy("fixture_id")
+        .agg(side(1).alias(f"home_{name}"), side(0).alias(f"away_{name}"))
     )
 
-    def of(role: str) -> Column:
-        mine = F.when(F.col("team") == F.col(f"match.{role}_team"), F.col("history"))
-        return F.first(mine, ignorenulls=True).alias(f"{role}_history")
 
-    return groups.result().groupBy("fixture_id").agg(of("home"), of("away"))
+def window_histories(fixtures: DataFrame, window: int = RATING_WINDOW) -> DataFrame:
+    """Histories of both teams as short match structs, oldest first.
+
+    A match is kept as its team saw it: opponent, home flag, goals for and
+    against. No id is needed to recognize a match both teams share, see
+    :func:`_window_fit`, so the arrays that are shuffled stay small.
+    """
+    match = F.struct(
+        "opponent", F.col("home").cast("boolean").alias("home"), "goals", "conceded"
+    )
+    return _histories(fixtures, window, match, "history")
 
 
 def rating_window_members(fixtures: DataFrame, window: int = RATING_WINDOW) -> DataFrame:
     """One row per fixture and earlier fixture in its rating window."""
-    ids = [
-        F.coalesce(F.col(f"{role}_history.fixture_id"), F.array().cast("array<string>"))
-        for role in ("home", "away")
-    ]
-    return window_histories(fixtures, window).select(
-        "fixture_id", F.explode(F.array_union(*ids)).alias("member_id")
-    )
+    nothing = F.array().cast("array<string>")
+    ids = _histories(fixtures, window, F.col("fixture_id"), "ids")
+    members = F.array_union(*[F.coalesce(f"{role}_ids", nothing) for role in ("home", "away")])
+    return ids.select("fixture_id", F.explode(members).alias("member_id"))
 
 
 def _window_fit(sweeps: int, home_field_advantage: bool, alpha: float):
-    """Arrow UDF fitting every window of a batch at once."""
+    """Arrow UDF fitting every window of a batch at once.
+
+    Earlier meetings of the two teams appear in both histories. Each history
+    holds the latest of them, so the shorter list is the end of the longer one:
+    leaving out the meetings of the side that has fewer keeps each exactly once.
+    """
     default_advantage = numeric.COLD_START_ADVANTAGE
     fields = [pa.field(c, pa.float64()) for c in (*RATING_COLUMNS, "home_advantage")]
     solve, normalize = fit.multiplicative_fit, fit.mean_one
@@ -433,47 +439,47 @@ def _window_fit(sweeps: int, home_field_advantage: bool, alpha: float):
     @F.arrow_udf(", ".join(f"{f.name} double" for f in fields))
     def ratings(home: pa.Array, away: pa.Array, home_history: pa.Array, away_history: pa.Array) -> pa.Array:
         n = len(home)
-        lengths = [pc.fill_null(pc.list_value_length(h), 0).to_numpy() for h in (home_history, away_history)]
-        row = np.concatenate([np.repeat(np.arange(n), k) for k in lengths])
-        member = pa.chunked_array([pc.list_flatten(home_history), pc.list_flatten(away_history)])
-        field = lambda name: pc.struct_field(member, name).combine_chunks()
-
-        def codes(values):
-            encoded = pc.dictionary_encode(values)
-            encoded = encoded.combine_chunks() if isinstance(encoded, pa.ChunkedArray) else encoded
-            return pc.fill_null(encoded.indices, -1).to_numpy(zero_copy_only=False).astype(np.int64), max(len(encoded.dictionary), 1)
-
-        # a match shared by both histories counts once
-        ids, n_ids = codes(field("fixture_id"))
-        _, keep = np.unique(row * n_ids + ids, return_index=True)
-        row = row[keep]
-        names = pa.concat_arrays(
-            [pc.take(field("home_team"), pa.array(keep)), pc.take(field("away_team"), pa.array(keep)), home.cast(pa.string()), away.cast(pa.string())]
+        window = np.arange(n)
+        sizes = [pc.fill_null(pc.list_value_length(h), 0).to_numpy() for h in (home_history, away_history)]
+        row = np.concatenate([np.repeat(window, k) for k in sizes])
+        of_away = np.repeat([False, True], [k.sum() for k in sizes])
+        matches = pa.concat_arrays([pc.list_flatten(h) for h in (home_history, away_history)])
+        column = lambda name: pc.struct_field(matches, name)
+
+        names = pc.dictionary_encode(
+            pa.concat_arrays([column("opponent"), home.cast(pa.string()), away.cast(pa.string())])
         )
-        code, n_names = codes(names)
-        m = len(keep)
-        match_home, match_away = code[:m], code[m : 2 * m]
-        own = {"home": code[2 * m : 2 * m + n], "away": code[2 * m + n :]}
+        code = pc.fill_null(names.indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        n_names = max(len(names.dictionary), 1)
+        opponent, own = code[: len(row)], {"home": code[len(row) : len(code) - n], "away": code[len(code) - n :]}
+        team = np.where(of_away, own["away"][row], own["home"][row])
+        other = np.where(of_away, own["home"][row], own["away"][row])
+
+        meeting = (opponent == other) & (opponent >= 0)
+        met = [np.bincount(row[meeting & (of_away == side)], minlength=n) for side in (False, True)]
+        repeated = meeting & (of_away == (met[1] <= met[0])[row])
+        keep = ~repeated
+        row, team, opponent = row[keep], team[keep], opponent[keep]
+        at_home = column("home").to_numpy(zero_copy_only=False)[keep].astype(np.int64)
+        scored, conceded = (column(c).to_numpy(zero_copy_only=False)[keep] for c in ("goals", "conceded"))
 
         # one slot per (window, team)
-        both_rows, both = np.concatenate([row, row]), np.concatenate([match_home, match_away])
+        both_rows, both = np.concatenate([row, row]), np.concatenate([team, opponent])
         known = both >= 0
         slots = np.unique(both_rows[known] * n_names + both[known])
         slot_row = slots // n_names
         at = lambda r, c: np.searchsorted(slots, r * n_names + c)
 
-        goals = [field(f"{s}_goals").to_numpy(zero_copy_only=False)[keep] for s in ("home", "away")]
-        played = ~(np.isnan(goals[0]) | np.isnan(goals[1]))
-        use = played & (match_home >= 0) & (match_away >= 0)
-        h, a = at(row[use], match_home[use]), at(row[use], match_away[use])
-        side = np.ones(len(h), dtype=np.int64)
+        played = ~(np.isnan(scored) | np.isnan(conceded))
+        use = played & (opponent >= 0)
+        t, o = at(row[use], team[use]), at(row[use], opponent[use])
         attack, defense, advantage = solve(
             np.concatenate([row[use], row[use]]),
-            np.concatenate([side, 0 * side]),
-            np.concatenate([h, a]),
-            np.concatenate([a, h]),
-            np.concatenate([goals[0][use], goals[1][use]]),
-            np.ones(2 * len(h)),
+            np.concatenate([at_home[use], 1 - at_home[use]]),
+            np.concatenate([t, o]),
+            np.concatenate([o, t]),
+            np.concatenate([scored[use], conceded[use]]),
+            np.ones(2 * len(t)),
             n,
             len(slots),
             sweeps=sweeps,
@@ -482,16 +488,14 @@ def _window_fit(sweeps: int, home_field_advantage: bool, alpha: float):
             default_advantage=default_advantage,
         )
         attack, defense = normalize(attack, slot_row, n), normalize(defense, slot_row, n)
-        # two fixtures, two teams and four observations are the least a fit is made of
-        teams = np.bincount(slot_row, minlength=n)
-        enough = (np.bincount(row[played], minlength=n) >= 2) & (teams >= 2)
+        # two teams and two played fixtures are the least a fit is made of
+        enough = (np.bincount(row[played], minlength=n) >= 2) & (np.bincount(slot_row, minlength=n) >= 2)
 
         def rating(values, role):
             result = np.ones(n)
             if len(slots):
-                want = np.arange(n) * n_names + own[role]
-                place = np.minimum(np.searchsorted(slots, want), len(slots) - 1)
-                hit = enough & (own[role] >= 0) & (slots[place] == want)
+                place = np.minimum(at(window, own[role]), len(slots) - 1)
+                hit = enough & (own[role] >= 0) & (slots[place] == window * n_names + own[role])
                 result[hit] = values[place[hit]]
             return result
 
