@@ -67,11 +67,10 @@ def outcome_brier_trend(df: DataFrame, period: str = "week") -> DataFrame:
     # sum of (p - y)^2 over the outcomes, where y is 1 for one of them and 0 else
     score = squares[0] + squares[1] + squares[2] - 2 * happened + 1
     start = F.date_trunc(period, "date").cast("timestamp_ntz").alias("period")
-    return (
-        df.where(margin.isNotNull() & F.col("p_home").isNotNull())
-        .groupBy(start)
-        .agg(F.count("*").alias("n"), F.avg(score).alias("brier"))
-    )
+    # unknown probabilities drop out of the aggregates: a filter on them would
+    # repeat their whole expression below the projection that computes them
+    periods = df.where(margin.isNotNull()).groupBy(start)
+    return periods.agg(F.count(score).alias("n"), F.avg(score).alias("brier")).where(F.col("n") > 0)
 
 
 def feature_correlation(df: DataFrame, columns: Sequence[str]) -> DataFrame:

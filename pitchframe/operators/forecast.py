@@ -2,7 +2,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from functools import reduce
+from math import factorial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -69,23 +69,6 @@ def adjusted_lambda(
     ).drop("home_load", "away_load")
 
 
-def _with_terms(df: DataFrame, home_rate: str, away_rate: str, max_goals: int) -> DataFrame:
-    """Add ``__h1..`` and ``__a1..``: rate^k / k! for each side, built up one power at a time.
-
-    A null rate counts as 0 here: terms that are never null make short code.
-    """
-    rates = {"__h1": F.col(home_rate), "__a1": F.col(away_rate)}
-    df = df.withColumns({c: F.coalesce(r.cast("double"), F.lit(0.0)) for c, r in rates.items()})
-    for k in range(2, max_goals + 1):
-        step = {f"__{s}{k}": F.col(f"__{s}{k - 1}") * F.col(f"__{s}1") * F.lit(1.0 / k) for s in "ha"}
-        df = df.withColumns(step)
-    return df
-
-
-def _term(side: str, k: int) -> Column:
-    return F.lit(1.0) if k == 0 else F.col(f"__{side}{k}")
-
-
 def scoreline_grid(
     df: DataFrame,
     home_rate: str = "expected_home_goals",
@@ -93,19 +76,25 @@ def scoreline_grid(
     max_goals: int = MAX_GOALS,
 ) -> DataFrame:
     """Probability of each scoreline up to ``max_goals`` per side, one row per scoreline."""
-    known = df.where(F.col(home_rate).isNotNull() & F.col(away_rate).isNotNull())
-    terms = _with_terms(known, home_rate, away_rate, max_goals)
-    sides = {s: F.array(*[_term(s, k) for k in range(max_goals + 1)]) for s in "ha"}
+    goals = F.array(*[F.lit(k) for k in range(max_goals + 1)])
+    inverse_factorial = F.array(*[F.lit(1.0 / factorial(k)) for k in range(max_goals + 1)])
+    h, a = F.col("h"), F.col("a")
+
+    def term(rate: Column, count: str) -> Column:
+        return F.pow(rate, F.col(count)) * inverse_factorial[F.col(count)]
+
     return (
-        terms.select(
+        df.select("fixture_id", F.col(home_rate).cast("double").alias("h"), F.col(away_rate).cast("double").alias("a"))
+        .where(h.isNotNull() & a.isNotNull())
+        .select("fixture_id", "h", "a", F.exp(-(h + a)).alias("none"))
+        .select("*", F.explode(goals).alias("home_goals"))
+        .select("*", F.explode(goals).alias("away_goals"))
+        .select(
             "fixture_id",
-            F.exp(-(F.col("__h1") + F.col("__a1"))).alias("none"),
-            sides["h"].alias("home"),
-            sides["a"].alias("away"),
+            "home_goals",
+            "away_goals",
+            (F.col("none") * term(h, "home_goals") * term(a, "away_goals")).alias("probability"),
         )
-        .select("fixture_id", "none", "away", F.posexplode("home").alias("home_goals", "h"))
-        .select("fixture_id", "none", "home_goals", "h", F.posexplode("away").alias("away_goals", "a"))
-        .select("fixture_id", "home_goals", "away_goals", (F.col("none") * F.col("h") * F.col("a")).alias("probability"))
     )
 
 
@@ -121,25 +110,25 @@ def outcome_probabilities(
     The common factor exp(-rate) cancels out of the shares.
     """
     names = df.columns
-    df = _with_terms(df, home_rate, away_rate, max_goals)
-
-    def total(terms: list[Column]) -> Column:
-        return reduce(lambda x, y: x + y, terms)
-
-    # sums of the terms of fewer than k goals
     goals = range(max_goals + 1)
-    df = df.withColumns(
-        {f"__{s}_below{k}": total([_term(s, j) for j in range(k)]) for s in "ha" for k in range(1, max_goals + 2)}
-    )
-    below = lambda s, k: F.col(f"__{s}_below{k}")
+    # Terms rate^k / k! of each side, built up one power at a time. A null rate
+    # counts as 0 until the end: terms that are never null make short code.
+    rates = {"__h1": F.col(home_rate), "__a1": F.col(away_rate)}
+    df = df.withColumns({c: F.coalesce(r.cast("double"), F.lit(0.0)) for c, r in rates.items()})
+    df = df.withColumns({"__h0": F.lit(1.0), "__a0": F.lit(1.0)})
+    for k in goals[2:]:
+        df = df.withColumns({f"__{s}{k}": F.expr(f"__{s}{k - 1} * __{s}1 * {1.0 / k!r}D") for s in "ha"})
+    # __h_below3 is the sum of the terms of fewer than 3 goals
+    sums = {f"__{s}_below{k}": " + ".join(f"__{s}{j}" for j in range(k)) for s in "ha" for k in range(1, max_goals + 2)}
+    df = df.withColumns({c: F.expr(total) for c, total in sums.items()})
     mass = {
-        "p_home": total([_term("h", k) * below("a", k) for k in goals if k]),
-        "p_draw": total([_term("h", k) * _term("a", k) for k in goals]),
-        "p_away": total([_term("a", k) * below("h", k) for k in goals if k]),
+        "p_home": " + ".join(f"__h{k} * __a_below{k}" for k in goals[1:]),
+        "p_draw": " + ".join(f"__h{k} * __a{k}" for k in goals),
+        "p_away": " + ".join(f"__a{k} * __h_below{k}" for k in goals[1:]),
     }
-    whole = below("h", max_goals + 1) * below("a", max_goals + 1)
+    whole = F.expr(f"__h_below{max_goals + 1} * __a_below{max_goals + 1}")
     known = F.col(home_rate).isNotNull() & F.col(away_rate).isNotNull()
-    return df.select(*names, *[F.when(known, m / whole).alias(o) for o, m in mass.items()])
+    return df.select(*names, *[F.when(known, F.expr(m) / whole).alias(o) for o, m in mass.items()])
 
 
 def blend_probabilities(
