@@ -207,24 +207,25 @@ MEMBERS = """
 
 
 def _sweeps(source: str, sweeps: int, with_home: bool = True) -> str:
-    """Updates of rate, attack and defense as a chain of window sums; the last member is ``fitted``.
+    """Updates of base, advantage, attack and defense as a chain of window sums, ending in ``fitted``.
 
-    ``source`` has grp, team, opponent, home, n and g.
+    ``source`` has grp, team, opponent, home, n and g; r is the base, v the advantage.
     """
     text = f"""
-, s0 as materialized (select *, 1.0::double as r, 1.0::double as a, 1.0::double as d from {source})"""
-    role = "home" if with_home else "1"
-    updates = [("r", role), ("a", "team"), ("d", "opponent")] * sweeps + [("r", role)]
-    for i, (column, key) in enumerate(updates, 1):
+, s0 as materialized (select *, 1.0::double as r, 1.0::double as v, 1.0::double as a, 1.0::double as d from {source})"""
+    mu = "n * r * case when home = 1 then v else 1 end * a * d"
+    rates = [("r", "", ""), *([("v", "", "filter (where home = 1)")] if with_home else [])]
+    updates = [*rates, ("a", ", team", ""), ("d", ", opponent", "")] * sweeps + rates
+    for i, (column, key, only) in enumerate(updates, 1):
         name = "fitted" if i == len(updates) else f"s{i}"
         text += f"""
-, {name} as materialized (select * replace ({column} * coalesce(sum(g) over w / nullif(sum(n * r * a * d) over w, 0), 1) as {column})
-   from s{i - 1} window w as (partition by grp, {key}))"""
+, {name} as materialized (select * replace ({column} * coalesce(sum(g) {only} over w / nullif(sum({mu}) {only} over w, 0), 1) as {column})
+   from s{i - 1} window w as (partition by grp{key}))"""
     return text
 
 
 def _season_fit(group: str, sweeps: int, with_home: bool = True) -> str:
-    advantage = "case when hr > 0 and ar > 0 then hr / ar else 1.25 end" if with_home else "1.0::double"
+    advantage = "case when max(v) > 0 and sum(g) > 0 then max(v) else 1.25 end" if with_home else "1.0::double"
     return (
         OBSERVATIONS
         + f"""
@@ -234,8 +235,7 @@ def _season_fit(group: str, sweeps: int, with_home: bool = True) -> str:
    union select {group}, away_team from fixtures where away_team is not null)"""
         + _sweeps("cells", sweeps, with_home)
         + f"""
-, adv as (select grp, {advantage} as home_advantage from (select grp, max(case when home = 1 then r end) as hr,
-   max(case when home = 0 then r end) as ar from fitted group by grp) x)
+, adv as (select grp, {advantage} as home_advantage from fitted group by grp)
 , factors as (select e.grp, e.team,
    coalesce((select max(a) from fitted f where f.grp = e.grp and f.team = e.team), 1.0) as a,
    coalesce((select max(d) from fitted f where f.grp = e.grp and f.opponent = e.team), 1.0) as d from everyone e)
@@ -262,9 +262,7 @@ ROLLING = (
    left join attack_of x on x.grp = t.grp and x.team = t.team left join defense_of y on y.grp = t.grp and y.team = t.team)
 , window_ratings as (select grp, team, a / avg(a) over (partition by grp) as attack, d / avg(d) over (partition by grp) as defense
    from window_factors)
-, window_adv as (select grp, count(*) as obs, case when hr > 0 and ar > 0 then hr / ar else 1.25 end as v
-   from (select grp, max(case when home = 1 then r end) over (partition by grp) as hr,
-          max(case when home = 0 then r end) over (partition by grp) as ar from fitted) x group by grp, hr, ar)
+, window_adv as (select grp, count(*) as obs, case when max(v) > 0 and sum(g) > 0 then max(v) else 1.25 end as v from fitted group by grp)
 , rated as (select f.*,
    case when w.obs >= 4 then coalesce(h.attack, 1.0) else 1.0 end as home_attack_rating,
    case when w.obs >= 4 then coalesce(h.defense, 1.0) else 1.0 end as home_defense_rating,

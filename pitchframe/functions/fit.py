@@ -1,6 +1,6 @@
 """Multiplicative fit of attack and defense factors, vectorized over many groups.
 
-Model per group: goals ~ Poisson(rate[home] * attack[team] * defense[opponent]).
+Model per group: goals ~ Poisson(base * advantage^home * attack[team] * defense[opponent]).
 Each update scales one family of factors by observed over fitted goals, which is
 the coordinate-wise maximum of the likelihood. All groups of a batch advance
 together, as sums over integer codes.
@@ -31,31 +31,34 @@ def multiplicative_fit(
     row stands for. ``alpha`` is a pseudo-count that keeps sparse groups bounded.
     """
     attack, defense = np.ones(n_teams), np.ones(n_teams)
-    rate = np.ones(2 * n_groups)
-    slot = 2 * group + (home if home_field_advantage else 0)
-    goals_of_slot = np.bincount(slot, goals, 2 * n_groups)
+    base, advantage = np.ones(n_groups), np.ones(n_groups)
+    at_home = home.astype(np.float64) if home_field_advantage else np.zeros(len(goals))
+    all_goals = np.bincount(group, goals, n_groups)
+    home_goals = np.bincount(group, goals * at_home, n_groups)
     scored = np.bincount(team, goals, n_teams)
     conceded = np.bincount(opponent, goals, n_teams)
 
-    def step(observed, fitted):
-        fitted = fitted + alpha
-        # nothing fitted: the factor stays as it is
-        return np.divide(observed + alpha, fitted, out=np.ones_like(fitted), where=fitted > 0)
+    def fitted():
+        lift = np.where(at_home > 0, advantage[group], 1.0)
+        return weight * base[group] * lift * attack[team] * defense[opponent]
 
-    def fitted_goals():
-        return weight * rate[slot] * attack[team] * defense[opponent]
+    def step(observed, mu):
+        mu = mu + alpha
+        # nothing fitted: the factor stays as it is
+        return np.divide(observed + alpha, mu, out=np.ones_like(mu), where=mu > 0)
 
-    for _ in range(sweeps):
-        rate = rate * step(goals_of_slot, np.bincount(slot, fitted_goals(), 2 * n_groups))
-        attack = attack * step(scored, np.bincount(team, fitted_goals(), n_teams))
-        defense = defense * step(conceded, np.bincount(opponent, fitted_goals(), n_teams))
-    rate = rate * step(goals_of_slot, np.bincount(slot, fitted_goals(), 2 * n_groups))
+    for sweep in range(sweeps + 1):
+        base = base * step(all_goals, np.bincount(group, fitted(), n_groups))
+        if home_field_advantage:
+            advantage = advantage * step(home_goals, np.bincount(group, fitted() * at_home, n_groups))
+        if sweep < sweeps:
+            attack = attack * step(scored, np.bincount(team, fitted(), n_teams))
+            defense = defense * step(conceded, np.bincount(opponent, fitted(), n_teams))
 
-    advantage = np.ones(n_groups)
     if home_field_advantage:
-        away_rate, home_rate = rate[0::2], rate[1::2]
-        advantage = np.full(n_groups, default_advantage)
-        np.divide(home_rate, away_rate, out=advantage, where=(home_rate > 0) & (away_rate > 0))
+        # without any home goal there is no ratio to speak of
+        some = all_goals > 0
+        advantage = np.where(some & (advantage > 0), advantage, default_advantage)
     return attack, defense, advantage
 
 

@@ -7,6 +7,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pitchframe.operators.evaluate import clipped
 from pitchframe.plans.scratch import written
 
 CLIP = 1e-6
@@ -22,7 +23,7 @@ def platt_scaling(df: DataFrame, p: str, y: str, max_iter: int = 200) -> DataFra
 
     Equal (p, y) pairs are merged into one weighted row before the iterations.
     """
-    safe = F.least(F.greatest(F.col(p), F.lit(CLIP)), F.lit(1 - CLIP))
+    safe = clipped(F.col(p), CLIP)
     log_odds = F.log(safe / (1 - safe))
     rows = _observed(df, p, y).select(log_odds.alias("x"), F.col(y).cast("double").alias("label"))
     merged = written(rows.groupBy("x", "label").agg(F.count("*").cast("double").alias("weight")), "platt")

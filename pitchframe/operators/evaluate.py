@@ -33,6 +33,11 @@ def walk_forward_folds(
     return ranked.withColumn("fold", fold.cast("bigint")).withColumn("train_rows", train.cast("bigint"))
 
 
+def clipped(p: Column, clip: float) -> Column:
+    """``p`` kept within [clip, 1 - clip]; null stays null (least and greatest skip it)."""
+    return F.when(p.isNotNull(), F.least(F.greatest(p, F.lit(clip)), F.lit(1 - clip)))
+
+
 def _squared(p: str, y: str) -> Column:
     return F.pow(F.col(p) - F.col(y), 2)
 
@@ -44,7 +49,7 @@ def brier_score(df: DataFrame, p: str, y: str, by: Sequence[str] = ()) -> DataFr
 
 def log_loss(df: DataFrame, p: str, y: str, by: Sequence[str] = (), clip: float = CLIP) -> DataFrame:
     """Mean negative log likelihood, probabilities kept within [clip, 1 - clip]."""
-    safe = F.least(F.greatest(F.col(p), F.lit(clip)), F.lit(1 - clip))
+    safe = clipped(F.col(p), clip)
     loss = -(F.col(y) * F.log(safe) + (1 - F.col(y)) * F.log(1 - safe))
     return df.groupBy(*by).agg(F.count(loss).alias("n"), F.avg(loss).alias("log_loss"))
 

@@ -190,59 +190,65 @@ def _solve_distributed(
     cells = written(
         cells.withColumn("__g", F.to_json(F.struct(*group), {"ignoreNullFields": "false"})), "cells"
     )
-    role = F.col("home") if home_field_advantage else F.lit(0)
     use = cells.where(
         (F.col("matches") > 0) & F.col("team").isNotNull() & F.col("opponent").isNotNull()
-    ).select("__g", "team", "opponent", role.alias("home"), "matches", "goals")
+    ).select("__g", "team", "opponent", "home", "matches", "goals")
+    one = F.lit(1.0)
     teams = written(
         cells.where(F.col("team").isNotNull())
         .select("__g", *group, "team")
         .distinct()
-        .withColumns({"attack": F.lit(1.0), "defense": F.lit(1.0)}),
+        .withColumns({"attack": one, "defense": one}),
         "teams",
     )
-    rates = written(use.select("__g", "home").distinct().withColumn("rate", F.lit(1.0)), "rates")
+    rates = written(use.select("__g").distinct().withColumns({"base": one, "advantage": one}), "rates")
 
-    def step(keys: list[str]) -> DataFrame:
+    def step(keys: list[str], home_only: bool = False) -> DataFrame:
         fitted = (
             use.join(teams.select("__g", "team", "attack"), ["__g", "team"])
             .join(
                 teams.select("__g", F.col("team").alias("opponent"), "defense"), ["__g", "opponent"]
             )
-            .join(rates, ["__g", "home"])
+            .join(rates, "__g")
         )
-        mu = F.sum(F.col("matches") * F.col("rate") * F.col("attack") * F.col("defense")) + alpha
-        factor = F.coalesce((F.sum("goals") + alpha) / F.nullif(mu, F.lit(0.0)), F.lit(1.0))
+        if home_only:
+            fitted = fitted.where(F.col("home") == 1)
+        lift = F.when(F.col("home") == 1, F.col("advantage")).otherwise(one)
+        mu = F.sum(F.col("matches") * F.col("base") * lift * F.col("attack") * F.col("defense")) + alpha
+        factor = F.coalesce((F.sum("goals") + alpha) / F.nullif(mu, F.lit(0.0)), one)
         return fitted.groupBy("__g", *keys).agg(factor.alias("factor"))
 
     def scaled(table: DataFrame, factors: DataFrame, keys: list[str], column: str) -> DataFrame:
         joined = table.join(factors, ["__g", *keys], "left")
-        new = F.col(column) * F.coalesce("factor", F.lit(1.0))
+        new = F.col(column) * F.coalesce("factor", one)
         return written(joined.withColumn(column, new).drop("factor"), column)
 
     for sweep in range(sweeps + 1):
-        rates = scaled(rates, step(["home"]), ["home"], "rate")
+        rates = scaled(rates, step([]), [], "base")
+        if home_field_advantage:
+            rates = scaled(rates, step([], home_only=True), [], "advantage")
         if sweep < sweeps:
             teams = scaled(teams, step(["team"]), ["team"], "attack")
             by_opponent = step(["opponent"]).withColumnRenamed("opponent", "team")
             teams = scaled(teams, by_opponent, ["team"], "defense")
 
+    some = use.groupBy("__g").agg((F.sum("goals") > 0).alias("some"))
     if home_field_advantage:
-        side = lambda h: F.max(F.when((F.col("home") == h) & (F.col("rate") > 0), F.col("rate")))
-        advantage = F.coalesce(side(1) / side(0), F.lit(default_advantage))
+        usable = F.col("some") & (F.col("advantage") > 0)
+        advantage = F.when(usable, F.col("advantage")).otherwise(F.lit(default_advantage))
     else:
-        advantage = F.lit(1.0)
+        advantage = one
     per_group = (
         teams.groupBy("__g")
         .agg(F.avg("attack").alias("a"), F.avg("defense").alias("d"))
-        .join(rates.groupBy("__g").agg(advantage.alias("home_advantage")), "__g", "left")
+        .join(rates.join(some, "__g").select("__g", advantage.alias("home_advantage")), "__g", "left")
     )
-    base = lambda c: F.when(F.col(c) > 0, F.col(c)).otherwise(F.lit(1.0))
+    mean = lambda c: F.when(F.col(c) > 0, F.col(c)).otherwise(one)
     return teams.join(per_group, "__g").select(
         *group,
         "team",
-        (F.col("attack") / base("a")).alias("attack"),
-        (F.col("defense") / base("d")).alias("defense"),
+        (F.col("attack") / mean("a")).alias("attack"),
+        (F.col("defense") / mean("d")).alias("defense"),
         F.coalesce("home_advantage", F.lit(default_advantage)).alias("home_advantage"),
     )
 
