@@ -21,6 +21,7 @@ from pitchframe.operators import (
     ratings,
 )
 from pitchframe.plans.scratch import scratch_path
+from pitchframe.plans.skew import lookup
 from pitchframe.sources import landed
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -99,7 +100,7 @@ def elo_history(spark, sf):
 @query
 def player_season_minutes(spark, sf):
     seasons = table("fixtures", spark, sf).select("fixture_id", "season")
-    return ingest.player_season_minutes(table("player_logs", spark, sf).join(seasons, "fixture_id"))
+    return ingest.player_season_minutes(lookup(table("player_logs", spark, sf), seasons, ["fixture_id"], "inner"))
 
 
 @query
@@ -336,7 +337,7 @@ def _static_expected_goals(spark, sf):
             "season", F.col("team").alias(f"{role}_team"),
             F.col("attack").alias(f"{role}_attack"), F.col("defense").alias(f"{role}_defense"),
         )
-        fixtures = fixtures.join(side, ["season", f"{role}_team"], "left")
+        fixtures = lookup(fixtures, side, ["season", f"{role}_team"])
     known = lambda c: F.coalesce(F.col(c), F.lit(1.0))
     home, away = numeric.expected_goals(
         *[known(f"{r}_{k}") for r in ("home", "away") for k in ("attack", "defense")], F.col("home_advantage")

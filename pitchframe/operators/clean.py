@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from pitchframe import schemas
 from pitchframe.functions.text import TEAM_ALIASES, canonical_team, stripped
+from pitchframe.plans.skew import lookup
 
 DIFFERENTIALS = ("goals", "xg", "shots", "sot")
 _ROLES = ("home", "away")
@@ -29,12 +30,8 @@ def standardize_teams(
     names = df.columns
     table = aliases.groupBy("alias").agg(F.min("canonical").alias("__canonical"))
     for c in present:
-        df = (
-            df.withColumn("alias", stripped(F.col(c)))
-            .join(table, "alias", "left")
-            .withColumn(c, F.coalesce("__canonical", "alias"))
-            .drop("alias", "__canonical")
-        )
+        named = lookup(df.withColumn("alias", stripped(F.col(c))), table, ["alias"])
+        df = named.withColumn(c, F.coalesce("__canonical", "alias")).drop("alias", "__canonical")
     return df.select(*names)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from pitchframe import schemas
 from pitchframe.functions.numeric import is_blank, to_number
 from pitchframe.functions.text import parse_score
+from pitchframe.plans.skew import lookup
 
 NUMERIC_SHARE = 0.8
 REPORT_ID_PATTERN = r"/matches/([^/]+)/"
@@ -125,11 +126,9 @@ def resolve_fixture_key(
         .groupBy("__key")
         .agg(F.min("fixture_id").alias("fixture_id"))
     )
-    return (
-        stats.drop("fixture_id")
-        .withColumn("__key", wanted)
-        .join(known, "__key")
-        .select("fixture_id", *[c for c in stats.columns if c != "fixture_id"])
+    keyed = stats.drop("fixture_id").withColumn("__key", wanted)
+    return lookup(keyed, known, ["__key"], "inner").select(
+        "fixture_id", *[c for c in stats.columns if c != "fixture_id"]
     )
 
 
@@ -146,8 +145,8 @@ def conform_player_logs(players: DataFrame, fixtures: DataFrame) -> DataFrame:
     if "player_id" not in players.columns:
         players = players.withColumn("player_id", F.concat_ws("|", "player_name", "team"))
     players = schemas.with_nulls_for_missing(players, {"position": "string"})
-    dates = fixtures.select("fixture_id", "date")
-    joined = players.drop("date").join(dates, "fixture_id", "left")
+    dates = fixtures.groupBy("fixture_id").agg(F.min("date").alias("date"))
+    joined = lookup(players.drop("date"), dates, ["fixture_id"])
     return joined.select(*[F.col(f.name).cast(f.dataType) for f in schemas.PLAYER_LOGS.fields])
 
 

@@ -105,10 +105,11 @@ def absence_distribution(absences: DataFrame) -> DataFrame:
 
 def absence_by_season(absences: DataFrame, fixtures: DataFrame) -> DataFrame:
     """Absences per season and type; the season is that of the fixture."""
+    # counted per fixture first, so a fixture with very many rows is one row in the join
+    counted = absences.groupBy("fixture_id", "absence_type").agg(F.count("*").alias("__n"))
     seasons = fixtures.select("fixture_id", "season")
-    return absences.join(seasons, "fixture_id", "left").groupBy("season", "absence_type").agg(
-        F.count("*").alias("absences")
-    )
+    joined = counted.join(seasons, "fixture_id", "left")
+    return joined.groupBy("season", "absence_type").agg(F.sum("__n").alias("absences"))
 
 
 def sample(df: DataFrame, columns: Sequence[str], n: int = 5) -> DataFrame:

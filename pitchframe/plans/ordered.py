@@ -18,24 +18,17 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from pitchframe.plans.scratch import written
+from pitchframe.plans.skew import hot_keys, max_group_rows
 
-MAX_GROUP_ROWS = 1_000_000
-MAX_GROUP_ROWS_CONF = "spark.pitchframe.maxGroupRows"
 # Most blocks cut from the oversized groups. It bounds the per-block tables that
 # are broadcast or windowed per key; larger inputs get larger blocks.
 MAX_BLOCKS = 50_000
-# Largest key list sent to every executor; beyond it the join is left to the planner.
-MAX_BROADCAST_KEYS = 1_000_000
 
 _BLOCK = "__block"
 _HALO = "__halo"
 _ALL = "__all"
 
 
-def max_group_rows(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get(MAX_GROUP_ROWS_CONF, str(MAX_GROUP_ROWS)))
-
-
 def nulls_last(columns: Sequence[str]) -> list[Column]:
     return [F.col(c).asc_nulls_last() for c in columns]
 
@@ -165,7 +158,7 @@ def _combine(kind: str, local: Column, carried: Column) -> Column:
 
 
 def ordered_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> OrderedGroups:
-    """Group ``df`` by ``keys`` (none: the whole table), ordered ascending, nulls last.
+    """Group ``df`` by non-null ``keys`` (none: the whole table), ordered ascending, nulls last.
 
     The order must be total within a key. Counts the rows per key once, on the
     key columns alone, to decide whether groups have to be split.
@@ -174,22 +167,18 @@ def ordered_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
     if not keys:
         df, keys = df.withColumn(_ALL, F.lit(0)), [_ALL]
     limit = max_group_rows(df)
-    oversized = df.groupBy(*keys).agg(F.count("*").alias("__rows")).where(F.col("__rows") > limit)
-    found = oversized.agg(F.count("*").alias("keys"), F.sum("__rows").alias("rows")).first()
-    if not found["keys"]:
+    hot_groups = hot_keys(df, keys, limit)
+    if hot_groups.keys is None:
         return OrderedGroups(df, tuple(keys), tuple(order), split=False)
 
-    hot_keys = written(oversized.select(*keys), "hot-keys")
-    if found["keys"] <= MAX_BROADCAST_KEYS:
-        hot_keys = F.broadcast(hot_keys)
-    blocks = min(MAX_BLOCKS, max(2, math.ceil(2 * found["rows"] / limit)))
+    blocks = min(MAX_BLOCKS, max(2, math.ceil(2 * hot_groups.rows / limit)))
     # The block number is the range partition a row falls into. It is stored, as
     # a second evaluation of the plan could draw other partition bounds.
     hot = written(
-        df.join(hot_keys, keys, "left_semi")
+        df.join(hot_groups.keys, keys, "left_semi")
         .repartitionByRange(blocks, *[F.col(k) for k in keys], *nulls_last(order))
         .withColumn(_BLOCK, F.spark_partition_id() + 1),
         "ordered-blocks",
     )
-    cold = df.join(hot_keys, keys, "left_anti").withColumn(_BLOCK, F.lit(0))
+    cold = df.join(hot_groups.keys, keys, "left_anti").withColumn(_BLOCK, F.lit(0))
     return OrderedGroups(cold.unionByName(hot), tuple(keys), tuple(order), split=True)

@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 from pathlib import Path
@@ -54,11 +55,12 @@ if __name__ == "__main__":
     import __spark_entry__ as e
 
     sf_dir, wanted = f"/root/testdata/sf{sys.argv[1]}", sys.argv[2:]
-    spark = (
-        SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8")
-        .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "8g")
-        .config("spark.ui.enabled", "false").getOrCreate()
-    )
+    settings = {
+        "spark.sql.shuffle.partitions": "8", "spark.sql.session.timeZone": "UTC",
+        "spark.driver.memory": "8g", "spark.ui.enabled": "false",
+        **dict(kv.split("=", 1) for kv in os.environ.get("COMPARE_CONF", "").split() if kv),
+    }
+    spark = SparkSession.builder.master("local[8]").config(map=settings).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     if wanted and wanted[0].isdigit():
         spark.conf.set("spark.pitchframe.maxGroupRows", wanted.pop(0))

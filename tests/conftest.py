@@ -28,7 +28,7 @@ def spark():
 @pytest.fixture
 def tiny_groups(spark):
     """Force the block-wise plans by allowing only a few rows per group."""
-    from pitchframe.plans.ordered import MAX_GROUP_ROWS_CONF
+    from pitchframe.plans.skew import MAX_GROUP_ROWS_CONF
 
     spark.conf.set(MAX_GROUP_ROWS_CONF, "40")
     yield
