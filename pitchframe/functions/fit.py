@@ -30,17 +30,15 @@ def multiplicative_fit(
     Team codes are unique over all groups. ``weight`` is the number of matches a
     row stands for. ``alpha`` is a pseudo-count that keeps sparse groups bounded.
     """
-    attack, defense = np.ones(n_teams), np.ones(n_teams)
-    base, advantage = np.ones(n_groups), np.ones(n_groups)
-    at_home = home.astype(np.float64) if home_field_advantage else np.zeros(len(goals))
+    attack, defense, advantage = np.ones(n_teams), np.ones(n_teams), np.ones(n_groups)
+    at_home = np.flatnonzero(home)
+    home_group = group[at_home]
     all_goals = np.bincount(group, goals, n_groups)
-    home_goals = np.bincount(group, goals * at_home, n_groups)
+    home_goals = np.bincount(home_group, goals[at_home], n_groups)
     scored = np.bincount(team, goals, n_teams)
     conceded = np.bincount(opponent, goals, n_teams)
-
-    def fitted():
-        lift = np.where(at_home > 0, advantage[group], 1.0)
-        return weight * base[group] * lift * attack[team] * defense[opponent]
+    # fitted goals per row: every update multiplies them by its factors
+    fitted = np.array(weight, dtype=np.float64)
 
     def step(observed, mu):
         mu = mu + alpha
@@ -48,12 +46,18 @@ def multiplicative_fit(
         return np.divide(observed + alpha, mu, out=np.ones_like(mu), where=mu > 0)
 
     for sweep in range(sweeps + 1):
-        base = base * step(all_goals, np.bincount(group, fitted(), n_groups))
+        fitted *= step(all_goals, np.bincount(group, fitted, n_groups))[group]
         if home_field_advantage:
-            advantage = advantage * step(home_goals, np.bincount(group, fitted() * at_home, n_groups))
+            factor = step(home_goals, np.bincount(home_group, fitted[at_home], n_groups))
+            advantage *= factor
+            fitted[at_home] *= factor[home_group]
         if sweep < sweeps:
-            attack = attack * step(scored, np.bincount(team, fitted(), n_teams))
-            defense = defense * step(conceded, np.bincount(opponent, fitted(), n_teams))
+            factor = step(scored, np.bincount(team, fitted, n_teams))
+            attack *= factor
+            fitted *= factor[team]
+            factor = step(conceded, np.bincount(opponent, fitted, n_teams))
+            defense *= factor
+            fitted *= factor[opponent]
 
     if home_field_advantage:
         # without any home goal there is no ratio to speak of
