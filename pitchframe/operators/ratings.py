@@ -134,7 +134,9 @@ def rating_cells(fixtures: DataFrame, group: Sequence[str]) -> DataFrame:
     )
 
 
-def _solve_in_task(cells: DataFrame, group: Sequence[str], **options) -> DataFrame:
+def _solve_in_task(
+    cells: DataFrame, group: Sequence[str], *, default_advantage: float, **options
+) -> DataFrame:
     keys = ", ".join(f"`{g}` {cells.schema[g].dataType.simpleString()}" for g in group)
     schema = f"{keys}, team string, attack double, defense double, home_advantage double"
     multiplicative_fit, mean_one = fit.multiplicative_fit, fit.mean_one
@@ -153,6 +155,7 @@ def _solve_in_task(cells: DataFrame, group: Sequence[str], **options) -> DataFra
             use["matches"].to_numpy(),
             1,
             len(names),
+            default_advantage=default_advantage,
             **options,
         )
         attack, defense, advantage = fitted
@@ -165,6 +168,9 @@ def _solve_in_task(cells: DataFrame, group: Sequence[str], **options) -> DataFra
                 "home_advantage": advantage[0],
             }
         )
+        if len(names) < 2 or pdf["fixtures"].sum() < 4 or pdf["matches"].sum() < 4:
+            # each fixture is two rows of the cells
+            result = result.assign(attack=1.0, defense=1.0, home_advantage=default_advantage)
         for g in reversed(group):
             result.insert(0, g, pdf[g].iloc[0])
         return result
@@ -232,7 +238,13 @@ def _solve_distributed(
             by_opponent = step(["opponent"]).withColumnRenamed("opponent", "team")
             teams = scaled(teams, by_opponent, ["team"], "defense")
 
-    some = use.groupBy("__g").agg((F.sum("goals") > 0).alias("some"))
+    size = cells.groupBy("__g").agg(
+        F.countDistinct("team").alias("teams"),
+        F.sum("fixtures").alias("sides"),
+        F.sum("matches").alias("observations"),
+        F.coalesce(F.sum("goals") > 0, F.lit(False)).alias("some"),
+    )
+    enough = (F.col("teams") >= 2) & (F.col("sides") >= 4) & (F.col("observations") >= 4)
     if home_field_advantage:
         usable = F.col("some") & (F.col("advantage") > 0)
         advantage = F.when(usable, F.col("advantage")).otherwise(F.lit(default_advantage))
@@ -241,15 +253,18 @@ def _solve_distributed(
     per_group = (
         teams.groupBy("__g")
         .agg(F.avg("attack").alias("a"), F.avg("defense").alias("d"))
-        .join(rates.join(some, "__g").select("__g", advantage.alias("home_advantage")), "__g", "left")
+        .join(size.select("__g", "some", enough.alias("enough")), "__g")
+        .join(rates, "__g", "left")
+        .select("__g", "a", "d", "enough", advantage.alias("home_advantage"))
     )
     mean = lambda c: F.when(F.col(c) > 0, F.col(c)).otherwise(one)
+    fitted = lambda value, default: F.when(F.col("enough"), value).otherwise(F.lit(default))
     return teams.join(per_group, "__g").select(
         *group,
         "team",
-        (F.col("attack") / mean("a")).alias("attack"),
-        (F.col("defense") / mean("d")).alias("defense"),
-        F.coalesce("home_advantage", F.lit(default_advantage)).alias("home_advantage"),
+        fitted(F.col("attack") / mean("a"), 1.0).alias("attack"),
+        fitted(F.col("defense") / mean("d"), 1.0).alias("defense"),
+        fitted(F.col("home_advantage"), default_advantage).alias("home_advantage"),
     )
 
 
@@ -278,7 +293,7 @@ def fit_poisson_ratings(
     cells = written(rating_cells(fixtures, group), "rating-cells")
     largest = cells.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
     solve = _solve_in_task if largest <= max_group_cells else _solve_distributed
-    fitted = solve(
+    return solve(
         cells,
         group,
         sweeps=sweeps,
@@ -286,28 +301,6 @@ def fit_poisson_ratings(
         alpha=alpha,
         default_advantage=numeric.COLD_START_ADVANTAGE,
     )
-    size = cells.groupBy(*group).agg(
-        F.countDistinct("team").alias("teams"),
-        (F.sum("fixtures") / 2).alias("fixtures"),
-        F.sum("matches").alias("observations"),
-    )
-    same = None
-    for g in group:
-        one = fitted[g].eqNullSafe(size[g])
-        same = one if same is None else same & one
-    enough = (F.col("teams") >= 2) & (F.col("fixtures") >= 2) & (F.col("observations") >= 4)
-    return fitted.join(size, same).select(
-        *[fitted[g] for g in group],
-        "team",
-        *[
-            F.when(enough, F.col(c)).otherwise(F.lit(default)).alias(c)
-            for c, default in (
-                ("attack", 1.0),
-                ("defense", 1.0),
-                ("home_advantage", numeric.COLD_START_ADVANTAGE),
-            )
-        ],
-    )
 
 
 def fit_poisson_ratings_glr(

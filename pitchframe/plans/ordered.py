@@ -131,7 +131,7 @@ class OrderedGroups:
         )
 
     def _carried_aggregates(self, columns: dict[str, tuple[str, Column]]) -> DataFrame:
-        # One row per (key, block) of the split groups: at most MAX_BLOCKS cuts.
+        # One row per (key, block) of the split groups: at most MAX_BLOCKS + MAX_HOT_KEYS.
         per_block = (
             self.frame.where(F.col(_BLOCK) > 0)
             .groupBy(*self._partition)

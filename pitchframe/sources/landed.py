@@ -24,9 +24,12 @@ def scan(
     fmt: str = "parquet",
     **options: str,
 ) -> DataFrame:
-    """Files at ``path`` (Parquet, ORC, JSON or CSV), read with a fixed schema if given."""
+    """Files at ``path`` (Parquet, ORC, JSON or CSV), read with a fixed schema if given.
+
+    A NaN in a floating column is read as null: a missing measurement.
+    """
     reader = spark.read.format(fmt).options(**options)
-    return (reader.schema(schema) if schema else reader).load(path)
+    return schemas.nan_to_null((reader.schema(schema) if schema else reader).load(path))
 
 
 def scan_or_empty(

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from pitchframe import schemas
 from pitchframe.functions import text
-from pitchframe.operators import ingest
+from pitchframe.operators import clean, ingest
 from pitchframe.plans.scratch import scratch_path
 from pitchframe.sources import landed
 
@@ -83,6 +83,27 @@ def test_round_trip_and_absent_folder(spark):
     assert absent.schema == schemas.PLAYER_LOGS and absent.count() == 0
 
 
+@pytest.mark.parametrize("fmt", ["parquet", "orc", "json", "csv"])
+def test_formats_and_nan(spark, fmt):
+    path = scratch_path(spark, fmt)
+    df = spark.createDataFrame([("a", 1.5, 3), ("b", float("nan"), None)], "team string, xg double, shots bigint")
+    landed.write_table(df, path, fmt=fmt)
+    got = sorted(map(tuple, landed.scan(spark, path, df.schema, fmt).collect()))
+    assert got == [("a", 1.5, 3), ("b", None, None)]
+
+
+def test_row_wise_operators_accept_a_stream(spark):
+    path = scratch_path(spark, "stream")
+    df = spark.createDataFrame([("g1", "Wolves", "2–1", "Arsenal"), ("g2", "Leeds", None, "X")], "game_id string, home_team string, score string, away_team string")
+    df.write.parquet(path)
+    stream = clean.standardize_teams(ingest.normalize_schedule(spark.readStream.schema(df.schema).parquet(path)))
+    query = stream.writeStream.format("memory").queryName("landed").outputMode("append").start()
+    query.processAllAvailable()
+    query.stop()
+    got = sorted((r.fixture_id, r.home_team, r.home_goals) for r in spark.table("landed").collect())
+    assert got == [("g1", "Wolverhampton Wanderers", 2.0), ("g2", "Leeds United", None)]
+
+
 def test_typing_by_content(spark):
     df = spark.createDataFrame(
         [("Arsenal", "2", "0", "1.5", "Postponed"), ("Chelsea", "1", "3", "0.8", ""), ("Liverpool", "", None, "2.1", "Fine")],

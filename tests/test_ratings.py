@@ -51,9 +51,10 @@ def test_distributed_sweeps_equal_sweeps_in_task(spark, home_field_advantage):
     assert max(abs(x - y) for k in inside for x, y in zip(inside[k], spread[k])) < 1e-12
 
 
-def test_too_little_data_gives_defaults(spark):
+@pytest.mark.parametrize("cells", [ratings.MAX_GROUP_CELLS, 1])
+def test_too_little_data_gives_defaults(spark, cells):
     df = spark.createDataFrame([("A", "B", 2, 0), ("B", "A", None, None)], GAMES)
-    got = ratings.fit_poisson_ratings(df, []).collect()
+    got = ratings.fit_poisson_ratings(df, [], sweeps=1, max_group_cells=cells).collect()
     assert {(r.team, r.attack, r.defense, r.home_advantage) for r in got} == {("A", 1.0, 1.0, 1.25), ("B", 1.0, 1.0, 1.25)}
 
 
