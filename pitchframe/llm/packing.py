@@ -17,6 +17,7 @@ import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import filterfalse
 
 import numpy as np
 import pandas as pd
@@ -34,14 +35,14 @@ REMEMBERED = 400_000, 1_000_000
 ENDINGS = b".,!?;:%&$#*|"
 #: Rows of one length that are numbered together.
 ROWS_PER_BUCKET = 200_000
-TEXT_BATCH = 4_000_000
+TEXT_BATCH = 1_000_000
 
 _PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
 _PLAN = "length int, rank_from long, rank_to long, seq_from long, per_seq int, offset_from int"
 
 
 class WordIds:
-    """Token ids of a text as little-endian unsigned 32-bit integers.
+    """Token ids of texts as little-endian unsigned 32-bit integers.
 
     The vocabulary drops white space, ignores case and never joins over white space, so a
     text's ids are those of its words, and a word's are those of its stem and of the
@@ -65,48 +66,59 @@ class WordIds:
         return {word: np.asarray(encoding.ids, dtype="<u4").tobytes() for word, encoding in zip(words, found)}
 
     def _encode(self, words: list[bytes]) -> dict[bytes, bytes]:
-        """Words of ASCII letters in one go: each ends with a token that says so."""
-        plain = [w for w in words if w.isalpha() and w.isascii()]
-        out = self._encode_each([w for w in words if not (w.isalpha() and w.isascii())])
-        if plain:
-            encoding = self._tokenizer.encode_batch_fast([b" ".join(plain).decode("ascii")], add_special_tokens=False)[0]
+        """Words of letters in one go: each ends with a token that says so."""
+        letters, other = {}, []
+        for word in words:
+            text = word.decode("utf-8")
+            if text.isalpha() and (text.isascii() or text.lower().isalpha()):
+                letters[word] = text
+            else:
+                other.append(word)
+        out = self._encode_each(other)
+        if letters:
+            encoding = self._tokenizer.encode_batch_fast([" ".join(letters.values())], add_special_tokens=False)[0]
             ids = np.asarray(encoding.ids, dtype="<u4")
             ends = 4 * (np.flatnonzero(self._ends[ids]) + 1)
-            if len(ends) != len(plain):
-                return out | self._encode_each(plain)
+            if len(ends) != len(letters):
+                return out | self._encode_each(list(letters))
             raw, start = ids.tobytes(), 0
-            for word, end in zip(plain, ends.tolist()):
+            for word, end in zip(letters, ends.tolist()):
                 out[word] = raw[start:end]
                 start = end
         return out
 
     def _of_new(self, words: set[bytes]) -> dict[bytes, bytes]:
-        parts = {w: (stem, w[len(stem) :]) for w in words for stem in (w.rstrip(ENDINGS),)}
+        parts = [(w, stem, w[len(stem) :]) for w in words for stem in (w.rstrip(ENDINGS),)]
         stems = self._stems
-        extra = self._encode([p for p in {p for pair in parts.values() for p in pair if p} if p not in stems])
-        if len(stems) + len(extra) <= REMEMBERED[1]:
-            stems.update(extra)
+        extra = self._encode([p for p in {p for part in parts for p in part[1:]}.difference(stems) if p])
         extra[b""] = b""
-        of = lambda part: extra[part] if part in extra else stems[part]
-        return {w: of(stem) + of(ending) for w, (stem, ending) in parts.items()}
-
-    def __call__(self, text: str) -> bytes:
+        stems.update(extra)
+        found = {w: stems[stem] + stems[ending] for w, stem, ending in parts}
+        if len(stems) > REMEMBERED[1]:
+            for part in extra:
+                del stems[part]
+        return found
+
+    @staticmethod
+    def _words_of(text: str) -> list[bytes]:
         raw = text.encode("utf-8")
         if b"<|" not in raw:  # a special token's name keeps its case
             lower = raw.lower()
             # Lower case first, unless that lets a letter and a mark join that didn't before.
             if raw.isascii() or unicodedata.is_normalized("NFC", lower.decode("utf-8")):
                 raw = lower
-        listed = raw.split()
+        return raw.split()
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
         known = self._words
-        new = set(listed).difference(known)
-        if new:
-            found = self._of_new(new)
-            if len(known) + len(found) <= REMEMBERED[0]:
-                known.update(found)
-            else:
-                return b"".join([known[w] if w in known else found[w] for w in listed])
-        return b"".join([known[w] for w in listed])
+        listed = [self._words_of(text) for text in texts]
+        here = set().union(*listed)
+        found = self._of_new(here.difference(known))
+        if len(known) + len(found) <= REMEMBERED[0]:
+            known.update(found)
+        of = {w: found[w] if w in found else known[w] for w in here}
+        out = [b"".join(map(of.__getitem__, words)) for words in listed]
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -124,8 +136,8 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY)
         step = 4 * capacity
         for frame in text_slices(batches, "text", TEXT_BATCH):
             rows = []
-            for doc_id, text in zip(frame["doc_id"], frame["text"]):
-                ids = ids_of(text) + end
+            for doc_id, ids in zip(frame["doc_id"], ids_of(frame["text"].tolist())):
+                ids += end
                 for piece, at in enumerate(range(0, len(ids), step)):
                     part = ids[at : at + step]
                     rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))
