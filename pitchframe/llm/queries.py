@@ -7,12 +7,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitchframe.llm import mixing, packing, topk
-from pitchframe.llm.common import table
+from pitchframe.llm import langid, mixing, packing, quality, topk, warc
+from pitchframe.llm.common import crc32_bucket, table
 
 TOKENIZER = "word_bpe_49k.json"
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(crc32_bucket("doc_id", 4) == 2, F.lit(False))
+    profiles = langid.fit_on(held_out, docs)
+    return langid.identify(docs, profiles).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(table(spark, sf_dir, "documents"))
 
@@ -21,13 +28,27 @@ def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op5_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(crc32_bucket("doc_id", 5) == 0, F.lit(False))
+    trees = quality.fit_quality(docs, table(spark, sf_dir, "labels").where(~held_out))
+    return quality.quality_scores(docs, trees).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op7_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op2_source_mixing": op2_source_mixing,
     "op3_exact_topk": op3_exact_topk,
+    "op5_quality_trees": op5_quality_trees,
+    "op7_warc_round_trip": op7_warc_round_trip,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
 
