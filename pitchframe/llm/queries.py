@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitchframe.llm import langid, mixing, packing, quality, topk, warc
+from pitchframe.llm import fingerprint, langid, mixing, packing, pii, quality, topk, warc
 from pitchframe.llm.common import crc32_bucket, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -35,10 +35,18 @@ def op5_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(docs, trees).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op6_winnowed_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op7_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
@@ -48,7 +56,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_source_mixing": op2_source_mixing,
     "op3_exact_topk": op3_exact_topk,
     "op5_quality_trees": op5_quality_trees,
+    "op6_winnowed_fingerprints": op6_winnowed_fingerprints,
     "op7_warc_round_trip": op7_warc_round_trip,
+    "op8_personal_data": op8_personal_data,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
 
