@@ -5,6 +5,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,3 +59,38 @@ def text_slices(batches: Iterator[pd.DataFrame], column: str, limit: int) -> Ite
             total += n
         if start < len(frame):
             yield frame.iloc[start:]
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype="uint64", count=len(words))
+
+
+class RunHashes:
+    """Hashes of runs of consecutive items in O(1) each, from one pass over the items' hashes.
+
+    Polynomials modulo 2^64: a running sum of ``hash x base^i``, and a run's part of it
+    divided by the power it starts with.
+    """
+
+    _BASE = 0x9E3779B97F4A7C15
+    _INVERSE = pow(_BASE, -1, 1 << 64)
+    _powers = _inverses = np.ones(1, dtype="uint64")
+
+    def __init__(self, hashes: np.ndarray):
+        cls = type(self)
+        if len(cls._powers) <= len(hashes):
+            n = 2 * len(hashes) + 1024
+            for name, base in (("_powers", cls._BASE), ("_inverses", cls._INVERSE)):
+                steps = np.full(n, base, dtype="uint64")
+                steps[0] = 1
+                setattr(cls, name, np.cumprod(steps))
+        self._sums = np.zeros(len(hashes) + 1, dtype="uint64")
+        np.cumsum(hashes * cls._powers[: len(hashes)], out=self._sums[1:])
+
+    def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix((self._sums[end] - self._sums[start]) * self._inverses[start])
+
+    def every(self, length: int) -> np.ndarray:
+        """Of every run of ``length`` items, by its start."""
+        n = max(0, len(self._sums) - length)
+        return mix((self._sums[length : length + n] - self._sums[:n]) * self._inverses[:n])
