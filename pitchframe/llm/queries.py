@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitchframe.llm import fingerprint, langid, mixing, packing, pii, quality, substrings, topk, warc
+from pitchframe.llm import fingerprint, jaccard, langid, mixing, packing, pii, quality, substrings, topk, warc
 from pitchframe.llm.common import crc32_bucket, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -28,6 +28,10 @@ def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op4_shingle_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(crc32_bucket("doc_id", 5) == 0, F.lit(False))
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_source_mixing": op2_source_mixing,
     "op3_exact_topk": op3_exact_topk,
+    "op4_shingle_jaccard": op4_shingle_jaccard,
     "op5_quality_trees": op5_quality_trees,
     "op6_winnowed_fingerprints": op6_winnowed_fingerprints,
     "op7_warc_round_trip": op7_warc_round_trip,
