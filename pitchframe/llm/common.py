@@ -5,6 +5,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +25,11 @@ def shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def row_key(*columns: str) -> Column:
+    """Tells rows of one id and different contents apart."""
+    return F.hash(*[F.coalesce(F.col(c), F.lit("")) for c in columns])
+
+
 def crc32_bucket(key: str, modulus: int) -> Column:
     """crc32 of the key written as text, modulo ``modulus`` (a null key gives null)."""
     return F.crc32(F.col(key).cast("string").cast("binary")) % F.lit(modulus)
@@ -61,6 +68,20 @@ def text_slices(batches: Iterator[pd.DataFrame], column: str, limit: int) -> Ite
             yield frame.iloc[start:]
 
 
+def arrow_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``limit`` bytes of the text ``column``, at least one row each."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        start, total = 0, 0
+        for i, n in enumerate(sizes.tolist()):
+            if i > start and total + n > limit:
+                yield batch.slice(start, i - start)
+                start, total = i, 0
+            total += n
+        if start < batch.num_rows:
+            yield batch.slice(start)
+
+
 def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype="uint64", count=len(words))
 

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pitchframe.llm.common import NO_ID, RunHashes, filled_id, mix, restored_id, text_slices, word_hashes
+from pitchframe.llm.common import NO_ID, WORD, RunHashes, filled_id, mix, restored_id, row_key, text_slices, word_hashes
 from pitchframe.plans.scratch import written
 
 SHINGLE_WORDS = 3
@@ -116,7 +116,7 @@ def alike(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
 
 def _rows(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
-    return docs.select(filled_id(), F.hash(text).alias("row"), text.alias("text"))
+    return docs.select(filled_id(), row_key("text").alias("row"), text.alias("text"))
 
 
 def shingle_table(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int = PERCENT, parts: int = PARTS, different: int = DIFFERENT, band: int = BAND) -> DataFrame:
@@ -183,14 +183,8 @@ def components(links: DataFrame) -> DataFrame:
         edges = small
 
 
-def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int = PERCENT, parts: int = PARTS, different: int = DIFFERENT, band: int = BAND) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document.
-
-    A text of fewer words than a shingle is one shingle, all its words; a null text or one without
-    words has an empty set, linked with nothing. Equal sets are linked, also of rows
-    with equal ids. Null ids come before all others, and a component with one has a null
-    id. Repeated rows give repeated results, no rows give none, other columns are ignored.
-    """
+def _components_of(docs: DataFrame, shingle_words: int, percent: int, parts: int, different: int, band: int) -> DataFrame:
+    """doc_id and row of every document, its set size, and the smallest node of its component."""
     sets = written(shingle_table(docs, shingle_words, percent, parts, different, band), "shingle-sets")
     digest = ["d1", "d2", "n_shingles"]
     whose = F.struct("doc_id", "row")
@@ -230,6 +224,34 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent
             break
         leaders *= 4
 
-    labelled = classes.join(comps, "node", "left").select(*digest, F.coalesce("comp.doc_id", "node.doc_id").alias("component_id"))
-    out = sets.select("doc_id", *digest).join(labelled, digest, "left")
-    return out.select(restored_id(), "n_shingles", F.nullif(F.coalesce("component_id", "doc_id"), F.lit(NO_ID)).alias("component_id"))
+    labelled = classes.join(comps, "node", "left").select(*digest, F.coalesce("comp", "node").alias("comp"))
+    out = sets.select("doc_id", "row", *digest).join(labelled, digest, "left")
+    return out.select("doc_id", "row", "n_shingles", F.coalesce("comp", whose).alias("comp"))
+
+
+def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int = PERCENT, parts: int = PARTS, different: int = DIFFERENT, band: int = BAND) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document.
+
+    A text of fewer words than a shingle is one shingle, all its words; a null text or one without
+    words has an empty set, linked with nothing. Equal sets are linked, also of rows
+    with equal ids. Null ids come before all others, and a component with one has a null
+    id. Repeated rows give repeated results, no rows give none, other columns are ignored.
+    """
+    found = _components_of(docs, shingle_words, percent, parts, different, band)
+    component = F.nullif(F.col("comp.doc_id"), F.lit(NO_ID))
+    return found.select(restored_id(), "n_shingles", component.alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int = PERCENT, parts: int = PARTS, different: int = DIFFERENT, band: int = BAND) -> DataFrame:
+    """The rows of ``docs`` that stay when of each component only the smallest id is kept.
+
+    Repeated rows are copies of each other, so one stays; rows without words all stay.
+    """
+    found = _components_of(docs, shingle_words, percent, parts, different, band)
+    first = found.where("n_shingles > 0 AND doc_id = comp.doc_id AND row = comp.row")
+    first = first.select(F.col("doc_id").alias("__id"), F.col("row").alias("__row")).distinct()
+    keyed = docs.withColumn("__id", filled_id()).withColumn("__row", row_key("text"))
+    worded = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    copy = F.row_number().over(Window.partitionBy("__id", "__row").orderBy("__id"))
+    kept = keyed.where(worded).join(first, ["__id", "__row"], "left_semi").withColumn("__copy", copy).where("__copy = 1")
+    return kept.select(docs.columns).unionByName(docs.where(~worded))

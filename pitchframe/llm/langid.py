@@ -11,15 +11,17 @@ trained or kept.
 """
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from pitchframe.llm.common import filled_id, restored_id, text_slices
+from pitchframe.llm.common import arrow_slices, text_slices
 from pitchframe.plans.scratch import written
 
 DIMENSION = 1024
@@ -110,8 +112,8 @@ def language_profiles(labelled: DataFrame, per_language: int = FIT_ROWS_PER_LANG
     return {r["lang"]: [x for _, x in r["v"]] for r in rows}
 
 
-def identify(docs: DataFrame, profiles: dict[str, list[float]], dimension: int = DIMENSION, n: int = NGRAM, seed: int = SEED) -> DataFrame:
-    """``doc_id``, ``lang_pred`` and ``score`` of every row of ``docs`` (doc_id, text).
+def identify(docs: DataFrame, profiles: dict[str, list[float]], keep: Sequence[str] = ("doc_id",), dimension: int = DIMENSION, n: int = NGRAM, seed: int = SEED) -> DataFrame:
+    """The columns ``keep``, ``lang_pred`` and ``score`` of every row of ``docs``.
 
     The score is the cosine with the best profile, 0 at least. A null text or one without a
     letter is ``und`` with score 0, and so is everything where no profile was learned.
@@ -121,21 +123,23 @@ def identify(docs: DataFrame, profiles: dict[str, list[float]], dimension: int =
     names = sorted(profiles)
     matrix = np.asarray([profiles[x] for x in names], dtype=np.float64).reshape(len(names), dimension)
     matrix = (matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)).astype(np.float32)
+    kept = docs.select(*keep)
+    rows = docs.select(*keep, F.coalesce("text", F.lit("")).alias("__text"))
 
-    def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labels = np.asarray([*names, UNKNOWN], dtype=object)
-        for frame in text_slices(batches, "text", TEXT_BATCH):
-            vectors, known = document_vectors(frame["text"].tolist(), dimension, n, seed)
-            best, score = np.full(len(frame), len(names)), np.zeros(len(frame))
+        for batch in arrow_slices(batches, "__text", TEXT_BATCH):
+            vectors, known = document_vectors(batch.column("__text").to_pylist(), dimension, n, seed)
+            best, score = np.full(batch.num_rows, len(names)), np.zeros(batch.num_rows)
             if names:
                 cosines = (vectors @ matrix.T) / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
                 best = np.where(known, cosines.argmax(axis=1), len(names))
                 score = np.where(known, np.clip(cosines.max(axis=1), 0.0, 1.0), 0.0)
-            yield pd.DataFrame({"doc_id": frame["doc_id"].to_numpy(), "lang_pred": labels[best], "score": score.astype("float64")})
+            columns = [batch.column(c) for c in keep] + [pa.array(labels[best], pa.string()), pa.array(score, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*keep, "lang_pred", "score"])
 
-    rows = docs.select(filled_id(), F.coalesce("text", F.lit("")).alias("text"))
-    out = rows.mapInPandas(predict, "doc_id long, lang_pred string, score double")
-    return out.select(restored_id(), "lang_pred", "score")
+    schema = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(predict, schema)
 
 
 def fit_on(held_out: Column, docs: DataFrame) -> dict[str, list[float]]:

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pitchframe.llm.common import WORD, filled_id, restored_id
+from pitchframe.llm.common import WORD, filled_id, restored_id, row_key
 from pitchframe.plans.scratch import written
 
 WEIGHTS = (5, 2, 1)
@@ -25,7 +25,7 @@ MAX_REPEATS = 3.0
 GROUP_ROWS = 20_000
 SEED = 20_240_601
 
-_DECIDED = "__src int, __bucket long, doc_id long, size long, copies int, p double"
+_DECIDED = "__src int, __bucket long, doc_id long, row int, size long, copies int, p double"
 
 
 def word_sizes(docs: DataFrame) -> DataFrame:
@@ -94,7 +94,7 @@ def _round_level(rows: DataFrame, level: int, seed: int, last: bool) -> DataFram
     """Decide all but one document of every (source, bucket); ``last`` decides that one too."""
 
     def decide(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["doc_id", "size"], kind="stable").reset_index(drop=True)
+        frame = frame.sort_values(["doc_id", "row"], kind="stable").reset_index(drop=True)
         key = [seed, level, int(frame["__src"].iloc[0]), int(frame["__bucket"].iloc[0])]
         draws = np.random.Generator(np.random.PCG64(key)).random(len(frame) + 1)
         p, pivot = round_group(frame["p"].to_numpy(), frame["size"].to_numpy(dtype="float64"), draws)
@@ -113,7 +113,7 @@ def _round_level(rows: DataFrame, level: int, seed: int, last: bool) -> DataFram
 
 
 def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: float = MAX_REPEATS, group_rows: int = GROUP_ROWS, seed: int = SEED) -> DataFrame:
-    """doc_id, size, source_size, target, taken and copies of every document.
+    """doc_id, size, source_size, target, taken, copies and ``row`` of every document.
 
     ``copies`` is how often the mix takes the document, ``taken`` its words. A null or
     empty text has size 0 and takes no words. A null source is a source, the last. Equal
@@ -121,7 +121,7 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: fl
     documents of a bucket in order of their ids. No documents give no rows; other
     columns are ignored.
     """
-    sized = written(word_sizes(docs).select(filled_id(), "source", "size"), "sizes")
+    sized = written(word_sizes(docs).select(filled_id(), row_key("text", "source").alias("row"), "source", "size"), "sizes")
     targets = written(source_targets(sized, weights, max_repeats), "targets")
     same = sized["source"].eqNullSafe(targets["source"])
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -132,6 +132,7 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: fl
         "__src",
         F.pmod(F.xxhash64("doc_id", F.lit(seed)), buckets).alias("__bucket"),
         "doc_id",
+        "row",
         "size",
         F.floor(rate).cast("int").alias("copies"),
         F.when(F.col("size") > 0, rate - F.floor(rate)).otherwise(F.lit(0.0)).alias("p"),
@@ -152,4 +153,17 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: fl
     for part in decided[1:]:
         out = out.unionByName(part)
     named = targets.select("__src", "source_size", "target")
-    return out.join(named, "__src").select(restored_id(), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+    return out.join(named, "__src").select(restored_id(), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "row")
+
+
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: float = MAX_REPEATS, group_rows: int = GROUP_ROWS, seed: int = SEED) -> DataFrame:
+    """``docs`` with every row as often as the mix takes it; rows it doesn't take go."""
+    plan = mixture(docs, weights, max_repeats, group_rows, seed)
+    same = Window.partitionBy("__id", "__row")
+    # Rows that are alike in id, text and source share out the copies of their kind.
+    plan = plan.select(filled_id().alias("__id"), F.col("row").alias("__row"), "copies")
+    plan = plan.withColumn("__plan_nth", F.row_number().over(same.orderBy("copies")))
+    rows = docs.withColumn("__id", filled_id()).withColumn("__row", row_key("text", "source"))
+    rows = rows.withColumn("__nth", F.row_number().over(same.orderBy("__id")))
+    taken = rows.join(plan, ["__id", "__row"]).where("__nth - __plan_nth = 0 AND copies > 0")
+    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1), "copies"))).select(docs.columns)

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitchframe.llm.common import RunHashes, filled_id, mix, restored_id, text_slices, word_hashes
+from pitchframe.llm.common import RunHashes, filled_id, mix, restored_id, row_key, text_slices, word_hashes
 from pitchframe.plans.scratch import written
 
 MIN_WORDS = 50
@@ -73,7 +73,7 @@ def seeds_of(words: list[bytes], min_words: int = MIN_WORDS, anchor_words: int =
 def _rows(docs: DataFrame) -> DataFrame:
     """doc_id, text and ``row``, which tells rows of one id and different texts apart."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select(filled_id(), F.hash(text).alias("row"), text.alias("text"))
+    return docs.select(filled_id(), row_key("text").alias("row"), text.alias("text"))
 
 
 def find_seeds(docs: DataFrame, min_words: int = MIN_WORDS, anchor_words: int = ANCHOR_WORDS) -> DataFrame:
