@@ -47,21 +47,21 @@ TYPED_STATS = f"""
   cast({_number.format('shots')} as bigint) as shots, cast({_number.format('sot')} as bigint) as sot, notes
   from raw_match_stats)"""
 
-RESOLVED = """
+RESOLVED = ALIASES + f"""
 , calendar as (select date, team, min(game_id) as fixture_id from (
-   select game_id, date, home_team as team from raw_schedule union all
-   select game_id, date, away_team from raw_schedule) t where team is not null group by date, team)
+   select game_id, date, {_canonical('home_team')} as team from raw_schedule union all
+   select game_id, date, {_canonical('away_team')} from raw_schedule) t where team is not null group by date, team)
 , linked as (select nullif(regexp_extract(match_report, '/matches/([^/]+)/', 1), '') as link, * from typed)
 , resolved as (
   select link as fixture_id, match_report, date, season, league, team, opponent, xg, shots, sot, notes from linked
    where link in (select game_id from raw_schedule)
   union all
   select c.fixture_id, match_report, l.date, season, league, l.team, opponent, xg, shots, sot, notes
-   from linked l join calendar c on l.date = c.date and l.team = c.team where link is null)"""
+   from linked l join calendar c on l.date = c.date and {_canonical('l.team')} = c.team
+   where link is null or link not in (select game_id from raw_schedule where game_id is not null))"""
 
 MERGED = (
-    ALIASES
-    + f"""
+    f"""
 , per_team as (select fixture_id, {_canonical('team')} as name,
    first(xg order by match_report nulls first, xg) filter (where xg is not null) as xg,
    cast(first(shots order by match_report nulls first, shots) filter (where shots is not null) as double) as shots,
@@ -102,11 +102,11 @@ STRENGTH = """
 
 STATIC = f"""
 , static as (select f.*,
-   {_round('1.35 * h.attack * a.defense * sqrt(v.home_advantage)', 3)} as expected_home_goals,
-   {_round('1.35 * a.attack * h.defense / sqrt(v.home_advantage)', 3)} as expected_away_goals
-  from fixtures f join advantages v on v.season = f.season
-  join strength h on h.season = f.season and h.team = f.home_team
-  join strength a on a.season = f.season and a.team = f.away_team)"""
+   {_round('1.35 * coalesce(h.attack, 1.0) * coalesce(a.defense, 1.0) * sqrt(coalesce(v.home_advantage, 1.25))', 3)} as expected_home_goals,
+   {_round('1.35 * coalesce(a.attack, 1.0) * coalesce(h.defense, 1.0) / sqrt(coalesce(v.home_advantage, 1.25))', 3)} as expected_away_goals
+  from fixtures f left join advantages v on v.season = f.season
+  left join strength h on h.season = f.season and h.team = f.home_team
+  left join strength a on a.season = f.season and a.team = f.away_team)"""
 
 _STATIC_ALL = OBSERVATIONS + LEAGUE + STRENGTH + STATIC
 
@@ -298,7 +298,7 @@ select fixture_id, team, match_report, date, notes from resolved"""
 ORACLES["player_minutes"] = ctes("player_logs") + " select * from player_logs where fixture_id = '00000421'"
 
 ORACLES["conform_player_logs"] = ctes("player_logs") + """
-select fixture_id, date, team, concat(player_name, '|', team) as player_id, player_name, position, minutes_played from player_logs"""
+select fixture_id, date, team, case when player_name is not null then concat_ws('|', player_name, team) end as player_id, player_name, position, minutes_played from player_logs"""
 
 ORACLES["elo_snapshot"] = ctes("elo") + """
 select team, max(date) as date, arg_max(elo, date) as elo from elo where date <= timestamp '2024-01-20 12:00:00' group by team"""

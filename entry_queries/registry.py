@@ -339,10 +339,12 @@ def _static_expected_goals(spark, sf):
         )
         fixtures = lookup(fixtures, side, ["season", f"{role}_team"])
     known = lambda c: F.coalesce(F.col(c), F.lit(1.0))
+    # a season without a played match has the advantage of a cold start
+    usual = F.coalesce("home_advantage", F.lit(numeric.COLD_START_ADVANTAGE))
     home, away = numeric.expected_goals(
-        *[known(f"{r}_{k}") for r in ("home", "away") for k in ("attack", "defense")], F.col("home_advantage")
+        *[known(f"{r}_{k}") for r in ("home", "away") for k in ("attack", "defense")], usual
     )
-    joined = fixtures.join(advantage, "season")
+    joined = lookup(fixtures, advantage, ["season"])
     return joined.withColumns({"expected_home_goals": home, "expected_away_goals": away})
 
 

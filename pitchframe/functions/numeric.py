@@ -31,6 +31,13 @@ def to_number(c: Column) -> Column:
     return F.when(text.rlike(NUMBER_PATTERN), text.try_cast("double"))
 
 
+def to_integer(c: Column) -> Column:
+    """Bigint value of a decimal number that is whole and fits, digit by digit; null for any other text."""
+    number = to_number(c)
+    exact = F.when(number.isNotNull(), stripped(c).try_cast("bigint"))
+    return F.coalesce(exact, F.when(number % 1 == 0, number.try_cast("bigint")))
+
+
 def expected_goals(
     home_attack: Column,
     home_defense: Column,

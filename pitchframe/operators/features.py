@@ -73,32 +73,36 @@ def _add_rest(groups: OrderedGroups) -> OrderedGroups:
     return groups.with_frame(groups.frame.withColumn("rest_days", rest).drop("__last"))
 
 
-def _per_fixture(groups: OrderedGroups, features: tuple[str, ...]) -> DataFrame:
+def _per_fixture(groups: OrderedGroups, features: tuple[str, ...], fixtures: DataFrame) -> DataFrame:
+    """One row per fixture; one without any team has no features."""
     columns = [
         F.max(F.when(F.col("home") == flag, F.col(f))).alias(f"{role}_{f}")
         for role, flag in (("home", 1), ("away", 0))
         for f in features
     ]
-    return groups.result().groupBy("fixture_id").agg(*columns)
+    rows = groups.result()
+    teamless = fixtures.where(F.col("home_team").isNull() & F.col("away_team").isNull()).select("fixture_id")
+    rows = rows.unionByName(teamless, allowMissingColumns=True)
+    return rows.groupBy("fixture_id").agg(*columns)
 
 
 def rolling_form(
     fixtures: DataFrame, points_window: int = POINTS_WINDOW, goals_window: int = GOALS_WINDOW
 ) -> DataFrame:
     """Points and mean goals of both teams over their last matches."""
-    return _per_fixture(_add_form(_team_rows(fixtures), points_window, goals_window), FORM)
+    return _per_fixture(_add_form(_team_rows(fixtures), points_window, goals_window), FORM, fixtures)
 
 
 def rolling_xg(
     fixtures: DataFrame, for_window: int = XG_FOR_WINDOW, against_window: int = XG_AGAINST_WINDOW
 ) -> DataFrame:
     """Mean xg for and against of both teams over their last matches."""
-    return _per_fixture(_add_xg(_team_rows(fixtures), for_window, against_window), XG)
+    return _per_fixture(_add_xg(_team_rows(fixtures), for_window, against_window), XG, fixtures)
 
 
 def rest_days(fixtures: DataFrame) -> DataFrame:
     """Days since the previous match of each team."""
-    return _per_fixture(_add_rest(_team_rows(fixtures)), REST)
+    return _per_fixture(_add_rest(_team_rows(fixtures)), REST, fixtures)
 
 
 def team_features(
@@ -111,7 +115,7 @@ def team_features(
     """Form, xg and rest days together: one shuffle by team, one by fixture."""
     groups = _add_form(_team_rows(fixtures), points_window, goals_window)
     groups = _add_rest(_add_xg(groups, for_window, against_window))
-    return _per_fixture(groups, (*FORM, *XG, *REST))
+    return _per_fixture(groups, (*FORM, *XG, *REST), fixtures)
 
 
 def head_to_head(fixtures: DataFrame) -> DataFrame:
@@ -138,7 +142,7 @@ def head_to_head(fixtures: DataFrame) -> DataFrame:
     )
     own = lambda a, b: F.when(F.col("at_home"), F.col(a)).otherwise(F.col(b))
     wins, losses = own("__low_wins", "__high_wins"), own("__high_wins", "__low_wins")
-    return history.result().select(
+    met = history.result().select(
         "fixture_id",
         "h2h_matches",
         wins.alias("h2h_home_wins"),
@@ -149,6 +153,9 @@ def head_to_head(fixtures: DataFrame) -> DataFrame:
             "h2h_goal_diff"
         ),
     )
+    # a fixture without one of its teams has no history, not an empty one
+    teamless = fixtures.where(F.col("home_team").isNull() | F.col("away_team").isNull())
+    return met.unionByName(teamless.select("fixture_id"), allowMissingColumns=True)
 
 
 def elo_asof(fixtures: DataFrame, elo: DataFrame) -> DataFrame:
@@ -170,7 +177,10 @@ def elo_asof(fixtures: DataFrame, elo: DataFrame) -> DataFrame:
         nothing.cast("int").alias("home"), "elo",
     )
     timeline = asked.withColumn("fixture_id", F.col("fixture_id").cast("string")).unionByName(rated)
-    timeline = timeline.where(F.col("team").isNotNull() & F.col("date").isNotNull())
+    placed = F.col("team").isNotNull() & F.col("date").isNotNull()
+    # without a team or a date there is nothing to look up, but still a fixture
+    placeless = timeline.where(~placed & (F.col("kind") == 0)).select("fixture_id", "home")
+    timeline = timeline.where(placed)
     # at one instant fixtures come before ratings: a rating counts strictly later
     known = F.when(F.col("elo").isNotNull(), F.struct("date", "elo"))
     latest = ordered_groups(timeline, ["team"], ["date", "kind", "fixture_id", "home", "elo"]).running(
@@ -180,6 +190,8 @@ def elo_asof(fixtures: DataFrame, elo: DataFrame) -> DataFrame:
     return (
         latest.result()
         .where(F.col("kind") == 0)
+        .select("fixture_id", "home", "latest")
+        .unionByName(placeless, allowMissingColumns=True)
         .groupBy("fixture_id")
         .agg(side(1).alias("home_elo"), side(0).alias("away_elo"))
         .withColumn("elo_diff", F.col("home_elo") - F.col("away_elo"))

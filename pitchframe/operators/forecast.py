@@ -134,10 +134,18 @@ def outcome_probabilities(
 def blend_probabilities(
     first: DataFrame, second: DataFrame, weights: tuple[float, float] = BLEND_WEIGHTS
 ) -> DataFrame:
-    """Weighted mean of two probability sets per fixture, rescaled to sum 1."""
-    a = first.select("fixture_id", *[F.col(o).alias(f"__a_{o}") for o in OUTCOMES])
-    b = second.select("fixture_id", *[F.col(o).alias(f"__b_{o}") for o in OUTCOMES])
-    mixed = {o: weights[0] * F.col(f"__a_{o}") + weights[1] * F.col(f"__b_{o}") for o in OUTCOMES}
-    joined = a.join(b, "fixture_id").withColumns(mixed)
+    """Weighted mean of two probability sets per fixture, rescaled to sum 1.
+
+    A fixture that only one set has keeps that set's probabilities.
+    """
+    a = first.select("fixture_id", F.lit(True).alias("__in_a"), *[F.col(o).alias(f"__a_{o}") for o in OUTCOMES])
+    b = second.select("fixture_id", F.lit(True).alias("__in_b"), *[F.col(o).alias(f"__b_{o}") for o in OUTCOMES])
+    mixed = {
+        o: F.when(F.col("__in_a") & F.col("__in_b"), weights[0] * F.col(f"__a_{o}") + weights[1] * F.col(f"__b_{o}"))
+        .when(F.col("__in_a"), F.col(f"__a_{o}"))
+        .otherwise(F.col(f"__b_{o}"))
+        for o in OUTCOMES
+    }
+    joined = a.join(b, "fixture_id", "full").withColumns(mixed)
     whole = F.nullif(sum((F.col(o) for o in OUTCOMES), F.lit(0.0)), F.lit(0.0))
     return joined.select("fixture_id", *[(F.col(o) / whole).alias(o) for o in OUTCOMES])

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pitchframe import schemas
-from pitchframe.functions.numeric import is_blank, to_number
-from pitchframe.functions.text import parse_score
+from pitchframe.functions.numeric import is_blank, to_integer, to_number
+from pitchframe.functions.text import canonical_team, parse_score
 from pitchframe.plans.skew import lookup
 
 NUMERIC_SHARE = 0.8
@@ -50,14 +50,16 @@ def numeric_profile(df: DataFrame) -> DataFrame:
     # long form: one short expression for all columns, combined before the shuffle
     filled = ~is_blank(F.col("text"))
     number = F.when(filled, to_number(F.col("text")))
+    # a whole number beyond 64 bits is not an integer of any column
+    whole = F.when(number.isNotNull(), to_integer(F.col("text")).isNotNull())
     return (
         df.select(F.inline(texts))
-        .select("column", filled.alias("filled"), number.alias("number"))
+        .select("column", filled.alias("filled"), number.alias("number"), whole.alias("whole"))
         .groupBy("column")
         .agg(
             F.count_if("filled").alias("non_blank"),
             F.count("number").alias("numeric"),
-            F.coalesce(F.bool_and(F.col("number") % 1 == 0), F.lit(True)).alias("integral"),
+            F.coalesce(F.bool_and("whole"), F.lit(True)).alias("integral"),
         )
     )
 
@@ -77,7 +79,10 @@ def infer_numeric(df: DataFrame, share: float = NUMERIC_SHARE) -> dict[str, str]
 
 def apply_types(df: DataFrame, types: dict[str, str]) -> DataFrame:
     """Cast text columns to the given numeric types; anything else in them becomes null."""
-    casts = {c: to_number(F.col(f"`{c}`")).cast(t) for c, t in types.items()}
+    casts = {
+        c: to_integer(F.col(f"`{c}`")) if t == "bigint" else to_number(F.col(f"`{c}`")).cast(t)
+        for c, t in types.items()
+    }
     return df.withColumns(casts) if casts else df
 
 
@@ -111,13 +116,14 @@ def resolve_fixture_key(
     """Statistics rows of all fixtures at once, each with its ``fixture_id``.
 
     The id is cut out of the report link, so fixtures join by equality. A row
-    without a usable link is matched by (date, team). Rows matching no fixture
-    are left out.
+    without a link, or with one of no fixture, is matched by (date, team) under
+    canonical names. Rows matching no fixture are left out.
     """
-    at = lambda date, team: F.concat(F.lit("at "), F.col(date).cast("string"), F.lit("|"), F.col(team))
+    at = lambda date, team: F.concat(
+        F.lit("at "), F.col(date).cast("string"), F.lit("|"), canonical_team(F.col(team))
+    )
     by_id = lambda c: F.concat(F.lit("id "), c)
     link = F.nullif(F.regexp_extract("match_report", pattern, 1), F.lit(""))
-    wanted = F.coalesce(by_id(link), at("date", "team"))
     # both ways of finding a fixture in one table, so both inputs are read once
     ways = F.array(by_id(F.col("fixture_id")), at("date", "home_team"), at("date", "away_team"))
     known = (
@@ -126,8 +132,12 @@ def resolve_fixture_key(
         .groupBy("__key")
         .agg(F.min("fixture_id").alias("fixture_id"))
     )
-    keyed = stats.drop("fixture_id").withColumn("__key", wanted)
-    return lookup(keyed, known, ["__key"], "inner").select(
+    linked = lookup(stats.drop("fixture_id").withColumn("__key", by_id(link)), known, ["__key"])
+    # rows that have found their fixture have no second key
+    missing = F.when(F.col("__linked").isNull(), at("date", "team"))
+    keyed = linked.withColumnRenamed("fixture_id", "__linked").withColumn("__key", missing)
+    found = lookup(keyed, known, ["__key"]).withColumn("fixture_id", F.coalesce("__linked", "fixture_id"))
+    return found.where(F.col("fixture_id").isNotNull()).select(
         "fixture_id", *[c for c in stats.columns if c != "fixture_id"]
     )
 
@@ -138,12 +148,15 @@ def player_minutes(players: DataFrame, fixture_id: str) -> DataFrame:
 
 
 def conform_player_logs(players: DataFrame, fixtures: DataFrame) -> DataFrame:
-    """Player summaries as player logs: standard names, an id, the date of the fixture."""
+    """Player summaries as player logs: standard names, an id, the date of the fixture.
+
+    A player without a name has no id.
+    """
     for old, new in (("player", "player_name"), ("minutes", "minutes_played")):
         if new not in players.columns and old in players.columns:
             players = players.withColumnRenamed(old, new)
     if "player_id" not in players.columns:
-        players = players.withColumn("player_id", F.concat_ws("|", "player_name", "team"))
+        players = players.withColumn("player_id", F.when(F.col("player_name").isNotNull(), F.concat_ws("|", "player_name", "team")))
     players = schemas.with_nulls_for_missing(players, {"position": "string"})
     dates = fixtures.groupBy("fixture_id").agg(F.min("date").alias("date"))
     joined = lookup(players.drop("date"), dates, ["fixture_id"])

@@ -28,7 +28,8 @@ def test_blend_sums_to_one(spark):
     schema = "fixture_id string, p_home double, p_draw double, p_away double"
     a = spark.createDataFrame([("x", 0.5, 0.3, 0.2)], schema)
     b = spark.createDataFrame([("x", 0.2, 0.2, 0.2), ("y", 1.0, 0.0, 0.0)], schema)
-    (row,) = forecast.blend_probabilities(a, b, (0.75, 0.25)).collect()
+    row, alone = forecast.blend_probabilities(a, b, (0.75, 0.25)).orderBy("fixture_id").collect()
+    assert tuple(alone) == ("y", 1.0, 0.0, 0.0)
     assert abs(row.p_home + row.p_draw + row.p_away - 1) < 1e-12
     assert abs(row.p_home - (0.75 * 0.5 + 0.25 * 0.2) / (0.75 + 0.25 * 0.6)) < 1e-12
 
@@ -106,3 +107,22 @@ def test_rating_as_of_is_strictly_earlier(spark, fixtures):
     assert got == {"f1": (None, None), "f2": (1400.0, 1500.0), "f3": (1500.0, None), "f4": (1400.0, None), "f5": (1600.0, 1400.0)}
     missing = {(r.team, r.missing_in) for r in features.unmatched_teams(fixtures, elo).collect()}
     assert missing == {("C", "elo"), ("D", "elo")}
+
+
+def test_every_fixture_keeps_its_row(spark):
+    rows = [("f1", "2024-08-16", "A", "B"), ("f2", None, "A", "B"), ("f3", "2024-08-20", None, "B"), ("f4", "2024-08-21", None, None)]
+    odd = spark.createDataFrame([(*r, 1, 0, 1.0, 0.5) for r in rows], "fixture_id string, date string, home_team string, away_team string, home_goals int, away_goals int, home_xg double, away_xg double")
+    elo = spark.createDataFrame([("A", "2024-08-01", 1500.0)], "team string, date string, elo double")
+    ids = ["f1", "f2", "f3", "f4"]
+    asof = {r["fixture_id"]: r["home_elo"] for r in features.elo_asof(odd, elo).collect()}
+    assert sorted(asof) == ids and asof["f1"] == 1500.0 and asof["f2"] is None
+    for table in (features.head_to_head(odd), features.rolling_form(odd), features.rest_days(odd), features.team_features(odd)):
+        assert sorted(r["fixture_id"] for r in table.collect()) == ids
+
+
+def test_blend_keeps_fixtures_of_one_set(spark):
+    schema = "fixture_id string, p_home double, p_draw double, p_away double"
+    a = spark.createDataFrame([("x", 0.5, 0.3, 0.2), ("y", 0.2, 0.2, 0.6)], schema)
+    b = spark.createDataFrame([("y", 0.2, 0.2, 0.6), ("z", 0.1, 0.1, 0.8)], schema)
+    got = {r["fixture_id"]: round(r[1], 6) for r in forecast.blend_probabilities(a, b).collect()}
+    assert got == {"x": 0.5, "y": 0.2, "z": 0.1}

@@ -136,7 +136,8 @@ def test_key_resolution_by_link_and_by_date(spark):
         "match_report string, date timestamp_ntz, team string, shots int",
     )
     got = {r.shots: r.fixture_id for r in ingest.resolve_fixture_key(stats, fixtures).collect()}
-    assert got == {1: "f2", 2: "f1", 3: "f1"}
+    # 4 has a link of no fixture and is found by date and team
+    assert got == {1: "f2", 2: "f1", 3: "f1", 4: "f1"}
 
 
 def test_conforming_player_logs(spark):
@@ -146,3 +147,29 @@ def test_conforming_player_logs(spark):
     got = ingest.conform_player_logs(players, fixtures)
     assert got.schema.fieldNames() == schemas.PLAYER_LOGS.fieldNames()
     assert tuple(got.first()) == ("f1", day, "X", "Player A|X", "Player A", None, 90.0)
+
+
+def test_typing_keeps_every_digit_and_survives_overflow(spark):
+    rows = [("9007199254740993", "1e20", "3.0"), ("-123456789012345678", "5", "+4")]
+    typed = ingest.sanitize_match_stats(spark.createDataFrame(rows, "a string, b string, c string"))
+    assert dict(typed.dtypes) == {"a": "bigint", "b": "double", "c": "bigint"}
+    assert [tuple(r) for r in typed.orderBy("c").collect()] == [(9007199254740993, 1e20, 3), (-123456789012345678, 5.0, 4)]
+    pinned = ingest.apply_types(spark.createDataFrame([("1e20",)], "a string"), {"a": "bigint"})
+    assert pinned.first()["a"] is None
+
+
+def test_fixture_is_found_under_another_name_or_an_unknown_link(spark):
+    fixtures = spark.createDataFrame([("m1", "2024-08-16", "Manchester Utd", "Fulham")], "fixture_id string, date string, home_team string, away_team string")
+    stats = spark.createDataFrame(
+        [("Man United", None, "2024-08-16"), ("Fulham", "/en/matches/zzz/x", "2024-08-16"), ("Fulham", "/en/matches/m1/x", "2020-01-01"), ("Leeds", None, "2024-08-16")],
+        "team string, match_report string, date string",
+    )
+    found = ingest.resolve_fixture_key(stats, fixtures)
+    assert sorted((r["fixture_id"], r["team"], r["date"]) for r in found.collect()) == [("m1", "Fulham", "2020-01-01"), ("m1", "Fulham", "2024-08-16"), ("m1", "Man United", "2024-08-16")]
+
+
+def test_players_without_a_name_have_no_id(spark):
+    players = spark.createDataFrame([("f1", None, "A", 10), ("f1", "P", "A", 20)], "fixture_id string, player string, team string, minutes int")
+    fixtures = spark.createDataFrame([("f1", "2024-08-16")], "fixture_id string, date string")
+    got = {r["minutes_played"]: r["player_id"] for r in ingest.conform_player_logs(players, fixtures).collect()}
+    assert got == {10: None, 20: "P|A"}
