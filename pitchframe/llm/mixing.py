@@ -121,6 +121,8 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: fl
     documents of a bucket in order of their ids. No documents give no rows; other
     columns are ignored.
     """
+    if group_rows < 2:
+        raise ValueError("documents are rounded in pairs: group_rows is 2 at least")
     sized = written(word_sizes(docs).select(filled_id(), row_key("text", "source").alias("row"), "source", "size"), "sizes")
     targets = written(source_targets(sized, weights, max_repeats), "targets")
     same = sized["source"].eqNullSafe(targets["source"])
