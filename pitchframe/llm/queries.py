@@ -89,4 +89,49 @@ ORACLES: dict[str, str] = {
         )
         SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM ranked WHERE r <= 5
     """,
+    "op4_shingle_jaccard": r"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                              '[^\x20\x09-\x0D]+') AS w
+            FROM documents
+        ),
+        sets AS (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) END AS s
+            FROM words
+        ),
+        shingles AS MATERIALIZED (SELECT doc_id, len(s) AS n, hash(unnest(s)) AS h FROM sets),
+        links AS MATERIALIZED (
+            SELECT a.doc_id AS x, b.doc_id AS y
+            FROM shingles AS a JOIN shingles AS b
+              ON a.h = b.h AND a.doc_id < b.doc_id AND 100 * a.n >= 90 * b.n AND 100 * b.n >= 90 * a.n
+            GROUP BY a.doc_id, b.doc_id, a.n, b.n
+            HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))
+        ),
+        paired AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+        reach(x, y) AS (SELECT x, y FROM paired UNION SELECT r.x, b.y FROM reach AS r JOIN paired AS b ON b.x = r.y)
+        SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles,
+               least(doc_id, coalesce((SELECT min(y) FROM reach WHERE x = doc_id), doc_id)) AS component_id
+        FROM sets
+    """,
+    "op10_substring_dedup": r"""
+        WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        windows AS MATERIALIZED (
+            SELECT doc_id, s, array_to_string(w[s:s + 49], ' ') AS k
+            FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS s FROM words WHERE len(w) >= 50)
+        ),
+        earliest AS (SELECT k, min(doc_id) AS f FROM windows GROUP BY k),
+        gone AS (
+            SELECT DISTINCT doc_id, unnest(range(s, s + 50)) AS p
+            FROM windows JOIN earliest USING (k) WHERE f < doc_id
+        ),
+        listed AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM words),
+        kept AS (
+            SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t, count(*) AS n
+            FROM listed ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id
+        )
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+               sha256(coalesce(t, '')) AS kept_sha256
+        FROM words LEFT JOIN kept USING (doc_id)
+    """,
 }
