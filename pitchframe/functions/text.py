@@ -1,6 +1,7 @@
 """Column functions over labels, scores, names and positions."""
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 
 from pyspark.sql import Column
@@ -70,6 +71,13 @@ def lookup(mapping: Mapping[str, str], key: Column) -> Column:
     return F.try_element_at(F.create_map(*entries), key)
 
 
+def plain_season_label(season: str) -> str:
+    """The label of a season given as text, for use in a filter; anything else is an error."""
+    if not re.fullmatch(r"[0-9]{4}[/-][0-9]{4}", season):
+        raise ValueError(f"season must be YYYY/YYYY or YYYY-YYYY: {season}")
+    return season.replace("/", "-")
+
+
 def season_label(c: Column, *, strict: bool = False) -> Column:
     """``2024/2025`` or ``2024-2025`` as ``2024-2025``; null, or an error if strict, otherwise."""
     fits = F.coalesce(c.rlike(SEASON_PATTERN), F.lit(False))

@@ -2,6 +2,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -291,16 +293,21 @@ def fit_poisson_ratings(
         )
         return ratings.drop("__whole")
     cells = written(rating_cells(fixtures, group), "rating-cells")
-    largest = cells.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
-    solve = _solve_in_task if largest <= max_group_cells else _solve_distributed
-    return solve(
-        cells,
-        group,
-        sweeps=sweeps,
-        home_field_advantage=home_field_advantage,
-        alpha=alpha,
-        default_advantage=numeric.COLD_START_ADVANTAGE,
-    )
+    options = {
+        "sweeps": sweeps,
+        "home_field_advantage": home_field_advantage,
+        "alpha": alpha,
+        "default_advantage": numeric.COLD_START_ADVANTAGE,
+    }
+    # each group by its own size: one that is too large changes nothing for the others
+    large = cells.groupBy(*group).count().where(F.col("count") > max_group_cells)
+    large = large.select(*[F.col(g).alias(f"__{g}") for g in group])
+    if large.isEmpty():
+        return _solve_in_task(cells, group, **options)
+    large = written(large, "large-groups")
+    same = reduce(and_, [F.col(g).eqNullSafe(F.col(f"__{g}")) for g in group])
+    small = _solve_in_task(cells.join(large, same, "left_anti"), group, **options)
+    return small.unionByName(_solve_distributed(cells.join(large, same, "left_semi"), group, **options))
 
 
 def fit_poisson_ratings_glr(

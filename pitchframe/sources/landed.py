@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pitchframe import schemas
-from pitchframe.functions.text import season_label
+from pitchframe.functions.text import plain_season_label
 from pitchframe.operators import ingest
 
 
@@ -47,8 +47,7 @@ def scan_or_empty(
 def of_season(df: DataFrame, season: str | None = None, league: str | None = None) -> DataFrame:
     """Rows of one season (either label form) and league; no filter for ``None``."""
     if season is not None:
-        wanted = df.sparkSession.range(1).select(season_label(F.lit(season), strict=True)).first()[0]
-        df = df.where(F.col("season") == wanted)
+        df = df.where(F.col("season") == plain_season_label(season))
     if league is not None:
         df = df.where(F.col("league") == league)
     return df

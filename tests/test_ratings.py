@@ -177,3 +177,16 @@ def test_window_members_and_latest(spark):
     last = ratings.team_last_n(df, 3)
     assert last.groupBy("team").count().where("count = 3").count() == 4
     assert last._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") == 2
+
+
+def test_one_large_group_among_small_ones(spark):
+    df = _season(spark).withColumn("season", F.when(F.col("fixture_id") < "f0010", "a"))
+    run = lambda cells: {
+        (r.season, r.team): (r.attack, r.defense, r.home_advantage)
+        for r in ratings.fit_poisson_ratings(df, sweeps=2, max_group_cells=cells).collect()
+    }
+    sizes = sorted(r["count"] for r in ratings.rating_cells(df, ["season"]).groupBy("season").count().collect())
+    assert sizes[0] < sizes[-1]
+    inside, mixed = run(ratings.MAX_GROUP_CELLS), run(sizes[0])
+    assert inside.keys() == mixed.keys()
+    assert max(abs(x - y) for k in inside for x, y in zip(inside[k], mixed[k])) < 1e-12
