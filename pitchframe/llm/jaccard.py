@@ -13,8 +13,9 @@ in what they share, never in what they both lack.
 
 Copies are one node, the class of equal sets. Nodes that meet are compared with the smallest
 node of the meeting, not with one another; only where nodes of different components
-remain in a meeting are more of them compared, until none is left. The components hold
-every link; pairs within a component needn't be listed.
+remain in a meeting are more of them compared, until none is left, and of these only
+those whose sizes and sketches allow a link. The components hold every link; pairs
+within a component needn't be listed.
 """
 from __future__ import annotations
 
@@ -37,7 +38,11 @@ PARTS, DIFFERENT = 2, 1
 BAND = 150
 TEXT_BATCH = 2_000_000
 
-_SETS = "doc_id long, row int, n_shingles long, d1 long, d2 long, signatures array<long>"
+#: Bits of a set's sketch, 64 to a word. Leaders of a meeting grow by this factor per round.
+SKETCH_WORDS = 8
+MORE_LEADERS = 16
+
+_SETS = "doc_id long, row int, n_shingles long, d1 long, d2 long, sketch array<long>, signatures array<long>"
 
 
 def shingle_set(text: str, shingle_words: int = SHINGLE_WORDS) -> np.ndarray:
@@ -106,6 +111,17 @@ def _enumerate(shingles: np.ndarray, k: int, parts: int, different: int, number:
     return np.concatenate(out), whole
 
 
+def parity_sketch(shingles: np.ndarray) -> np.ndarray:
+    """For each of the sketch's bits, whether an odd number of elements falls on it.
+
+    An element that only one of two sets has turns one bit, so sketches differ in at most as
+    many bits as the sets in elements.
+    """
+    cells = 64 * SKETCH_WORDS
+    odd = np.bincount((shingles >> np.uint64(20)).astype("int64") % cells, minlength=cells) & 1
+    return np.packbits(odd.astype("uint8")).view("int64")
+
+
 def alike(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     small, large = sorted((len(a), len(b)))
     if 100 * small < percent * large:
@@ -133,6 +149,7 @@ def shingle_table(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent:
                     "n_shingles": [len(s) for s in sets],
                     "d1": np.asarray([mix(s ^ one).sum() for s in sets], dtype="uint64").view("int64"),
                     "d2": np.asarray([mix(s ^ two).sum() for s in sets], dtype="uint64").view("int64"),
+                    "sketch": [parity_sketch(s) for s in sets],
                     "signatures": [signatures(s, percent, parts, different, band).view("int64") for s in sets],
                 }
             )
@@ -188,47 +205,64 @@ def _components_of(docs: DataFrame, shingle_words: int, percent: int, parts: int
     sets = written(shingle_table(docs, shingle_words, percent, parts, different, band), "shingle-sets")
     digest = ["d1", "d2", "n_shingles"]
     whose = F.struct("doc_id", "row")
-    classes = sets.where("n_shingles > 0").groupBy(*digest).agg(F.min(whose).alias("node"))
+    classes = sets.where("n_shingles > 0").groupBy(*digest).agg(F.min(whose).alias("node"), F.first("sketch").alias("sketch"))
     classes = written(classes, "set-classes")
     # Signatures that more than one set has.
     meetings = sets.select(F.explode("signatures").alias("signature"), "d1")
     shared = meetings.groupBy("signature").agg(F.min("d1").alias("a"), F.max("d1").alias("b")).where("a < b").select("signature")
+    # A table of its own, so that a hot signature's rows can be split in the join.
+    shared = written(shared, "shared-signatures")
     members = meetings.join(shared, "signature").distinct().join(classes.select("d1", "node"), "d1")
     live = written(members.select("signature", "node"), "meetings")
     nodes = live.select("node").distinct().select(F.col("node.doc_id").alias("doc_id"), F.col("node.row").alias("row"))
     texts = _rows(docs).join(nodes, ["doc_id", "row"]).dropDuplicates(["doc_id", "row"])
     texts = written(texts.select(whose.alias("node"), "text"), "meeting-texts")
 
-    links, leaders, comps = None, 1, None
-    while True:
-        if leaders == 1:
-            lead = live.groupBy("signature").agg(F.min("node").alias("lead"))
-            pairs = live.join(lead, "signature").where("node > lead").select("lead", "node").distinct()
-        else:
-            rank = F.row_number().over(Window.partitionBy("signature").orderBy("node"))
-            ranked = written(live.withColumn("rank", rank), "ranked")
-            lead = ranked.where(F.col("rank") <= leaders).select("signature", F.col("node").alias("lead"), F.col("comp").alias("lead_comp"))
-            pairs = ranked.join(lead, "signature").where("node > lead AND NOT comp <=> lead_comp").select("lead", "node").distinct()
+    # Round one: the smallest node of every meeting against the others.
+    lead = written(live.groupBy("signature").agg(F.min("node").alias("lead")), "leads")
+    pairs = live.join(lead, "signature").where("node > lead").select("lead", "node").distinct()
+    links = written(_linked(pairs, texts, shingle_words, percent), "links")
+    comps = written(components(links), "components")
+    rest = live.join(lead, "signature").where("node > lead").select("signature", "node")
+    leaders = 1
+    # Where nodes of different components are left that weren't compared yet, more of them lead.
+    while not (live := written(_unsettled(rest, comps), "meetings")).isEmpty():
+        leaders *= MORE_LEADERS
+        rank = F.row_number().over(Window.partitionBy("signature").orderBy("node"))
+        marks = classes.select("node", "n_shingles", *[F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH_WORDS)])
+        ranked = written(live.withColumn("rank", rank).join(marks, "node"), "ranked")
+        pairs = written(_possible(ranked, leaders, percent), "pairs")
         found = written(_linked(pairs, texts, shingle_words, percent), "links")
-        links = found if links is None else links.unionByName(found)
-        comps = written(components(links), "components")
-        # Where nodes of different components are left that weren't compared yet, go on with more leaders.
-        if leaders == 1:
-            rest = live.join(lead, "signature").where("node > lead").drop("lead")
-        else:
-            rest = ranked.where(F.col("rank") > leaders).drop("rank", "comp")
-        rest = rest.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        mixed = rest.groupBy("signature").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("signature")
-        live = written(rest.join(mixed, "signature"), "meetings")
-        if live.isEmpty():
-            break
-        leaders *= 4
+        if not found.isEmpty():
+            known = comps.select(F.col("comp").alias("lead"), "node").unionByName(found)
+            comps = written(components(known), "components")
+        rest = ranked.where(F.col("rank") > leaders).select("signature", "node")
 
     labelled = classes.join(comps, "node", "left").select(*digest, F.coalesce("comp", "node").alias("comp"))
     out = sets.select("doc_id", "row", *digest).join(labelled, digest, "left")
     return out.select("doc_id", "row", "n_shingles", F.coalesce("comp", whose).alias("comp"))
 
 
+def _unsettled(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """signature, node, comp of the meetings that hold nodes of different components."""
+    members = members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    several = members.groupBy("signature").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b")
+    return members.join(written(several.select("signature"), "unsettled"), "signature")
+
+
+def _possible(ranked: DataFrame, leaders: int, percent: int) -> DataFrame:
+    """Pairs of a leading node and a later one of another component, as far as sizes and sketches allow a link."""
+    sketch = [f"s{i}" for i in range(SKETCH_WORDS)]
+    names = {c: f"lead_{c}" for c in ["comp", "n_shingles", *sketch]} | {"node": "lead"}
+    lead = ranked.where(F.col("rank") <= leaders).drop("rank").withColumnsRenamed(names)
+    small, large = F.least("n_shingles", "lead_n_shingles"), F.greatest("n_shingles", "lead_n_shingles")
+    apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"lead_{c}"))) for c in sketch), F.lit(0))
+    allowed = (100 + percent) * apart <= (100 - percent) * (small + large)
+    meet = (ranked["signature"] == lead["signature"]) & (F.col("node") > F.col("lead")) & (F.col("comp") != F.col("lead_comp"))
+    pairs = ranked.join(lead, meet & (100 * small >= percent * large) & allowed)
+    return pairs.select("lead", "node").distinct()
+
+
 def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int = PERCENT, parts: int = PARTS, different: int = DIFFERENT, band: int = BAND) -> DataFrame:
     """doc_id, n_shingles, component_id of every document.
 
