@@ -554,10 +554,10 @@ ORACLES["platt_scaling"] = ctes("scores") + _newton(12) + f"""
 select doc_id, {_round('1 / (1 + exp(-(a + b * x)))', 4)} as calibrated from points, n12"""
 
 ORACLES["isotonic"] = ctes("scores") + f"""
-, steps as (select round(p, 4) as x, sum(y) as s, cast(count(*) as double) as w from scores where p is not null and y is not null group by 1)
+, steps as (select p as x, sum(y) as s, cast(count(*) as double) as w from scores where p is not null and y is not null group by 1)
 , placed as (select x, row_number() over (order by x) as i, sum(s) over (order by x) as cs, sum(w) over (order by x) as cw from steps)
 , pairs as (select a.i as a, b.i as b, (b.cs - coalesce(z.cs, 0)) / (b.cw - coalesce(z.cw, 0)) as m
   from placed a join placed b on b.i >= a.i left join placed z on z.i = a.i - 1)
 , least_after as (select a, b, min(m) over (partition by a order by b desc) as m from pairs)
 , curve as (select b as i, max(m) as fit from least_after group by b)
-select doc_id, {_round('fit')} as calibrated from scores join placed on x = round(p, 4) join curve using (i)"""
+select doc_id, {_round('fit')} as calibrated from scores join placed on x = p join curve using (i)"""

@@ -1,17 +1,20 @@
 """Recalibration of probabilities."""
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitchframe.operators.evaluate import clipped
+from pitchframe.plans.ordered import ordered_groups
 from pitchframe.plans.scratch import written
 
 CLIP = 1e-6
-GRID_DECIMALS = 4
+# Distinct probabilities pooled in one task at first.
+BLOCK_ROWS = 100_000
 
 
 def _observed(df: DataFrame, p: str, y: str) -> DataFrame:
@@ -35,19 +38,79 @@ def platt_scaling(df: DataFrame, p: str, y: str, max_iter: int = 200) -> DataFra
     return df.withColumn("calibrated", 1 / (1 + F.exp(-score)))
 
 
-def isotonic(df: DataFrame, p: str, y: str, decimals: int = GRID_DECIMALS) -> DataFrame:
-    """Add ``calibrated``: a monotone step curve over ``p`` on a grid of ``decimals`` places.
+def pooled(total: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Starts of the blocks that pooling adjacent violators leaves of points in order."""
+    starts: list[int] = []
+    sums: list[float] = []
+    weights: list[float] = []
+    for i, (t, w) in enumerate(zip(total.tolist(), weight.tolist())):
+        start = i
+        while sums and sums[-1] * w >= t * weights[-1]:
+            t, w, start = t + sums.pop(), w + weights.pop(), starts.pop()
+        starts.append(start)
+        sums.append(t)
+        weights.append(w)
+    return np.asarray(starts, dtype=np.int64)
 
-    The fit merges its blocks on the driver, so ``p`` enters on the grid: at most
-    10^decimals + 1 weighted points, whatever the number of rows.
-    """
-    grid = F.round(F.col(p), decimals)
-    points = (
-        _observed(df, p, y)
-        .groupBy(grid.alias("x"))
-        .agg(F.avg(F.col(y).cast("double")).alias("label"), F.count("*").cast("double").alias("weight"))
+
+def _pool(points: pd.DataFrame) -> pd.DataFrame:
+    points = points.sort_values("x", kind="stable")
+    total, weight = points["total"].to_numpy(), points["weight"].to_numpy()
+    starts = pooled(total, weight)
+    return pd.DataFrame(
+        {
+            "block": points["block"].to_numpy()[starts],
+            "x": points["x"].to_numpy()[starts],
+            "total": np.add.reduceat(total, starts),
+            "weight": np.add.reduceat(weight, starts),
+        }
     )
-    model = IsotonicRegression(
-        featuresCol="x", labelCol="label", weightCol="weight", predictionCol="calibrated"
-    ).fit(written(points, "isotonic"))
-    return model.transform(df.withColumn("x", grid)).drop("x")
+
+
+def isotonic_curve(df: DataFrame, p: str, y: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``x`` and ``fit``: where each step of the monotone curve over ``p`` starts, and its height.
+
+    Distinct values of ``p`` are dealt in order to blocks of about ``block_rows``. Adjacent
+    violators are pooled within each block; then blocks whose neighbour starts lower
+    than they end are pooled together, until none does. Pooling leaves few steps of noisy
+    outcomes, so the blocks that meet stay small.
+    """
+    seen = _observed(df, p, y).groupBy(F.col(p).cast("double").alias("x"))
+    points = seen.agg(F.sum(F.col(y).cast("double")).alias("total"), F.count("*").cast("double").alias("weight"))
+    points = written(points, "isotonic-points")
+    blocks = max(1, -(-points.count() // block_rows))
+    dealt = points.repartitionByRange(blocks, "x").withColumn("block", F.spark_partition_id().cast("bigint"))
+    steps = written(dealt.select("block", "x", "total", "weight"), "isotonic-dealt")
+    while True:
+        steps = steps.groupBy("block").applyInPandas(_pool, "block bigint, x double, total double, weight double")
+        steps = written(steps, "isotonic-steps")
+        mean = F.struct("x", (F.col("total") / F.col("weight")).alias("m"))
+        ends = steps.groupBy("block").agg(F.min(mean)["m"].alias("first"), F.max(mean)["m"].alias("last"))
+        # a row per block from here on
+        order = Window.orderBy("block")
+        apart = F.coalesce(F.lag("last").over(order) < F.col("first"), F.lit(True))
+        joined = ends.select("block", F.sum(apart.cast("bigint")).over(order).alias("into"))
+        joined = written(joined, "isotonic-blocks")
+        if joined.agg(F.count("*") == F.countDistinct("into")).first()[0]:
+            return steps.select("x", (F.col("total") / F.col("weight")).alias("fit"))
+        steps = steps.join(joined, "block").select(F.col("into").alias("block"), "x", "total", "weight")
+
+
+def isotonic(df: DataFrame, p: str, y: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Add ``calibrated``: the monotone step curve over ``p`` that fits ``y`` best.
+
+    A value of ``p`` between two steps has the lower one's height, one below all
+    the height of the first; a null has none.
+    """
+    curve = written(isotonic_curve(df, p, y, block_rows), "isotonic-curve")
+    lowest = curve.agg(F.min("fit")).first()[0]
+    value = F.nanvl(F.col(p).cast("double"), F.lit(None).cast("double"))
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    rows = df.select(value.alias("__x"), F.lit(1).alias("__kind"), F.lit(None).cast("double").alias("__fit"), row.alias("__row"))
+    nothing = F.lit(None).cast(rows.schema["__row"].dataType)
+    steps = curve.select(F.col("x").alias("__x"), F.lit(0).alias("__kind"), F.col("fit").alias("__fit"), nothing.alias("__row"))
+    line = ordered_groups(rows.unionByName(steps), [], ["__x", "__kind"])
+    # the curve never falls, so the step a value is on is the highest before it
+    found = line.running({"__step": ("max", F.col("__fit"))}, inclusive=True).result().where("__kind = 1")
+    fit = F.when(F.col("__x").isNotNull(), F.coalesce("__step", F.lit(lowest).cast("double")))
+    return found.select("__row.*", fit.alias("calibrated"))

@@ -77,6 +77,28 @@ def test_recalibration_improves_a_distorted_forecast(spark):
     assert all(x <= y + 1e-12 for x, y in zip(fitted, fitted[1:]))
 
 
+@pytest.mark.parametrize("block_rows", [100_000, 7])
+def test_isotonic_equals_pooling_by_hand(spark, block_rows):
+    import random
+
+    rng = random.Random(4)
+    rows = [(i, round(rng.random(), 2), float(rng.random() < 0.5)) for i in range(300)] + [(300, None, 1.0), (301, 0.005, None), (302, 2.0, None)]
+    df = spark.createDataFrame(rows, "i int, p double, y double")
+    points = sorted({p for _, p, y in rows if p is not None and y is not None})
+    blocks = []
+    for x in points:
+        ys = [y for _, p, y in rows if p == x and y is not None]
+        blocks.append([[x], sum(ys), len(ys)])
+        while len(blocks) > 1 and blocks[-2][1] / blocks[-2][2] >= blocks[-1][1] / blocks[-1][2]:
+            xs, s, n = blocks.pop()
+            blocks[-1] = [blocks[-1][0] + xs, blocks[-1][1] + s, blocks[-1][2] + n]
+    want = {x: s / n for xs, s, n in blocks for x in xs}
+    got = {r.i: r.calibrated for r in calibrate.isotonic(df, "p", "y", block_rows=block_rows).collect()}
+    assert all(abs(got[i] - want[p]) < 1e-12 for i, p, _ in rows[:300])
+    assert got[300] is None and abs(got[302] - max(want.values())) < 1e-12
+    assert abs(got[301] - want[max([x for x in points if x <= 0.005], default=points[0])]) < 1e-12
+
+
 FIXTURES = [
     ("f1", 1, "A", "B", 2.0, 0.0), ("f2", 4, "B", "A", 1.0, 1.0), ("f3", 9, "A", "C", 0.0, 3.0),
     ("f4", 9, "B", "D", None, None), ("f5", 20, "A", "B", 5.0, 0.0),
