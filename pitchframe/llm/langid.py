@@ -59,12 +59,12 @@ def ngram_vectors(grams: np.ndarray, dimension: int, seed: int) -> np.ndarray:
 
 def document_vectors(texts: list[str], dimension: int = DIMENSION, n: int = NGRAM, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
     """The bundled vector of each text, and whether it has a letter at all."""
-    codes = np.frombuffer("\n".join(texts).lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    # Lower case may lengthen a text, so its extent is taken afterwards.
-    sizes = np.fromiter((len(t.lower()) for t in texts), dtype="int64", count=len(texts))
-    owner = np.repeat(np.arange(len(texts)), sizes + 1)[: len(codes)]
+    # A gap before and after every text; lower case may change a text's length.
+    texts = [f"\n{t.lower()}\n" for t in texts]
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
     symbols = np.where(_letters()[codes], codes, GAP)
-    # One gap between two words of a text, and one at either end of it.
+    # Gaps in a row are one.
     keep = np.ones(len(symbols), dtype=bool)
     keep[1:] = (symbols[1:] != GAP) | (symbols[:-1] != GAP) | (owner[1:] != owner[:-1])
     symbols, owner = symbols[keep].astype("int64"), owner[keep]
