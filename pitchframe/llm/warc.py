@@ -69,9 +69,9 @@ def _record_id(page_id: Column, copy: Column, sha: Column) -> Column:
 
 
 def _cut(text: Column, chars: int) -> Column:
-    """``text`` in pieces of ``chars`` code points, one empty piece for an empty text."""
-    last = F.greatest(F.ceil(F.char_length(text) / F.lit(chars)).cast("int") - 1, F.lit(0))
-    return F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(text, i * chars + 1, F.lit(chars)))
+    """``text`` in pieces of ``chars`` code points, cut in one pass; one empty piece for an empty text."""
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{chars}}}"), F.lit(0))
+    return F.when(text == "", F.array(F.lit(""))).otherwise(pieces)
 
 
 def _chunked(body: Column, chars: int) -> Column:
@@ -106,7 +106,10 @@ def warc_records(pages: DataFrame, min_revisit_bytes: int = 0, segment_chars: in
         F.when(own, F.concat(head, _chunked(F.col("html"), chunk_chars))).otherwise(head).alias("block"),
     )
     content = content.withColumn("parts", _cut(F.col("block"), segment_chars)).withColumn("total", F.octet_length("block"))
-    content = content.select("*", F.posexplode("parts").alias("at", "part"), F.size("parts").alias("many"))
+    # A row per segment carries its own part of the block only.
+    content = content.withColumn("many", F.size("parts")).drop("block")
+    names = [c for c in content.columns if c != "parts"]
+    content = content.select(*names, F.posexplode("parts").alias("at", "part"))
     first, last = F.col("at") == 0, F.col("at") == F.col("many") - 1
     several = F.col("many") > 1
     record = F.concat(
