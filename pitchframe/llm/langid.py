@@ -87,7 +87,7 @@ def document_vectors(texts: list[str], dimension: int = DIMENSION, n: int = NGRA
 def language_profiles(labelled: DataFrame, per_language: int = FIT_ROWS_PER_LANGUAGE, dimension: int = DIMENSION, n: int = NGRAM, seed: int = SEED) -> dict[str, list[float]]:
     """The profile of every ``lang`` of ``labelled`` (doc_id, text, lang).
 
-    A language with more than ``per_language`` documents is learned from that many, those
+    Texts without a letter say nothing of a language. A language with more than ``per_language`` documents is learned from that many, those
     first by a hash of their id, so that fitting costs the same whatever the corpus.
     """
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
@@ -99,10 +99,10 @@ def language_profiles(labelled: DataFrame, per_language: int = FIT_ROWS_PER_LANG
         sums: dict[str, np.ndarray] = {}
         for frame in batches:
             for part in text_slices(iter([frame]), "text", TEXT_BATCH):
-                vectors, _ = document_vectors(part["text"].tolist(), dimension, n, seed)
+                vectors, known = document_vectors(part["text"].tolist(), dimension, n, seed)
                 # A long document weighs no more than a short one.
                 norms = np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
-                for lang, vector in zip(part["lang"], vectors / norms):
+                for lang, vector in zip(part["lang"][known], (vectors / norms)[known]):
                     sums[lang] = sums.get(lang, 0.0) + vector.astype("float64")
         yield pd.DataFrame({"lang": list(sums), "vector": [v.tolist() for v in sums.values()]})
 

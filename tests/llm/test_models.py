@@ -33,7 +33,7 @@ def test_language_of_odd_rows(spark):
     profiles = langid.language_profiles(docs)
     got = sorted((str(r["doc_id"]), r["lang_pred"]) for r in langid.identify(docs, profiles).collect())
     assert [x for x in got if x[0] in "34567"] == [("3", "und"), ("4", "und"), ("5", "und"), ("6", "de"), ("7", "und")]
-    assert set(profiles) == {"en", "de", "fr"} - {"fr"}
+    assert set(profiles) == {"en", "de"}  # the only French texts have no letter
     assert len(got) == docs.count()
     carried = langid.identify(docs, profiles, keep=docs.columns)
     assert carried.columns == [*docs.columns, "lang_pred", "score"]
@@ -51,11 +51,12 @@ def test_profiles_are_bounded_and_repeatable(spark):
 
 
 def test_quality_of_held_out_documents(spark):
-    label = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
-    rows = QUERIES["op5_quality_trees"](spark, SF).collect()
+    larger = SF.replace("sf0.001", "sf0.01")  # 80 labels are too few to learn from
+    label = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{larger}/labels.parquet").collect()}
+    rows = QUERIES["op5_quality_trees"](spark, larger).collect()
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and r["predicted"] == (r["score"] >= 0.3) for r in rows)
     held = [(r["predicted"], label[r["doc_id"]]) for r in rows if r["held_out"] and r["doc_id"] in label]
-    assert held and np.mean([p == y for p, y in held]) > 0.85
+    assert held and np.mean([p == y for p, y in held]) > 0.95
 
 
 def test_trees_learn_and_traverse():
