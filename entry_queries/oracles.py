@@ -312,6 +312,8 @@ from player_logs p join fixtures f on f.fixture_id = p.fixture_id group by f.sea
 
 ORACLES["parquet_roundtrip"] = ctes("fixtures") + " select * from fixtures"
 
+ORACLES["landed_season"] = ctes("fixtures") + " select * from fixtures where season = '2024-2025'"
+
 # --- scalar functions and projections ---
 
 ORACLES["season_label"] = ctes("raw_schedule") + """

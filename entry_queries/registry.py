@@ -111,6 +111,15 @@ def parquet_roundtrip(spark, sf):
     return landed.scan(spark, path, fixtures.schema).select(*fixtures.columns)
 
 
+@query
+def landed_season(spark, sf):
+    """One season of a landed folder of several, whose other directories aren't opened."""
+    path = scratch_path(spark, "landed")
+    fixtures = table("fixtures", spark, sf)
+    landed.write_table(fixtures, path, partition_by=["season"])
+    return landed.of_season(landed.scan(spark, path, fixtures.schema), "2024/2025").select(*fixtures.columns)
+
+
 # --- scalar functions and projections ---
 
 

@@ -173,3 +173,15 @@ def test_players_without_a_name_have_no_id(spark):
     fixtures = spark.createDataFrame([("f1", "2024-08-16")], "fixture_id string, date string")
     got = {r["minutes_played"]: r["player_id"] for r in ingest.conform_player_logs(players, fixtures).collect()}
     assert got == {10: None, 20: "P|A"}
+
+
+def test_season_filter_prunes_landed_folders(spark):
+    path = scratch_path(spark, "seasons")
+    df = spark.createDataFrame([("f1", "2023-2024"), ("f2", "2024-2025")], "fixture_id string, season string")
+    landed.write_table(df, path, partition_by=["season"])
+    one = landed.of_season(landed.scan(spark, path, df.schema), "2024/2025")
+    assert [r["fixture_id"] for r in one.collect()] == ["f2"]
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "2024-2025" in plan.split("PartitionFilters: ")[1].split("PushedFilters")[0]
+    with pytest.raises(ValueError, match="season must be"):
+        landed.of_season(df, "2024")
