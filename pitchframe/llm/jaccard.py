@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pitchframe.llm.common import NO_ID, WORD, RunHashes, filled_id, mix, restored_id, row_key, text_slices, word_hashes
+from pitchframe.llm.common import NO_ID, RunHashes, filled_id, mix, restored_id, row_key, text_slices, word_hashes
 from pitchframe.plans.scratch import written
 
 SHINGLE_WORDS = 3
@@ -207,20 +207,21 @@ def _components_of(docs: DataFrame, shingle_words: int, percent: int, parts: int
     whose = F.struct("doc_id", "row")
     classes = sets.where("n_shingles > 0").groupBy(*digest).agg(F.min(whose).alias("node"), F.first("sketch").alias("sketch"))
     classes = written(classes, "set-classes")
-    # Signatures that more than one set has.
+    # Signatures that more than one row has, in a table of its own, so that the rows of a hot
+    # one can be split in the join. Rows of one set become one there.
     meetings = sets.select(F.explode("signatures").alias("signature"), "d1")
-    shared = meetings.groupBy("signature").agg(F.min("d1").alias("a"), F.max("d1").alias("b")).where("a < b").select("signature")
-    # A table of its own, so that a hot signature's rows can be split in the join.
-    shared = written(shared, "shared-signatures")
+    shared = written(meetings.groupBy("signature").count().where("count > 1").select("signature"), "shared-signatures")
     members = meetings.join(shared, "signature").distinct().join(classes.select("d1", "node"), "d1")
     live = written(members.select("signature", "node"), "meetings")
-    nodes = live.select("node").distinct().select(F.col("node.doc_id").alias("doc_id"), F.col("node.row").alias("row"))
-    texts = _rows(docs).join(nodes, ["doc_id", "row"]).dropDuplicates(["doc_id", "row"])
-    texts = written(texts.select(whose.alias("node"), "text"), "meeting-texts")
 
     # Round one: the smallest node of every meeting against the others.
-    lead = written(live.groupBy("signature").agg(F.min("node").alias("lead")), "leads")
-    pairs = live.join(lead, "signature").where("node > lead").select("lead", "node").distinct()
+    lead = live.groupBy("signature").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead < last")
+    lead = written(lead.select("signature", "lead"), "leads")
+    pairs = written(live.join(lead, "signature").where("node > lead").select("lead", "node").distinct(), "pairs")
+    nodes = pairs.select(F.explode(F.array("lead", "node")).alias("node")).distinct()
+    nodes = nodes.select(F.col("node.doc_id").alias("doc_id"), F.col("node.row").alias("row"))
+    texts = _rows(docs).join(nodes, ["doc_id", "row"]).dropDuplicates(["doc_id", "row"])
+    texts = written(texts.select(whose.alias("node"), "text"), "meeting-texts")
     links = written(_linked(pairs, texts, shingle_words, percent), "links")
     comps = written(components(links), "components")
     rest = live.join(lead, "signature").where("node > lead").select("signature", "node")
@@ -281,11 +282,15 @@ def one_of_each(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: in
 
     Repeated rows are copies of each other, so one stays; rows without words all stay.
     """
-    found = _components_of(docs, shingle_words, percent, parts, different, band)
-    first = found.where("n_shingles > 0 AND doc_id = comp.doc_id AND row = comp.row")
-    first = first.select(F.col("doc_id").alias("__id"), F.col("row").alias("__row")).distinct()
+    found = written(_components_of(docs, shingle_words, percent, parts, different, band).where("n_shingles > 0"), "found")
+    key = [F.col("doc_id").alias("__id"), F.col("row").alias("__row")]
+    gone = written(found.where("doc_id != comp.doc_id OR row != comp.row").select(*key).distinct(), "gone")
+    again = found.where("doc_id = comp.doc_id AND row = comp.row").groupBy(*key).count().where("count > 1")
+    again = written(again.select("__id", "__row"), "repeated")
+    # Both are small where there are few copies; the planner goes by their sizes.
     keyed = docs.withColumn("__id", filled_id()).withColumn("__row", row_key("text"))
-    worded = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
-    copy = F.row_number().over(Window.partitionBy("__id", "__row").orderBy("__id"))
-    kept = keyed.where(worded).join(first, ["__id", "__row"], "left_semi").withColumn("__copy", copy).where("__copy = 1")
-    return kept.select(docs.columns).unionByName(docs.where(~worded))
+    kept = keyed.join(gone, ["__id", "__row"], "left_anti")
+    if again.isEmpty():
+        return kept.select(docs.columns)
+    once = kept.join(again, ["__id", "__row"], "left_semi").dropDuplicates(["__id", "__row"])
+    return kept.join(again, ["__id", "__row"], "left_anti").unionByName(once).select(docs.columns)
