@@ -287,10 +287,10 @@ def one_of_each(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: in
     gone = written(found.where("doc_id != comp.doc_id OR row != comp.row").select(*key).distinct(), "gone")
     again = found.where("doc_id = comp.doc_id AND row = comp.row").groupBy(*key).count().where("count > 1")
     again = written(again.select("__id", "__row"), "repeated")
-    # Both are small where there are few copies; the planner goes by their sizes.
+    # Neither list has a bound, so the documents are sorted and merged with them at every size.
     keyed = docs.withColumn("__id", filled_id()).withColumn("__row", row_key("text"))
-    kept = keyed.join(gone, ["__id", "__row"], "left_anti")
+    kept = keyed.join(gone.hint("merge"), ["__id", "__row"], "left_anti")
     if again.isEmpty():
         return kept.select(docs.columns)
-    once = kept.join(again, ["__id", "__row"], "left_semi").dropDuplicates(["__id", "__row"])
-    return kept.join(again, ["__id", "__row"], "left_anti").unionByName(once).select(docs.columns)
+    once = kept.join(again.hint("merge"), ["__id", "__row"], "left_semi").dropDuplicates(["__id", "__row"])
+    return kept.join(again.hint("merge"), ["__id", "__row"], "left_anti").unionByName(once).select(docs.columns)
