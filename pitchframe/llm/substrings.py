@@ -110,18 +110,19 @@ def repeated_windows(docs: DataFrame, min_words: int = MIN_WORDS, anchor_words:
     """doc_id, row, first, last: stretches of windows that also start in a document with a smaller id."""
     seeds = written(find_seeds(docs, min_words, anchor_words), "seeds")
     ids = (F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
-    shared = seeds.groupBy("anchor").agg(*ids).where("least < most").select("anchor")
+    # What is joined back is a table first, so that the rows of a hot key can be split in the join.
+    shared = written(seeds.groupBy("anchor").agg(*ids).where("least < most").select("anchor"), "shared-anchors")
     seeds = written(seeds.join(shared, "anchor"), "shared-seeds")
-    sides = seeds.groupBy("anchor", "extension").agg(*ids)
+    sides = written(seeds.groupBy("anchor", "extension").agg(*ids), "extensions")
     unequal = sides.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor", F.lit(True).alias("unequal"))
-    sides = sides.join(unequal, "anchor", "left").where("least < most OR unequal")
+    sides = sides.join(written(unequal, "unequal"), "anchor", "left").where("least < most OR unequal")
     matched = seeds.join(sides, ["anchor", "extension"]).select("anchor", "doc_id", "row", "first", "last", "least", "unequal")
     matched = written(matched, "matched-seeds")
     whole = matched.where("doc_id > least").select("doc_id", "row", "first", "last")
     # The smallest id of each extension stands for it where extensions differ.
     windows = written(_windows_of_seeds(docs, matched.where("doc_id = least AND unequal"), min_words), "windows")
     earliest = windows.groupBy("anchor", "window").agg(*ids).where("least < most").select("anchor", "window", "least")
-    single = windows.join(earliest, ["anchor", "window"]).where("doc_id > least")
+    single = windows.join(written(earliest, "earliest"), ["anchor", "window"]).where("doc_id > least")
     return whole.unionByName(single.select("doc_id", "row", "first", F.col("first").alias("last")))
 
 
