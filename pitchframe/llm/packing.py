@@ -46,8 +46,10 @@ class WordIds:
 
     The vocabulary drops white space, ignores case and never joins over white space, so a
     text's ids are those of its words, and a word's are those of its stem and of the
-    punctuation that ends it. Each different stem is tokenised once per Python process,
-    as far as ``REMEMBERED`` goes; what isn't remembered is tokenised again.
+    punctuation that ends it, if the stem ends in a letter or digit; else the punctuation
+    belongs to a run that starts in the stem, and the word stays whole. Each different stem
+    is tokenised once per Python process, as far as ``REMEMBERED`` goes; what isn't
+    remembered is tokenised again.
     """
 
     def __init__(self, tokenizer_path: str):
@@ -87,8 +89,18 @@ class WordIds:
                 start = end
         return out
 
+    @staticmethod
+    def _stem(word: bytes) -> bytes:
+        """What comes before the word's last run of punctuation, or the word if that run reaches further back."""
+        stem = word.rstrip(ENDINGS)
+        if len(stem) == len(word) or not stem or stem[-1:].isalnum():
+            return stem
+        # As the vocabulary sees it: a letter may end in a mark once it is lower case.
+        last = unicodedata.normalize("NFC", stem.decode("utf-8")).lower()[-1]
+        return stem if unicodedata.category(last)[0] in "LN" else word
+
     def _of_new(self, words: set[bytes]) -> dict[bytes, bytes]:
-        parts = [(w, stem, w[len(stem) :]) for w in words for stem in (w.rstrip(ENDINGS),)]
+        parts = [(w, stem, w[len(stem) :]) for w in words for stem in (self._stem(w),)]
         stems = self._stems
         extra = self._encode([p for p in {p for part in parts for p in part[1:]}.difference(stems) if p])
         extra[b""] = b""

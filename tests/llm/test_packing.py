@@ -48,6 +48,14 @@ def test_ids_equal_those_of_whole_texts():
         assert np.frombuffer(ids, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
 
 
+def test_ids_of_endings_that_start_in_the_stem():
+    words = ["(foo).", '"x"!', "don'.", "f();", 'foo".', "foo):", "x];", "ab_.", "s'.", "a=|", "-,", "İ.", "A̱.", "ẖ,", "é.", "x².", "ⓐ.", "日本。.", "<|endoftext|>.", '"3fdf5a"###', "...", "it's.", "12,"]
+    plain = Tokenizer.from_file(PATH)
+    for text in [*words, " ".join(words)]:
+        got = packing.WordIds(PATH)([text])[0]
+        assert np.frombuffer(got, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, text
+
+
 def check_packed(docs, capacity):
     plain, want = Tokenizer.from_file(PATH), Counter()
     for r in docs.collect():
