@@ -7,9 +7,12 @@ elements at most, some part holds at most k2 of the differences, hence n2 - k2 o
 smaller parts are equal: each such choice of smaller parts gives one signature. Signatures of
 like sets thus meet at least once, and every meeting is verified on the whole texts.
 
-A choice that is empty says nothing. A set with an empty one also gets the signatures of
-another, finer splitting, and so on until all its choices hold something: sets then meet
-in what they share, never in what they both lack.
+A choice that is empty says nothing: sets are to meet in what they share, never in what they
+both lack. So there are m parts more than needed. Like sets then have m + 1 parts with few
+enough differences, and where they don't meet, both have an empty choice in each of these.
+A set with more than m parts with an empty choice is thus the only one that may miss another; it
+also gets the signatures of another splitting, and after ``ROUNDS`` of them the first elements in
+an order common to all sets, as many as like sets can't differ in (a prefix filter).
 
 Copies are one node, the class of equal sets. Nodes that meet are compared with the smallest
 node of the meeting, not with one another; only where nodes of different components
@@ -19,8 +22,10 @@ within a component needn't be listed.
 """
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from itertools import combinations, count
+from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -36,6 +41,8 @@ PERCENT = 90
 PARTS, DIFFERENT = 2, 1
 #: Largest over smallest size of a band, in percent.
 BAND = 150
+#: Splittings of a set before its signatures are single elements.
+ROUNDS = 6
 TEXT_BATCH = 2_000_000
 
 #: Bits of a set's sketch, 64 to a word. Leaders of a meeting grow by this factor per round.
@@ -56,14 +63,15 @@ def shingle_set(text: str, shingle_words: int = SHINGLE_WORDS) -> np.ndarray:
 def band_limits(size: int, percent: int = PERCENT, band: int = BAND) -> list[tuple[int, int]]:
     """(number, largest size) of the bands a set of ``size`` has signatures in.
 
-    Its own, and the next one if a like set may be large enough for that.
+    Its own, and the next ones as far as a like set may be large enough for them.
     """
     number, top = 0, 1
     while top < size:
         number, top = number + 1, max(top + 1, top * band // 100)
     out = [(number, top)]
-    if 100 * size >= percent * (top + 1):
-        out.append((number + 1, max(top + 1, top * band // 100)))
+    while 100 * size >= percent * (top + 1):
+        number, top = number + 1, max(top + 1, top * band // 100)
+        out.append((number, top))
     return out
 
 
@@ -75,24 +83,48 @@ def most_different(top: int, percent: int = PERCENT) -> int:
     return (100 - percent) * 2 * top // (100 + percent)
 
 
+@lru_cache(maxsize=4096)
+def spare_parts(top: int, percent: int, parts: int, different: int, band: int) -> int | None:
+    """Parts beyond those needed, so that few sets of the band have more with an empty choice.
+
+    Reckoned for the smallest sets of the band; None if more would be needed than are spared.
+    """
+    needed, least = most_different(top, percent) // (different + 1) + 1, max(1, top * percent // band)
+    spare = 0
+    while spare <= needed:
+        empty = math.exp(-least / ((needed + spare) * parts))
+        share = sum(math.comb(parts, e) * empty**e * (1 - empty) ** (parts - e) for e in range(parts - different, parts + 1))
+        many = (needed + spare) * share
+        if many + math.sqrt(many) < spare + 1:
+            return spare
+        spare = int(many + math.sqrt(many))
+    return None
+
+
 def signatures(shingles: np.ndarray, percent: int = PERCENT, parts: int = PARTS, different: int = DIFFERENT, band: int = BAND) -> np.ndarray:
-    """The PartEnum signatures of a set, as unsigned 64-bit integers; an empty set has none."""
+    """The signatures of a set, as unsigned 64-bit integers; an empty set has none."""
     out: list[np.ndarray] = []
     for number, top in band_limits(len(shingles), percent, band) if len(shingles) else []:
         k = most_different(top, percent)
-        for again in count():
-            found, whole = _enumerate(shingles, k, parts + again, different, number * 64 + again + 1)
+        few = min(different, k)
+        for again in range(ROUNDS):
+            split = parts + again if few else 1
+            spare = spare_parts(top, percent, split, few, band)
+            if spare is None:
+                continue
+            found, empty = _enumerate(shingles, k // (few + 1) + 1 + spare, split, few, number * 64 + again + 1)
             out.append(found)
-            if whole:
+            if empty <= spare:
                 break
+        else:
+            # Like sets share percent of the larger one, so two such prefixes can't be disjoint.
+            least = -(-percent * len(shingles) // 100)
+            out.append(np.sort(mix(shingles ^ mix(np.asarray([number * 64], dtype="uint64"))))[: len(shingles) - least + 1])
     return np.unique(np.concatenate(out)) if out else np.empty(0, dtype="uint64")
 
 
-def _enumerate(shingles: np.ndarray, k: int, parts: int, different: int, number: int) -> tuple[np.ndarray, bool]:
-    """Signatures of the choices that hold an element, and whether all do."""
-    different = min(different, k)
-    parts = parts if different else 1
-    first = k // (different + 1) + 1
+def _enumerate(shingles: np.ndarray, first: int, parts: int, different: int, number: int) -> tuple[np.ndarray, int]:
+    """Signatures of the choices that hold an element, and how many of the ``first`` parts have one that doesn't."""
     salt = mix(np.asarray([number], dtype="uint64"))
     mixed = mix(shingles ^ salt)
     cell = (mixed % np.uint64(first * parts)).astype("int64")
@@ -100,15 +132,15 @@ def _enumerate(shingles: np.ndarray, k: int, parts: int, different: int, number:
     np.add.at(sums, cell, mix(mixed + salt))
     sums, counts = sums.reshape(first, parts), counts.reshape(first, parts)
     keys = np.arange(first, dtype="uint64") << np.uint64(16)
-    out, whole = [], True
+    out, whole = [], np.ones(first, dtype=bool)
     for choice, members in enumerate(combinations(range(parts), parts - different)):
         held = np.zeros(first, dtype="uint64")
         for m in members:
             held = mix(held + sums[:, m])
         full = counts[:, list(members)].sum(axis=1) > 0
-        whole &= bool(full.all())
+        whole &= full
         out.append(mix(held ^ mix(keys + np.uint64(choice) + salt))[full])
-    return np.concatenate(out), whole
+    return np.concatenate(out), int(first - whole.sum())
 
 
 def parity_sketch(shingles: np.ndarray) -> np.ndarray:

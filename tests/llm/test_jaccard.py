@@ -90,3 +90,44 @@ def test_components_reach_the_smallest(spark):
     links = spark.createDataFrame([((min(e), 0), (max(e), 0)) for e in edges], f"lead {node}, node {node}")
     got = {r["node"]["doc_id"]: r["comp"]["doc_id"] for r in jaccard.components(links).collect()}
     assert got == {i: 1 for i in range(2, 31)} | {90: 80, 100: 80, 101: 80}
+
+
+@pytest.mark.parametrize("size", [100_000, 713_910, 2_000_000])
+@pytest.mark.parametrize("percent,parts,different", [(90, 2, 1), (80, 2, 1), (80, 1, 0)])
+def test_large_sets_need_few_splittings(monkeypatch, size, percent, parts, different):
+    rounds, plain = [], jaccard._enumerate
+
+    def counted(*args):
+        rounds.append(args)
+        assert len(rounds) <= 6
+        return plain(*args)
+
+    monkeypatch.setattr(jaccard, "_enumerate", counted)
+    rng = np.random.default_rng(size)
+    a = np.unique(rng.integers(0, 2**63, size, dtype="uint64"))
+    gone = size * (100 - percent) // 100 - 10
+    b = np.sort(rng.permutation(a)[gone:])
+    assert jaccard.alike(a, b, percent)
+    found = []
+    for shingles in (a, b):
+        rounds.clear()
+        found.append(jaccard.signatures(shingles, percent, parts, different))
+        bands = len(jaccard.band_limits(size, percent))
+        assert len(found[-1]) <= (0.4 if percent == 90 else 1.6) * bands * size
+    assert np.intersect1d(*found).size
+
+
+@pytest.mark.parametrize("percent,parts,different,rounds", [(80, 1, 0, 6), (80, 2, 1, 6), (80, 4, 3, 6), (60, 2, 1, 6), (90, 2, 1, 0), (80, 1, 0, 0)])
+def test_like_sets_meet_at_every_similarity(monkeypatch, percent, parts, different, rounds):
+    monkeypatch.setattr(jaccard, "ROUNDS", rounds)
+    rng, checked = np.random.default_rng(percent + parts), 0
+    for _ in range(400):
+        size = int(rng.choice([1, 3, 5, 7, 9, 12, 20, 45, 130, 900]))
+        a = np.unique(rng.integers(0, 2**63, size, dtype="uint64"))
+        lost = rng.integers(0, size * (100 - percent) // 100 + 1)
+        new = rng.integers(0, size * (100 - percent) // 200 + 2)
+        b = np.unique(np.concatenate([rng.permutation(a)[lost:], rng.integers(0, 2**63, new, dtype="uint64")]))
+        if jaccard.alike(a, b, percent):
+            checked += 1
+            assert np.intersect1d(jaccard.signatures(a, percent, parts, different), jaccard.signatures(b, percent, parts, different)).size
+    assert checked > 100
