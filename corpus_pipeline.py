@@ -17,6 +17,8 @@ from pitchframe.llm.common import crc32_bucket
 from pitchframe.plans.scratch import written
 
 TOKENIZER = "word_bpe_49k.json"
+#: Near duplicates: words of a shingle, and the Jaccard similarity from which on texts are linked.
+SHINGLE_WORDS, PERCENT = 5, 80
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,8 +29,11 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest ``doc_id`` stays."""
-    return jaccard.one_of_each(docs)
+    """Of each group of linked documents the one with the smallest ``doc_id`` stays.
+
+    One part holds one signature: at 80 percent smaller parts of a part would often be empty.
+    """
+    return jaccard.one_of_each(docs, SHINGLE_WORDS, PERCENT, parts=1, different=0)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

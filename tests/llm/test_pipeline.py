@@ -1,5 +1,9 @@
+import random
+from functools import partial
+
 import corpus_pipeline
-from tests.llm.helpers import SF, none, odd
+from tests.llm import test_jaccard
+from tests.llm.helpers import SF, none, odd, texts
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -31,3 +35,20 @@ def test_odd_and_no_rows(spark):
     assert sorted(str(r["doc_id"]) for r in single.collect()) == ["1", "1", "6", "8", "None"]
     assert packed.count() > 0
     assert stages_of(spark, none(spark).select(COLUMNS))[-1].count() == 0
+
+
+def test_near_duplicates_go_from_80_percent_on(spark, monkeypatch):
+    rng, rows = random.Random(5), []
+    for family in range(6):
+        words = [f"w{family}_{rng.randint(0, 5000)}" for _ in range(rng.choice([30, 200, 900]))]
+        for extra in (0.0, 0.12, 0.2, 0.24, 0.3):  # the longer copy holds the shorter one
+            rows.append((len(rows), " ".join(words + [f"x{len(rows)}_{i}" for i in range(int(extra * len(words)))])))
+        for gap in (20, 50, 90):  # one word in so many is another one
+            rows.append((len(rows), " ".join(f"y{len(rows)}_{i}" if i % gap == 7 else w for i, w in enumerate(words))))
+    docs = spark.createDataFrame([(d, t, "en", "a", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    monkeypatch.setattr(test_jaccard, "shingles", partial(test_jaccard.shingles, n=5))
+    want = {low for _, _, low in test_jaccard.brute(texts(docs), 80)}
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
+    assert kept.columns == docs.columns
+    assert {r["doc_id"] for r in kept.collect()} == want
+    assert len(want) < len({low for _, _, low in test_jaccard.brute(texts(docs), 90)})
