@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitchframe.llm import fingerprint, infill, jaccard, langid, mixing, packing, pii, quality, substrings, topk, warc
+from pitchframe.llm import fingerprint, infill, jaccard, langid, mixing, packing, pii, prefixtrie, quality, substrings, topk, warc
 from pitchframe.llm.common import crc32_bucket, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -60,6 +60,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = infill.fill_in_middle(table(spark, sf_dir, "documents"))
     digests = F.sha2("output", 256).alias("output_sha256"), F.sha2(infill.restored(), 256).alias("restored_sha256")
@@ -77,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_personal_data": op8_personal_data,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_conversation_trie": op11_conversation_trie,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
 
@@ -141,6 +146,46 @@ ORACLES: dict[str, str] = {
                sha256(coalesce(t, '')) AS kept_sha256
         FROM words LEFT JOIN kept USING (doc_id)
     """,
+    "op11_conversation_trie": r"""
+        WITH turns AS (
+            SELECT conv_id AS c, list({'r': coalesce(role, ''), 't': coalesce(text, '')} ORDER BY turn NULLS FIRST) AS l
+            FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+        ),
+        borrowing AS (
+            -- crc32 of the decimal id, bit by bit
+            SELECT c, l, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+                lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]),
+                    lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END))) % 4 AS h
+            FROM turns
+        ),
+        rebuilt AS (
+            SELECT b.c, list_concat(coalesce(list_slice(o.l, 1, b.h), []), list_slice(b.l, b.h + 1, len(b.l))) AS l
+            FROM borrowing AS b LEFT JOIN turns AS o ON o.c = b.c - b.c % 20
+        ),
+        steps AS MATERIALIZED (
+            SELECT c, d, len(l) AS whole, sha256(CAST(list_slice(l, 1, d) AS VARCHAR)) AS k, sha256(CAST(list_slice(l, 1, d - 1) AS VARCHAR)) AS up,
+                   CASE WHEN d > 0 THEN len(regexp_extract_all(l[d].t, '[^\x20\x09-\x0D]+')) ELSE 0 END AS w
+            FROM (SELECT c, l, unnest(range(0, len(l) + 1)) AS d FROM rebuilt)
+        ),
+        nodes AS MATERIALIZED (
+            SELECT d, k, min(up) AS up, min(c) AS c, count(*) AS n, (count(*) - 1) * min(w) AS s,
+                   sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE d = whole), '')) AS ends
+            FROM steps GROUP BY d, k
+        ),
+        families AS MATERIALIZED (
+            SELECT p.d, p.k, count(x.k) AS children FROM nodes AS p LEFT JOIN nodes AS x ON x.d = p.d + 1 AND x.up = p.k GROUP BY p.d, p.k
+        ),
+        below AS (
+            -- a node lies on the path of its smallest member, and so do all above it
+            SELECT a.d, a.k, sum(n.s) AS saved, sum((f.children = 0)::INT) AS leaves
+            FROM nodes AS n JOIN families AS f ON f.d = n.d AND f.k = n.k JOIN steps AS a ON a.c = n.c AND a.d <= n.d
+            GROUP BY a.d, a.k
+        )
+        SELECT n.c AS conv_id, n.d AS depth, p.c AS parent_conv_id, n.n AS n_convs, f.children AS n_children,
+               CAST(b.leaves AS BIGINT) AS n_leaves, CAST(b.saved AS BIGINT) AS saved_tokens, n.ends AS ends_sha256
+        FROM nodes AS n JOIN families AS f ON f.d = n.d AND f.k = n.k JOIN below AS b ON b.d = n.d AND b.k = n.k
+        LEFT JOIN nodes AS p ON n.d > 0 AND p.d = n.d - 1 AND p.k = n.up
+    """,
     "op13_fill_in_middle": r"""
         WITH drawn AS (
             SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || doc_id) AS h,
