@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitchframe.llm import fingerprint, infill, jaccard, langid, mixing, packing, pii, prefixtrie, quality, substrings, topk, warc
+from pitchframe.llm import fingerprint, infill, jaccard, langid, mixing, packing, pii, prefixtrie, quality, substrings, topk, toxicity, warc
 from pitchframe.llm.common import crc32_bucket, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -64,6 +64,13 @@ def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefixtrie.conversation_trie(table(spark, sf_dir, "conversations"))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(crc32_bucket("doc_id", 5) == 0, F.lit(False))
+    index = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels").where(~held_out))
+    return toxicity.toxicity_scores(docs, index).select("doc_id", held_out.alias("held_out"), "score", "predicted", "evidence")
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = infill.fill_in_middle(table(spark, sf_dir, "documents"))
     digests = F.sha2("output", 256).alias("output_sha256"), F.sha2(infill.restored(), 256).alias("restored_sha256")
@@ -82,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_substring_dedup": op10_substring_dedup,
     "op11_conversation_trie": op11_conversation_trie,
+    "op12_toxicity": op12_toxicity,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
 
