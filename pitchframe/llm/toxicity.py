@@ -1,8 +1,8 @@
 """Toxicity by the nearest labelled examples in TF-IDF space.
 
 Terms are lower-cased words and the heads of longer words, so that inflected and compound words
-share some. Of all terms of the examples those count whose spread over the labels can't be chance
-(log-likelihood ratio); a document is the vector of their TF-IDF weights, of length 1.
+share some. Of all terms of the examples those count whose spread over the labels can't be chance: of M
+terms one in several tries would have a log-likelihood ratio of 2 ln M by chance. A document is the vector of their TF-IDF weights, of length 1.
 
 The examples are kept in an inverted index of blocks: each term lists the blocks it occurs in,
 with its highest weight in the block, and the postings of the block. What a document's terms can
@@ -30,14 +30,16 @@ from pitchframe.plans.scratch import written
 
 #: Labelled documents that become examples, at most; those first by a hash of their id. Terms, at most.
 FIT_ROWS, FIT_TERMS = 20_000, 20_000
-#: Log-likelihood ratio a term has to reach, and examples it has to occur in.
-LEAST_RATIO, LEAST_EXAMPLES = 15.0, 3
+#: Examples a term has to occur in.
+LEAST_EXAMPLES = 3
 HEADS = range(4, 9)
 NEIGHBOURS = 15
 #: A neighbour's vote weighs its cosine to this power; the share of toxic examples votes with this weight.
 NEARNESS, PRIOR_WEIGHT = 2, 0.1
 THRESHOLD = 0.5
 BLOCK = 64
+#: Blocks that are read between two looks at the bound.
+BLOCKS_AT_ONCE = 8
 TEXT_BATCH = 2_000_000
 #: Characters of a long text that are read at a time, and entries of a term count or cache in a task.
 SLICE, ENTRIES = 1_000_000, 400_000
@@ -123,7 +125,13 @@ def build_index(terms: list[str], idf: np.ndarray, ids: list[int], labels: list[
     )
 
 
-def nearest(index: Index, terms: np.ndarray, weights: np.ndarray, k: int = NEIGHBOURS, skip: int | None = None, block: int = BLOCK) -> list[tuple[float, int]]:
+def _flat_ranges(starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one range after the other."""
+    lengths = stops - starts
+    return np.repeat(starts - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+
+
+def nearest(index: Index, terms: np.ndarray, weights: np.ndarray, k: int = NEIGHBOURS, skip: int | None = None) -> list[tuple[float, int]]:
     """(cosine, example) of the ``k`` examples with the highest cosines above 0, ties to smaller ids.
 
     ``skip`` is the id of an example that doesn't count, the document itself.
@@ -135,23 +143,26 @@ def nearest(index: Index, terms: np.ndarray, weights: np.ndarray, k: int = NEIGH
     factor = np.repeat(weights, [len(e) for e in entries])
     bound = np.bincount(index.entry_block[entry], factor * index.entry_most[entry])
     order = np.argsort(-bound, kind="stable")
+    order = order[: np.count_nonzero(bound > 0)]
     by_block = np.argsort(index.entry_block[entry], kind="stable")
     entry, factor = entry[by_block], factor[by_block]
     first = np.searchsorted(index.entry_block[entry], np.arange(len(bound) + 1))
     best: list[tuple[float, int, int]] = []
-    for b in order.tolist():
+    for i in range(0, len(order), BLOCKS_AT_ONCE):
         # A bound is summed in another order than the cosines it bounds.
-        if bound[b] <= 0 or (len(best) == k and bound[b] < -best[-1][0] - 1e-9):
+        least = -best[-1][0] - 1e-9 if len(best) == k else 0.0
+        blocks = order[i : i + BLOCKS_AT_ONCE]
+        blocks = blocks[bound[blocks] >= least]
+        if not len(blocks):
             break
-        scores = np.zeros(block)
-        for e, f in zip(entry[first[b] : first[b + 1]].tolist(), factor[first[b] : first[b + 1]].tolist()):
-            postings = slice(index.entry_start[e], index.entry_start[e + 1])
-            scores[index.posting_example[postings] - b * block] += f * index.posting_weight[postings]
-        hits = np.flatnonzero(scores > 0)
-        if len(best) == k:
-            hits = hits[scores[hits] >= -best[-1][0] - 1e-9]
+        some = _flat_ranges(first[blocks], first[blocks + 1])
+        starts, stops = index.entry_start[entry[some]], index.entry_start[entry[some] + 1]
+        posting = _flat_ranges(starts, stops)
+        example, place = np.unique(index.posting_example[posting], return_inverse=True)
+        scores = np.bincount(place, np.repeat(factor[some], stops - starts) * index.posting_weight[posting])
+        hits = np.flatnonzero(scores >= least)
         # Cosines are rounded, so that equal ones tie whatever the order of their sums.
-        found = [(-round(float(scores[h]), 12), int(index.ids[b * block + h]), b * block + h) for h in hits.tolist()]
+        found = zip(np.round(-scores[hits], 12).tolist(), index.ids[example[hits]].tolist(), example[hits].tolist())
         best = sorted(best + [f for f in found if f[1] != skip])[:k]
     return [(-score, int(example)) for score, _, example in best]
 
@@ -227,14 +238,15 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, f
     if not rows:
         return build_index([], np.empty(0), [], [], [])
     # The ratio is an expression of Spark here, so that only terms that reach it leave the executors.
-    counted = _term_table(examples).where(F.col("n") >= LEAST_EXAMPLES)
+    counted = written(_term_table(examples).where(F.col("n") >= LEAST_EXAMPLES), "terms")
+    least = 2 * math.log(max(counted.count(), 1))
     n, t, non = F.col("n"), F.col("toxic"), rows - toxic_rows
 
     def part(seen: Column, expected: Column) -> Column:
         return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(F.lit(0.0))
 
     ratio = part(t, n * toxic_rows / rows) + part(n - t, n * non / rows) + part(toxic_rows - t, (rows - n) * toxic_rows / rows) + part(non - n + t, (rows - n) * non / rows)
-    chosen = counted.withColumn("ratio", 2 * ratio).where(F.col("ratio") >= LEAST_RATIO).orderBy(F.desc("ratio"), "term").limit(fit_terms).collect()
+    chosen = counted.withColumn("ratio", 2 * ratio).where(F.col("ratio") >= least).orderBy(F.desc("ratio"), "term").limit(fit_terms).collect()
     terms = sorted(r["term"] for r in chosen)
     frequency = {r["term"]: r["n"] for r in chosen}
     idf = np.log((rows + 1.0) / (np.array([frequency[t] for t in terms], dtype="float64") + 1.0)) if terms else np.empty(0)
