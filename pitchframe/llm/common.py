@@ -25,9 +25,14 @@ def shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def row_key(*columns: str) -> Column:
-    """Tells rows of one id and different contents apart."""
-    return F.hash(*[F.coalesce(F.col(c), F.lit("")) for c in columns])
+#: Two hashes of a row's contents, 128 bits.
+ROW = ("row_a", "row_b")
+
+
+def row_key(*columns: str) -> list[Column]:
+    """Tells rows of one id and different contents apart; a null isn't an empty text."""
+    values = [x for c in columns for x in (F.col(c).isNull(), F.coalesce(F.col(c), F.lit("")))]
+    return [F.xxhash64(F.lit(i), *values).alias(name) for i, name in enumerate(ROW)]
 
 
 def crc32_bucket(key: str, modulus: int) -> Column:

@@ -32,8 +32,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pitchframe.llm.common import NO_ID, RunHashes, filled_id, mix, restored_id, row_key, text_slices, word_hashes
-from pitchframe.plans.scratch import written
+from pitchframe.llm.common import NO_ID, ROW, RunHashes, filled_id, mix, restored_id, row_key, text_slices, word_hashes
+from pitchframe.plans.scratch import dropped, written
 
 SHINGLE_WORDS = 3
 PERCENT = 90
@@ -49,7 +49,8 @@ TEXT_BATCH = 2_000_000
 SKETCH_WORDS = 8
 MORE_LEADERS = 16
 
-_SETS = "doc_id long, row int, n_shingles long, d1 long, d2 long, sketch array<long>, signatures array<long>"
+_NODE = ["doc_id", *ROW]
+_SETS = "doc_id long, row_a long, row_b long, n_shingles long, d1 long, d2 long, sketch array<long>, signatures array<long>"
 
 
 def shingle_set(text: str, shingle_words: int = SHINGLE_WORDS) -> np.ndarray:
@@ -164,7 +165,7 @@ def alike(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
 
 def _rows(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
-    return docs.select(filled_id(), row_key("text").alias("row"), text.alias("text"))
+    return docs.select(filled_id(), *row_key("text"), text.alias("text"))
 
 
 def shingle_table(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int = PERCENT, parts: int = PARTS, different: int = DIFFERENT, band: int = BAND) -> DataFrame:
@@ -177,7 +178,7 @@ def shingle_table(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent:
             yield pd.DataFrame(
                 {
                     "doc_id": frame["doc_id"].to_numpy(),
-                    "row": frame["row"].to_numpy(),
+                    **{c: frame[c].to_numpy() for c in ROW},
                     "n_shingles": [len(s) for s in sets],
                     "d1": np.asarray([mix(s ^ one).sum() for s in sets], dtype="uint64").view("int64"),
                     "d2": np.asarray([mix(s ^ two).sum() for s in sets], dtype="uint64").view("int64"),
@@ -202,11 +203,12 @@ def _linked(pairs: DataFrame, texts: DataFrame, shingle_words: int, percent: int
                 if lead_text != last:
                     last, held = lead_text, shingle_set(lead_text, shingle_words)
                 keep.append(alike(held, shingle_set(text, shingle_words), percent))
-            yield frame.loc[keep, ["lead_id", "lead_row", "node_id", "node_row"]]
+            yield frame.loc[keep, [f"{side}_{c}" for side in ("lead", "node") for c in _NODE]]
 
-    flat = sides.select(F.col("lead.doc_id").alias("lead_id"), F.col("lead.row").alias("lead_row"), F.col("node.doc_id").alias("node_id"), F.col("node.row").alias("node_row"), "lead_text", "text")
-    found = flat.mapInPandas(verify, "lead_id long, lead_row int, node_id long, node_row int")
-    return found.select(F.struct(F.col("lead_id").alias("doc_id"), F.col("lead_row").alias("row")).alias("lead"), F.struct(F.col("node_id").alias("doc_id"), F.col("node_row").alias("row")).alias("node"))
+    names = {side: [F.col(f"{side}.{c}").alias(f"{side}_{c}") for c in _NODE] for side in ("lead", "node")}
+    flat = sides.select(*names["lead"], *names["node"], "lead_text", "text")
+    found = flat.mapInPandas(verify, ", ".join(f"{side}_{c} long" for side in names for c in _NODE))
+    return found.select(*[F.struct(*[F.col(f"{side}_{c}").alias(c) for c in _NODE]).alias(side) for side in names])
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -227,32 +229,38 @@ def components(links: DataFrame) -> DataFrame:
         moved = large.join(below, "node").select("low", F.explode(F.array("lead", "node")).alias("node"))
         small = written(moved.where("low < node").select(F.col("low").alias("lead"), "node").distinct(), "stars")
         same = F.count("*"), F.sum(F.xxhash64("lead", "node").cast("decimal(38,0)"))
-        if small.agg(*same).first() == edges.agg(*same).first():
+        still = small.agg(*same).first() == edges.agg(*same).first()
+        dropped(large, edges)
+        if still:
             return small.select("node", F.col("lead").alias("comp"))
         edges = small
 
 
 def _components_of(docs: DataFrame, shingle_words: int, percent: int, parts: int, different: int, band: int) -> DataFrame:
-    """doc_id and row of every document, its set size, and the smallest node of its component."""
+    """doc_id and ``ROW`` of every document, its set size, and the smallest node of its component."""
     sets = written(shingle_table(docs, shingle_words, percent, parts, different, band), "shingle-sets")
     digest = ["d1", "d2", "n_shingles"]
-    whose = F.struct("doc_id", "row")
+    whose = F.struct(*_NODE)
     classes = sets.where("n_shingles > 0").groupBy(*digest).agg(F.min(whose).alias("node"), F.first("sketch").alias("sketch"))
     classes = written(classes, "set-classes")
-    # Signatures that more than one row has, in a table of its own, so that the rows of a hot
-    # one can be split in the join. Rows of one set become one there.
+    # Signatures that different sets have, in a table of their own, so that the rows of a hot one
+    # can be split in the join; copies of one set don't meet. The tables have no bound, so
+    # all joins sort and merge, at every size.
     meetings = sets.select(F.explode("signatures").alias("signature"), "d1")
-    shared = written(meetings.groupBy("signature").count().where("count > 1").select("signature"), "shared-signatures")
-    members = meetings.join(shared, "signature").distinct().join(classes.select("d1", "node"), "d1")
+    ends = meetings.groupBy("signature").agg(F.min("d1").alias("low"), F.max("d1").alias("high"))
+    shared = written(ends.where("low < high").select("signature"), "shared-signatures")
+    several = written(meetings.join(shared.hint("merge"), "signature").distinct(), "shared-members")
+    members = several.join(classes.select("d1", "node").hint("merge"), "d1")
     live = written(members.select("signature", "node"), "meetings")
+    dropped(shared, several)
 
     # Round one: the smallest node of every meeting against the others.
     lead = live.groupBy("signature").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead < last")
     lead = written(lead.select("signature", "lead"), "leads")
-    pairs = written(live.join(lead, "signature").where("node > lead").select("lead", "node").distinct(), "pairs")
+    pairs = written(live.join(lead.hint("merge"), "signature").where("node > lead").select("lead", "node").distinct(), "pairs")
     nodes = pairs.select(F.explode(F.array("lead", "node")).alias("node")).distinct()
-    nodes = nodes.select(F.col("node.doc_id").alias("doc_id"), F.col("node.row").alias("row"))
-    texts = _rows(docs).join(nodes, ["doc_id", "row"]).dropDuplicates(["doc_id", "row"])
+    nodes = nodes.select(*[F.col(f"node.{c}").alias(c) for c in _NODE])
+    texts = _rows(docs).join(nodes.hint("merge"), _NODE).dropDuplicates(_NODE)
     texts = written(texts.select(whose.alias("node"), "text"), "meeting-texts")
     links = written(_linked(pairs, texts, shingle_words, percent), "links")
     comps = written(components(links), "components")
@@ -271,9 +279,9 @@ def _components_of(docs: DataFrame, shingle_words: int, percent: int, parts: int
             comps = written(components(known), "components")
         rest = ranked.where(F.col("rank") > leaders).select("signature", "node")
 
-    labelled = classes.join(comps, "node", "left").select(*digest, F.coalesce("comp", "node").alias("comp"))
-    out = sets.select("doc_id", "row", *digest).join(labelled, digest, "left")
-    return out.select("doc_id", "row", "n_shingles", F.coalesce("comp", whose).alias("comp"))
+    labelled = classes.join(comps.hint("merge"), "node", "left").select(*digest, F.coalesce("comp", "node").alias("comp"))
+    out = sets.select(*_NODE, *digest).join(labelled.hint("merge"), digest, "left")
+    return out.select(*_NODE, "n_shingles", F.coalesce("comp", whose).alias("comp"))
 
 
 def _unsettled(members: DataFrame, comps: DataFrame) -> DataFrame:
@@ -315,14 +323,15 @@ def one_of_each(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: in
     Repeated rows are copies of each other, so one stays; rows without words all stay.
     """
     found = written(_components_of(docs, shingle_words, percent, parts, different, band).where("n_shingles > 0"), "found")
-    key = [F.col("doc_id").alias("__id"), F.col("row").alias("__row")]
-    gone = written(found.where("doc_id != comp.doc_id OR row != comp.row").select(*key).distinct(), "gone")
-    again = found.where("doc_id = comp.doc_id AND row = comp.row").groupBy(*key).count().where("count > 1")
-    again = written(again.select("__id", "__row"), "repeated")
+    names = [f"__near_{c}" for c in _NODE]
+    key = [F.col(c).alias(name) for c, name in zip(_NODE, names)]
+    leads = F.struct(*_NODE) == F.col("comp")
+    gone = written(found.where(~leads).select(*key).distinct(), "gone")
+    again = written(found.where(leads).groupBy(*key).count().where("count > 1").select(*names), "repeated")
     # Neither list has a bound, so the documents are sorted and merged with them at every size.
-    keyed = docs.withColumn("__id", filled_id()).withColumn("__row", row_key("text"))
-    kept = keyed.join(gone.hint("merge"), ["__id", "__row"], "left_anti")
+    keyed = docs.withColumns(dict(zip(names, [filled_id(), *row_key("text")])))
+    kept = keyed.join(gone.hint("merge"), names, "left_anti")
     if again.isEmpty():
         return kept.select(docs.columns)
-    once = kept.join(again.hint("merge"), ["__id", "__row"], "left_semi").dropDuplicates(["__id", "__row"])
-    return kept.join(again.hint("merge"), ["__id", "__row"], "left_anti").unionByName(once).select(docs.columns)
+    once = kept.join(again.hint("merge"), names, "left_semi").dropDuplicates(names)
+    return kept.join(again.hint("merge"), names, "left_anti").unionByName(once).select(docs.columns)

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pitchframe.llm.common import WORD, filled_id, restored_id, row_key
+from pitchframe.llm.common import ROW, WORD, filled_id, restored_id, row_key
 from pitchframe.plans.scratch import written
 
 WEIGHTS = (5, 2, 1)
@@ -24,8 +24,10 @@ MAX_REPEATS = 3.0
 #: Documents of a bucket, and the fan-in of the reduction tree.
 GROUP_ROWS = 20_000
 SEED = 20_240_601
+#: Parts in which rows that are all alike are numbered.
+SALTS = 64
 
-_DECIDED = "__src int, __bucket long, doc_id long, row int, size long, copies int, p double"
+_DECIDED = "__src int, __bucket long, doc_id long, row_a long, row_b long, size long, copies int, p double"
 
 
 def word_sizes(docs: DataFrame) -> DataFrame:
@@ -94,7 +96,7 @@ def _round_level(rows: DataFrame, level: int, seed: int, last: bool) -> DataFram
     """Decide all but one document of every (source, bucket); ``last`` decides that one too."""
 
     def decide(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["doc_id", "row"], kind="stable").reset_index(drop=True)
+        frame = frame.sort_values(["doc_id", *ROW], kind="stable").reset_index(drop=True)
         key = [seed, level, int(frame["__src"].iloc[0]), int(frame["__bucket"].iloc[0])]
         draws = np.random.Generator(np.random.PCG64(key)).random(len(frame) + 1)
         p, pivot = round_group(frame["p"].to_numpy(), frame["size"].to_numpy(dtype="float64"), draws)
@@ -113,7 +115,7 @@ def _round_level(rows: DataFrame, level: int, seed: int, last: bool) -> DataFram
 
 
 def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: float = MAX_REPEATS, group_rows: int = GROUP_ROWS, seed: int = SEED) -> DataFrame:
-    """doc_id, size, source_size, target, taken, copies and ``row`` of every document.
+    """doc_id, size, source_size, target, taken, copies and ``ROW`` of every document.
 
     ``copies`` is how often the mix takes the document, ``taken`` its words. A null or
     empty text has size 0 and takes no words. A null source is a source, the last. Equal
@@ -123,7 +125,7 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: fl
     """
     if group_rows < 2:
         raise ValueError("documents are rounded in pairs: group_rows is 2 at least")
-    sized = written(word_sizes(docs).select(filled_id(), row_key("text", "source").alias("row"), "source", "size"), "sizes")
+    sized = written(word_sizes(docs).select(filled_id(), *row_key("text", "source"), "source", "size"), "sizes")
     targets = written(source_targets(sized, weights, max_repeats), "targets")
     same = sized["source"].eqNullSafe(targets["source"])
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -132,9 +134,9 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: fl
     buckets = F.ceil(F.col("documents") / F.lit(group_rows))
     rows = sized.join(targets, same).select(
         "__src",
-        F.pmod(F.xxhash64("doc_id", F.lit(seed)), buckets).alias("__bucket"),
+        F.pmod(F.xxhash64("doc_id", *ROW, F.lit(seed)), buckets).alias("__bucket"),
         "doc_id",
-        "row",
+        *ROW,
         "size",
         F.floor(rate).cast("int").alias("copies"),
         F.when(F.col("size") > 0, rate - F.floor(rate)).otherwise(F.lit(0.0)).alias("p"),
@@ -155,17 +157,32 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: fl
     for part in decided[1:]:
         out = out.unionByName(part)
     named = targets.select("__src", "source_size", "target")
-    return out.join(named, "__src").select(restored_id(), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "row")
+    return out.join(named, "__src").select(restored_id(), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", *ROW)
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: float = MAX_REPEATS, group_rows: int = GROUP_ROWS, seed: int = SEED) -> DataFrame:
-    """``docs`` with every row as often as the mix takes it; rows it doesn't take go."""
+    """``docs`` with every row as often as the mix takes it; rows it doesn't take go.
+
+    Rows that are alike in id, text and source take the copies of all of them in nearly equal parts.
+    Null ids, texts and sources are values like others. No rows give none; all columns of ``docs`` stay.
+    """
     plan = mixture(docs, weights, max_repeats, group_rows, seed)
-    same = Window.partitionBy("__id", "__row")
+    key = [f"__mix_{c}" for c in ("id", *ROW)]
     # Rows that are alike in id, text and source share out the copies of their kind.
-    plan = plan.select(filled_id().alias("__id"), F.col("row").alias("__row"), "copies")
-    plan = plan.withColumn("__plan_nth", F.row_number().over(same.orderBy("copies")))
-    rows = docs.withColumn("__id", filled_id()).withColumn("__row", row_key("text", "source"))
-    rows = rows.withColumn("__nth", F.row_number().over(same.orderBy("__id")))
-    taken = rows.join(plan, ["__id", "__row"]).where("__nth - __plan_nth = 0 AND copies > 0")
-    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1), "copies"))).select(docs.columns)
+    plan = plan.select(filled_id().alias(key[0]), *[F.col(c).alias(k) for c, k in zip(ROW, key[1:])], "copies")
+    kinds = written(plan.groupBy(*key).agg(F.count("*").alias("__mix_rows"), F.sum("copies").alias("__mix_copies")), "copies")
+    marked = docs.withColumns(dict(zip(key, [filled_id(), *row_key("text", "source")])))
+    taken = marked.join(kinds.where("__mix_copies > 0").hint("merge"), key)
+    single = taken.where("__mix_rows = 1").withColumn("__mix_times", F.col("__mix_copies"))
+    # Rows of a kind are numbered in salted groups, each starting where those before it end.
+    salted = written(taken.where("__mix_rows > 1").withColumn("__mix_salt", F.monotonically_increasing_id() % SALTS), "repeated")
+    before = Window.partitionBy(*key).orderBy("__mix_salt").rowsBetween(Window.unboundedPreceding, -1)
+    counts = salted.groupBy(*key, "__mix_salt").agg(F.count("*").alias("__mix_n"))
+    counts = counts.select(*key, "__mix_salt", F.coalesce(F.sum("__mix_n").over(before), F.lit(0)).alias("__mix_before"))
+    nth = F.row_number().over(Window.partitionBy(*key, "__mix_salt").orderBy(*key)) + F.col("__mix_before")
+    share = F.floor(F.col("__mix_copies") / F.col("__mix_rows"))
+    more = (F.col("__mix_nth") <= F.col("__mix_copies") % F.col("__mix_rows")).cast("long")
+    shared = salted.join(counts, [*key, "__mix_salt"]).withColumn("__mix_nth", nth).withColumn("__mix_times", share + more)
+    columns = [*docs.columns, "__mix_times"]
+    out = single.select(columns).unionByName(shared.select(columns))
+    return out.select(*docs.columns, F.explode(F.array_repeat(F.lit(True), F.col("__mix_times").cast("int"))).alias("__mix_copy")).select(docs.columns)

@@ -30,7 +30,7 @@ from pitchframe.plans.scratch import written
 CAPACITY = 2048
 SEPARATOR_ID = 0
 #: Different words and stems whose ids a Python process remembers.
-REMEMBERED = 400_000, 1_000_000
+REMEMBERED = 200_000, 500_000
 #: Punctuation that the vocabulary parts from the word before it.
 ENDINGS = b".,!?;:%&$#*|"
 #: Rows of one length that are numbered together.

@@ -170,10 +170,15 @@ def with_statistics(docs: DataFrame, keep: str = "") -> DataFrame:
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, **options: float) -> Trees:
-    """Trees fitted on labelled documents (``labels``: doc_id, quality), at most ``fit_rows`` of them."""
+    """Trees fitted on labelled documents (``labels``: doc_id, quality), at most ``fit_rows`` of them.
+
+    Labels without value or id are left out; of an id with several texts the first in order is taken.
+    """
     known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", F.col("quality").cast("int").alias("quality"))
     chosen = written(known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(fit_rows), "labelled")
-    rows = with_statistics(docs.join(chosen, "doc_id"), "quality int").orderBy("doc_id", "quality", "x").collect()
+    # One row per id and label: an id that many rows share is one document here.
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    rows = with_statistics(texts.limit(fit_rows), "quality int").orderBy("doc_id", "quality", "x").collect()
     x = np.asarray([r["x"] for r in rows], dtype="float64").reshape(len(rows), len(STATISTICS))
     return fit_trees(x, np.asarray([r["quality"] for r in rows], dtype="float64"), **options)
 
@@ -182,7 +187,8 @@ def quality_scores(docs: DataFrame, trees: Trees, threshold: float = THRESHOLD)
     """doc_id, ``score`` and ``predicted`` of every row of ``docs`` (doc_id, text).
 
     A null text counts as empty and is scored like any other. Rows are independent:
-    repeated rows get equal scores. Without labelled rows every score is 0.5.
+    repeated rows get equal scores. Without labelled rows every score is 0.5. Null ids
+    stay null, no rows give none, other columns are ignored.
     """
 
     def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitchframe.llm.common import RunHashes, filled_id, mix, restored_id, row_key, text_slices, word_hashes
+from pitchframe.llm.common import ROW, RunHashes, filled_id, mix, restored_id, row_key, text_slices, word_hashes
 from pitchframe.plans.scratch import written
 
 MIN_WORDS = 50
@@ -30,8 +30,9 @@ ANCHOR_WORDS = 20
 TEXT_BATCH = 2_000_000
 _POSITION = np.uint64((1 << 24) - 1)
 
-_SEEDS = "anchor long, extension long, doc_id long, row int, first int, last int"
-_WINDOWS = "anchor long, window long, doc_id long, row int, first int"
+_KEY = ["doc_id", *ROW]
+_SEEDS = "anchor long, extension long, doc_id long, row_a long, row_b long, first int, last int"
+_WINDOWS = "anchor long, window long, doc_id long, row_a long, row_b long, first int"
 _KEPT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
 
 
@@ -71,9 +72,9 @@ def seeds_of(words: list[bytes], min_words: int = MIN_WORDS, anchor_words: int =
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    """doc_id, text and ``row``, which tells rows of one id and different texts apart."""
+    """doc_id, text and the ``ROW`` that tells rows of one id and different texts apart."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select(filled_id(), row_key("text").alias("row"), text.alias("text"))
+    return docs.select(filled_id(), *row_key("text"), text.alias("text"))
 
 
 def find_seeds(docs: DataFrame, min_words: int = MIN_WORDS, anchor_words: int = ANCHOR_WORDS) -> DataFrame:
@@ -82,32 +83,32 @@ def find_seeds(docs: DataFrame, min_words: int = MIN_WORDS, anchor_words: int =
             found = [seeds_of(t.encode("utf-8").split(), min_words, anchor_words) for t in frame["text"]]
             many = [len(f[0]) for f in found]
             anchor, extension, first, last = (np.concatenate(c) for c in zip(*found))
-            ids, rows = np.repeat(frame["doc_id"].to_numpy(), many), np.repeat(frame["row"].to_numpy(), many)
-            yield pd.DataFrame({"anchor": anchor, "extension": extension, "doc_id": ids, "row": rows, "first": first, "last": last})
+            keys = {c: np.repeat(frame[c].to_numpy(), many) for c in _KEY}
+            yield pd.DataFrame({"anchor": anchor, "extension": extension, **keys, "first": first, "last": last})
 
     return _rows(docs).mapInPandas(find, _SEEDS)
 
 
 def _windows_of_seeds(docs: DataFrame, seeds: DataFrame, min_words: int) -> DataFrame:
     """One row per window of ``seeds``, with the hash of its words."""
-    listed = seeds.groupBy("doc_id", "row").agg(F.collect_set(F.struct("anchor", "first", "last")).alias("seeds"))
+    listed = seeds.groupBy(*_KEY).agg(F.collect_set(F.struct("anchor", "first", "last")).alias("seeds"))
 
     def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in text_slices(batches, "text", TEXT_BATCH):
             parts = []
-            for doc_id, row, text, seeds in zip(frame["doc_id"], frame["row"], frame["text"], frame["seeds"]):
+            for *key, text, seeds in zip(*[frame[c] for c in _KEY], frame["text"], frame["seeds"]):
                 windows = RunHashes(word_hashes(text.encode("utf-8").split())).every(min_words).view("int64")
                 many = [s["last"] - s["first"] + 1 for s in seeds]
                 at = np.concatenate([np.arange(s["first"], s["last"] + 1) for s in seeds])
                 anchors = np.repeat([s["anchor"] for s in seeds], many)
-                parts.append(pd.DataFrame({"anchor": anchors, "window": windows[at], "doc_id": doc_id, "row": row, "first": at}))
+                parts.append(pd.DataFrame({"anchor": anchors, "window": windows[at], **dict(zip(_KEY, key)), "first": at}))
             yield pd.concat(parts)
 
-    return _rows(docs).join(listed, ["doc_id", "row"]).mapInPandas(follow, _WINDOWS)
+    return _rows(docs).join(listed, _KEY).mapInPandas(follow, _WINDOWS)
 
 
 def repeated_windows(docs: DataFrame, min_words: int = MIN_WORDS, anchor_words: int = ANCHOR_WORDS) -> DataFrame:
-    """doc_id, row, first, last: stretches of windows that also start in a document with a smaller id."""
+    """doc_id, ``ROW``, first, last: stretches of windows that also start in a document with a smaller id."""
     seeds = written(find_seeds(docs, min_words, anchor_words), "seeds")
     ids = (F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
     # What is joined back is a table first, so that the rows of a hot key can be split in the join.
@@ -116,14 +117,14 @@ def repeated_windows(docs: DataFrame, min_words: int = MIN_WORDS, anchor_words:
     sides = written(seeds.groupBy("anchor", "extension").agg(*ids), "extensions")
     unequal = sides.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor", F.lit(True).alias("unequal"))
     sides = sides.join(written(unequal, "unequal"), "anchor", "left").where("least < most OR unequal")
-    matched = seeds.join(sides, ["anchor", "extension"]).select("anchor", "doc_id", "row", "first", "last", "least", "unequal")
+    matched = seeds.join(sides, ["anchor", "extension"]).select("anchor", *_KEY, "first", "last", "least", "unequal")
     matched = written(matched, "matched-seeds")
-    whole = matched.where("doc_id > least").select("doc_id", "row", "first", "last")
+    whole = matched.where("doc_id > least").select(*_KEY, "first", "last")
     # The smallest id of each extension stands for it where extensions differ.
     windows = written(_windows_of_seeds(docs, matched.where("doc_id = least AND unequal"), min_words), "windows")
     earliest = windows.groupBy("anchor", "window").agg(*ids).where("least < most").select("anchor", "window", "least")
     single = windows.join(written(earliest, "earliest"), ["anchor", "window"]).where("doc_id > least")
-    return whole.unionByName(single.select("doc_id", "row", "first", F.col("first").alias("last")))
+    return whole.unionByName(single.select(*_KEY, "first", F.col("first").alias("last")))
 
 
 def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, anchor_words: int = ANCHOR_WORDS) -> DataFrame:
@@ -135,7 +136,7 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, anchor_words: in
     rows give repeated results, no rows give none, other columns are ignored.
     """
     spans = repeated_windows(docs, min_words, anchor_words)
-    spans = spans.groupBy("doc_id", "row").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
+    spans = spans.groupBy(*_KEY).agg(F.collect_set(F.struct("first", "last")).alias("spans"))
 
     def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in text_slices(batches, "text", TEXT_BATCH):
@@ -152,5 +153,5 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, anchor_words: in
                 out.append((doc_id, len(words), len(words) - len(kept), hashlib.sha256(joined).hexdigest(), joined.decode("utf-8")))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in _KEPT.split(", ")])
 
-    kept = _rows(docs).join(spans, ["doc_id", "row"], "left").mapInPandas(keep, _KEPT)
+    kept = _rows(docs).join(spans, _KEY, "left").mapInPandas(keep, _KEPT)
     return kept.select(restored_id(), "n_words", "n_removed", "kept_sha256", "kept")

@@ -1,6 +1,8 @@
 """Rows with everything an operator has to survive, and plain re-statements of the contracts."""
 import os
 
+from pyspark.sql import functions as F
+
 SF = "/root/testdata/sf0.001"
 
 LONG = "wort " * 30_000 + "x" * 200_000
@@ -21,12 +23,15 @@ ODD = [
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, block int, comp string"
 
 
+CLASHING = "lang_pred score copies col size target taken row_a row_b __id __row n_shingles component_id signature node comp_ spans kept piece".split()
+
+
 def odd(spark):
-    return spark.createDataFrame(ODD, SCHEMA)
+    return spark.createDataFrame(ODD, SCHEMA).withColumns({c: F.lit(1) for c in CLASHING})
 
 
 def none(spark):
-    return spark.createDataFrame([], SCHEMA)
+    return odd(spark).limit(0)
 
 
 def documents(spark):

@@ -1,7 +1,9 @@
 """Language profiles and quality trees: held-out accuracy, and plain re-statements of their cores."""
+import tracemalloc
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from pitchframe.llm import langid, quality
@@ -35,13 +37,31 @@ def test_language_of_odd_rows(spark):
     assert [x for x in got if x[0] in "34567"] == [("3", "und"), ("4", "und"), ("5", "und"), ("6", "de"), ("7", "und")]
     assert set(profiles) == {"en", "de"}  # the only French texts have no letter
     assert len(got) == docs.count()
-    carried = langid.identify(docs, profiles, keep=docs.columns)
-    assert carried.columns == [*docs.columns, "lang_pred", "score"]
-    assert sorted(map(str, carried.select(docs.columns).collect())) == sorted(map(str, docs.collect()))
+    kept = langid.with_language(docs, profiles)
+    assert kept.schema == docs.schema
+    assert sorted(map(str, kept.collect())) == sorted(str(r) for r in docs.collect() if str(r["doc_id"]) not in ("3", "4", "5", "7"))
     assert {r["lang_pred"] for r in langid.identify(docs, {}).collect()} == {"und"}
     assert langid.language_profiles(none(spark)) == {} and langid.identify(none(spark), profiles).collect() == []
 
 
+@pytest.mark.parametrize("parts", [1, 4, 8])
+def test_tasks_without_a_letter(spark, parts):
+    rows = [(i, "123 !", "en") for i in range(8)] + [(8, "some words", "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(parts)
+    assert set(langid.language_profiles(docs)) == {"de"}
+    assert langid.language_profiles(docs.where("doc_id < 8")) == {}
+
+
+def test_short_texts_take_little_memory():
+    tracemalloc.start()
+    texts = [f"{i:05d}".translate(str.maketrans("0123456789", "abcdefghij")) + chr(0x4E00 + i % 9_000) + "abcd" for i in range(20_000)]
+    vectors, known = langid.document_vectors(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert known.all() and peak < 300_000_000
+    assert (vectors[:3] == langid.document_vectors(texts[:3])[0]).all()
+
+
 def test_profiles_are_bounded_and_repeatable(spark):
     docs = documents(spark)
     few = langid.language_profiles(docs, per_language=5)
