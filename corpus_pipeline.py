@@ -24,16 +24,12 @@ SHINGLE_WORDS, PERCENT = 5, 80
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language, ``und``, go; profiles are learned from the ``lang`` of the others."""
     held_out = F.coalesce(crc32_bucket("doc_id", 4) == 2, F.lit(False))
-    known = langid.identify(docs, langid.fit_on(held_out, docs), keep=docs.columns)
-    return known.where(F.col("lang_pred") != langid.UNKNOWN).select(docs.columns)
+    return langid.with_language(docs, langid.fit_on(held_out, docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest ``doc_id`` stays.
-
-    One part holds one signature: at 80 percent smaller parts of a part would often be empty.
-    """
-    return jaccard.one_of_each(docs, SHINGLE_WORDS, PERCENT, parts=1, different=0)
+    """Of each group of linked documents the one with the smallest ``doc_id`` stays."""
+    return jaccard.one_of_each(docs, SHINGLE_WORDS, PERCENT)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
