@@ -6,7 +6,7 @@ from itertools import combinations
 from entry_queries.inputs import ctes
 from pitchframe.functions.text import POSITION_GROUPS, TEAM_ALIASES
 from pitchframe.operators.features import FORM, XG
-from pitchframe.operators.ratings import RATING_COLUMNS, SWEEPS
+from pitchframe.operators.ratings import PRIOR_GOALS, RATING_COLUMNS
 
 _quote = lambda s: "'" + s.replace("'", "''") + "'"
 _values = lambda pairs: ", ".join(f"({_quote(a)}, {_quote(b)})" for a, b in pairs.items())
@@ -244,6 +244,42 @@ def _season_fit(group: str, sweeps: int, with_home: bool = True) -> str:
     )
 
 
+# Updates after which the sweeps of the SQL stand still, to more digits than are compared.
+SEASON_SWEEPS, WINDOW_SWEEPS = 60, 80
+
+
+def _window_sweeps(sweeps: int) -> str:
+    """Factor tables of all windows, ending in ``adv_now``, ``att_now`` and ``def_now``.
+
+    ``window_obs`` has grp, team, opponent, home, n and g. Each pair of window and team has a number.
+    """
+    p = f"{PRIOR_GOALS}::double"
+    text = f"""
+, slots as materialized (select grp, team, cast(row_number() over () as integer) as slot
+   from (select distinct grp, team from window_obs))
+, base as materialized (select grp, sum(g) / sum(n) as r, sum(g) filter (where home = 1) as hg from window_obs group by grp)
+, coded as materialized (select o.grp, o.home, o.n * b.r as m, o.g, x.slot as t, y.slot as o from window_obs o
+   join base b on b.grp = o.grp join slots x on x.grp = o.grp and x.team = o.team
+   join slots y on y.grp = o.grp and y.team = o.opponent)
+, scored as materialized (select t as slot, sum(g) + {p} as goals from coded group by t)
+, conceded as materialized (select o as slot, sum(g) + {p} as goals from coded group by o)
+, att0 as materialized (select slot, 1.0::double as a from slots)
+, def0 as materialized (select slot, 1.0::double as d from slots)"""
+    for i in range(1, sweeps + 1):
+        last = i == sweeps
+        adv, att, dfn = ("adv_now", "att_now", "def_now") if last else (f"adv{i}", f"att{i}", f"def{i}")
+        rows = f"coded c join {adv} v on v.grp = c.grp"
+        lift = "case when c.home = 1 then v.v else 1 end"
+        text += f"""
+, {adv} as materialized (select c.grp, (any_value(b.hg) + {p}) / (sum(c.m * x.a * y.d) + {p}) as v from coded c
+   join att{i - 1} x on x.slot = c.t join def{i - 1} y on y.slot = c.o join base b on b.grp = c.grp where c.home = 1 group by c.grp)
+, {att} as materialized (select c.t as slot, any_value(s.goals) / (sum(c.m * {lift} * y.d) + {p}) as a from {rows}
+   join def{i - 1} y on y.slot = c.o join scored s on s.slot = c.t group by c.t)
+, {dfn} as materialized (select c.o as slot, any_value(s.goals) / (sum(c.m * {lift} * x.a) + {p}) as d from {rows}
+   join {att} x on x.slot = c.t join conceded s on s.slot = c.o group by c.o)"""
+    return text
+
+
 ROLLING = (
     MEMBERS
     + """
@@ -252,17 +288,18 @@ ROLLING = (
 , window_obs as (
   select grp, home_team as team, away_team as opponent, 1 as home, 1.0::double as n, home_goals as g from played
   union all select grp, away_team, home_team, 0, 1.0, away_goals from played)"""
-    + _sweeps("window_obs", SWEEPS)
+    + _window_sweeps(WINDOW_SWEEPS)
     + f"""
 , window_teams as (select distinct m.fixture_id as grp, unnest([f.home_team, f.away_team]) as team
    from members m join fixtures f on f.fixture_id = m.member_id)
-, attack_of as (select grp, team, max(a) as a from fitted group by grp, team)
-, defense_of as (select grp, opponent as team, max(d) as d from fitted group by grp, opponent)
+, attack_of as (select s.grp, s.team, x.a from slots s join att_now x on x.slot = s.slot)
+, defense_of as (select s.grp, s.team, x.d from slots s join def_now x on x.slot = s.slot)
 , window_factors as (select t.grp, t.team, coalesce(a, 1.0) as a, coalesce(d, 1.0) as d from window_teams t
    left join attack_of x on x.grp = t.grp and x.team = t.team left join defense_of y on y.grp = t.grp and y.team = t.team)
 , window_ratings as (select grp, team, a / avg(a) over (partition by grp) as attack, d / avg(d) over (partition by grp) as defense
    from window_factors)
-, window_adv as (select grp, count(*) as obs, case when max(v) > 0 and sum(g) > 0 then max(v) else 1.25 end as v from fitted group by grp)
+, window_adv as (select o.grp, count(*) as obs, case when max(x.v) > 0 and sum(g) > 0 then max(x.v) else 1.25 end as v
+   from window_obs o join adv_now x on x.grp = o.grp group by o.grp)
 , rated as (select f.*,
    case when w.obs >= 4 then coalesce(h.attack, 1.0) else 1.0 end as home_attack_rating,
    case when w.obs >= 4 then coalesce(h.defense, 1.0) else 1.0 end as home_defense_rating,
@@ -425,10 +462,10 @@ where recency <= 8"""
 ORACLES["rating_window_members"] = ctes("fixtures") + MEMBERS + " select fixture_id, member_id from members"
 
 _FACTORS = ("attack", "defense", "home_advantage")
-ORACLES["poisson_ratings"] = ctes("fixtures") + _season_fit("season", SWEEPS) + f"""
+ORACLES["poisson_ratings"] = ctes("fixtures") + _season_fit("season", SEASON_SWEEPS) + f"""
 select grp as season, team, {_rounded(_FACTORS)} from season_fit"""
 
-ORACLES["poisson_ratings_without_home"] = ctes("fixtures") + _season_fit("season", SWEEPS, with_home=False) + f"""
+ORACLES["poisson_ratings_without_home"] = ctes("fixtures") + _season_fit("season", SEASON_SWEEPS, with_home=False) + f"""
 select grp as season, team, {_rounded(_FACTORS)} from season_fit"""
 
 ORACLES["poisson_ratings_glr"] = ctes("fixtures") + _season_fit("0", 60) + f"""

@@ -312,13 +312,13 @@ def rating_window_members(spark, sf):
 
 @query
 def poisson_ratings(spark, sf):
-    fitted = ratings.fit_poisson_ratings(table("fixtures", spark, sf))
+    fitted = ratings.fit_poisson_ratings(table("fixtures", spark, sf)).drop("converged")
     return rounded(fitted, "attack", "defense", "home_advantage")
 
 
 @query
 def poisson_ratings_without_home(spark, sf):
-    fitted = ratings.fit_poisson_ratings(table("fixtures", spark, sf), home_field_advantage=False)
+    fitted = ratings.fit_poisson_ratings(table("fixtures", spark, sf), home_field_advantage=False).drop("converged")
     return rounded(fitted, "attack", "defense", "home_advantage")
 
 

@@ -1,9 +1,13 @@
 """Multiplicative fit of attack and defense factors, vectorized over many groups.
 
 Model per group: goals ~ Poisson(base * advantage^home * attack[team] * defense[opponent]).
-Each update scales one family of factors by observed over fitted goals, which is
-the coordinate-wise maximum of the likelihood. All groups of a batch advance
-together, as sums over integer codes.
+Each update is the coordinate-wise maximum of the objective in one family of factors. All
+groups of a batch advance together, as sums over integer codes, and a group whose factors stand
+still leaves the batch.
+
+Without a prior the objective is the likelihood. A prior of ``p`` goals on every factor (a Gamma
+density with its mode at 1) makes it strictly concave in the logarithms, so that a group too small to
+identify its factors still has exactly one maximum; the base is then the mean goals of the group.
 """
 from __future__ import annotations
 
@@ -22,48 +26,76 @@ def multiplicative_fit(
     *,
     sweeps,
     home_field_advantage=True,
-    alpha=0.0,
+    prior=0.0,
+    tolerance=0.0,
     default_advantage=1.25,
 ):
-    """Attack and defense per team code and the home advantage per group.
+    """Attack and defense per team code, the home advantage per group, and which groups converged.
 
     Team codes are unique over all groups. ``weight`` is the number of matches a
-    row stands for. ``alpha`` is a pseudo-count that keeps sparse groups bounded.
+    row stands for. A group has converged when no update of a sweep changes a factor
+    by more than the share ``tolerance``; at most ``sweeps`` are made.
     """
     attack, defense, advantage = np.ones(n_teams), np.ones(n_teams), np.ones(n_groups)
-    at_home = np.flatnonzero(home)
-    home_group = group[at_home]
+    converged = np.zeros(n_groups, dtype=bool)
     all_goals = np.bincount(group, goals, n_groups)
-    home_goals = np.bincount(home_group, goals[at_home], n_groups)
-    scored = np.bincount(team, goals, n_teams)
-    conceded = np.bincount(opponent, goals, n_teams)
-    # fitted goals per row: every update multiplies them by its factors
-    fitted = np.array(weight, dtype=np.float64)
+    if prior:
+        matches = np.bincount(group, weight, n_groups)
+        base = np.divide(all_goals, matches, out=np.zeros(n_groups), where=matches > 0)
+        # fitted goals per row: every update multiplies them by its factors
+        fitted = weight * base[group]
+    else:
+        fitted = np.array(weight, dtype=np.float64)
+    rows = group, home, team, opponent
+    home_goals = np.bincount(group, goals * home, n_groups)
+    scored, conceded = np.bincount(team, goals, n_teams), np.bincount(opponent, goals, n_teams)
 
-    def step(observed, mu):
-        mu = mu + alpha
+    def step(observed, mu, now):
+        mu = mu + prior * now
         # nothing fitted: the factor stays as it is
-        return np.divide(observed + alpha, mu, out=np.ones_like(mu), where=mu > 0)
+        return np.divide(observed + prior, mu, out=np.ones_like(mu), where=mu > 0)
+
+    def layout(group, home, team, opponent):
+        """Home rows, and of every team, opponent and home group its code and one row of it."""
+        at_home = np.flatnonzero(home)
+        return at_home, group[at_home], *[np.unique(key, return_index=True) for key in (group[at_home], team, opponent)]
 
+    group, home, team, opponent = rows
+    at_home, home_group, homes, teams, opponents = layout(*rows)
     for sweep in range(sweeps + 1):
-        fitted *= step(all_goals, np.bincount(group, fitted, n_groups))[group]
+        change = np.zeros(n_groups)
+        if not prior:
+            fitted *= step(all_goals, np.bincount(group, fitted, n_groups), 1.0)[group]
         if home_field_advantage:
-            factor = step(home_goals, np.bincount(home_group, fitted[at_home], n_groups))
-            advantage *= factor
+            factor = step(home_goals, np.bincount(home_group, fitted[at_home], n_groups), advantage)
+            advantage[homes[0]] *= factor[homes[0]]
+            change[homes[0]] = np.abs(factor[homes[0]] - 1)
             fitted[at_home] *= factor[home_group]
-        if sweep < sweeps:
-            factor = step(scored, np.bincount(team, fitted, n_teams))
-            attack *= factor
-            fitted *= factor[team]
-            factor = step(conceded, np.bincount(opponent, fitted, n_teams))
-            defense *= factor
-            fitted *= factor[opponent]
+        if sweep == sweeps:
+            break
+        for values, observed, key, (codes, first) in ((attack, scored, team, teams), (defense, conceded, opponent, opponents)):
+            factor = step(observed, np.bincount(key, fitted, n_teams), values)
+            fitted *= factor[key]
+            values[codes] *= factor[codes]
+            np.maximum.at(change, group[first], np.abs(factor[codes] - 1))
+        if tolerance:
+            still = change <= tolerance
+            moving = ~still[group]
+            # the batch is packed again only when a good part of it stands still
+            if 4 * np.count_nonzero(moving) <= 3 * len(moving) or not moving.any():
+                converged[np.unique(group)] = True
+                converged[np.unique(group[moving])] = False
+                rows, fitted = tuple(x[moving] for x in rows), fitted[moving]
+                if not len(fitted):
+                    break
+                group, home, team, opponent = rows
+                at_home, home_group, homes, teams, opponents = layout(*rows)
 
     if home_field_advantage:
         # without any home goal there is no ratio to speak of
         some = all_goals > 0
         advantage = np.where(some & (advantage > 0), advantage, default_advantage)
-    return attack, defense, advantage
+    return attack, defense, advantage, converged
 
 
 def mean_one(values, group, n_groups):

@@ -16,13 +16,19 @@ from pyspark.sql import functions as F
 from pitchframe.functions import fit, numeric
 from pitchframe.operators.clean import with_dates
 from pitchframe.plans.ordered import ordered_groups
-from pitchframe.plans.scratch import written
+from pitchframe.plans.scratch import dropped, written
 
 # The solver travels with the task, so workers need no installed package.
 cloudpickle.register_pickle_by_value(fit)
 
 RATING_WINDOW = 8
-SWEEPS = 25
+# A fit stops when no factor changes by more than this share; one that still moves after
+# so many sweeps hasn't converged.
+TOLERANCE, SWEEPS = 1e-12, 2_000
+# The same for a group that is solved by distributed sums, each sweep of which takes several jobs.
+DISTRIBUTED_SWEEPS = 200
+# Goals each factor of a window fit is worth before any match is seen.
+PRIOR_GOALS = 3.0
 # Most (team, opponent, home) cells of one group solved inside a task; a group of
 # n teams has at most 2 n^2 of them. Larger groups are solved by distributed sums.
 MAX_GROUP_CELLS = 2_000_000
@@ -140,7 +146,7 @@ def _solve_in_task(
     cells: DataFrame, group: Sequence[str], *, default_advantage: float, **options
 ) -> DataFrame:
     keys = ", ".join(f"`{g}` {cells.schema[g].dataType.simpleString()}" for g in group)
-    schema = f"{keys}, team string, attack double, defense double, home_advantage double"
+    schema = f"{keys}, team string, attack double, defense double, home_advantage double, converged boolean"
     multiplicative_fit, mean_one = fit.multiplicative_fit, fit.mean_one
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -160,7 +166,7 @@ def _solve_in_task(
             default_advantage=default_advantage,
             **options,
         )
-        attack, defense, advantage = fitted
+        attack, defense, advantage, converged = fitted
         one_group = np.zeros(len(names), dtype=np.int64)
         result = pd.DataFrame(
             {
@@ -168,11 +174,12 @@ def _solve_in_task(
                 "attack": mean_one(attack, one_group, 1),
                 "defense": mean_one(defense, one_group, 1),
                 "home_advantage": advantage[0],
+                "converged": converged[0],
             }
         )
         if len(names) < 2 or pdf["fixtures"].sum() < 4 or pdf["matches"].sum() < 4:
             # each fixture is two rows of the cells
-            result = result.assign(attack=1.0, defense=1.0, home_advantage=default_advantage)
+            result = result.assign(attack=1.0, defense=1.0, home_advantage=default_advantage, converged=True)
         for g in reversed(group):
             result.insert(0, g, pdf[g].iloc[0])
         return result
@@ -186,13 +193,14 @@ def _solve_distributed(
     *,
     sweeps: int,
     home_field_advantage: bool,
-    alpha: float,
+    tolerance: float,
     default_advantage: float,
 ) -> DataFrame:
     """The same updates as joins and grouped sums, for groups too large for a task.
 
     Only the team and rate tables change; each is written after its update, so
-    the plan of an update never contains the updates before it.
+    the plan of an update never contains the updates before it, and the table it
+    replaces is deleted. A sweep ends with one look at the largest change.
     """
     # one non-null key stands for the group columns in the joins
     cells = written(
@@ -206,7 +214,7 @@ def _solve_distributed(
         cells.where(F.col("team").isNotNull())
         .select("__g", *group, "team")
         .distinct()
-        .withColumns({"attack": one, "defense": one}),
+        .withColumns({"attack": one, "defense": one, "attack_change": F.lit(0.0), "defense_change": F.lit(0.0)}),
         "teams",
     )
     rates = written(use.select("__g").distinct().withColumns({"base": one, "advantage": one}), "rates")
@@ -222,15 +230,19 @@ def _solve_distributed(
         if home_only:
             fitted = fitted.where(F.col("home") == 1)
         lift = F.when(F.col("home") == 1, F.col("advantage")).otherwise(one)
-        mu = F.sum(F.col("matches") * F.col("base") * lift * F.col("attack") * F.col("defense")) + alpha
-        factor = F.coalesce((F.sum("goals") + alpha) / F.nullif(mu, F.lit(0.0)), one)
+        mu = F.sum(F.col("matches") * F.col("base") * lift * F.col("attack") * F.col("defense"))
+        factor = F.coalesce(F.sum("goals") / F.nullif(mu, F.lit(0.0)), one)
         return fitted.groupBy("__g", *keys).agg(factor.alias("factor"))
 
     def scaled(table: DataFrame, factors: DataFrame, keys: list[str], column: str) -> DataFrame:
         joined = table.join(factors, ["__g", *keys], "left")
-        new = F.col(column) * F.coalesce("factor", one)
-        return written(joined.withColumn(column, new).drop("factor"), column)
+        factor = F.coalesce("factor", one)
+        changes = {f"{column}_change": F.abs(factor - 1)} if f"{column}_change" in table.columns else {}
+        new = written(joined.withColumns({column: F.col(column) * factor, **changes}).drop("factor"), column)
+        dropped(table)
+        return new
 
+    still = False
     for sweep in range(sweeps + 1):
         rates = scaled(rates, step([]), [], "base")
         if home_field_advantage:
@@ -239,6 +251,11 @@ def _solve_distributed(
             teams = scaled(teams, step(["team"]), ["team"], "attack")
             by_opponent = step(["opponent"]).withColumnRenamed("opponent", "team")
             teams = scaled(teams, by_opponent, ["team"], "defense")
+            if still:
+                break
+            # base and advantage are updated once more after the last change of the teams
+            largest = teams.agg(F.max(F.greatest("attack_change", "defense_change"))).first()[0]
+            still = largest is not None and largest <= tolerance
 
     size = cells.groupBy("__g").agg(
         F.countDistinct("team").alias("teams"),
@@ -254,10 +271,14 @@ def _solve_distributed(
         advantage = one
     per_group = (
         teams.groupBy("__g")
-        .agg(F.avg("attack").alias("a"), F.avg("defense").alias("d"))
+        .agg(
+            F.avg("attack").alias("a"),
+            F.avg("defense").alias("d"),
+            (F.max(F.greatest("attack_change", "defense_change")) <= tolerance).alias("still"),
+        )
         .join(size.select("__g", "some", enough.alias("enough")), "__g")
         .join(rates, "__g", "left")
-        .select("__g", "a", "d", "enough", advantage.alias("home_advantage"))
+        .select("__g", "a", "d", "enough", "still", advantage.alias("home_advantage"))
     )
     mean = lambda c: F.when(F.col(c) > 0, F.col(c)).otherwise(one)
     fitted = lambda value, default: F.when(F.col("enough"), value).otherwise(F.lit(default))
@@ -267,6 +288,7 @@ def _solve_distributed(
         fitted(F.col("attack") / mean("a"), 1.0).alias("attack"),
         fitted(F.col("defense") / mean("d"), 1.0).alias("defense"),
         fitted(F.col("home_advantage"), default_advantage).alias("home_advantage"),
+        (~F.col("enough") | F.col("still")).alias("converged"),
     )
 
 
@@ -276,38 +298,59 @@ def fit_poisson_ratings(
     *,
     home_field_advantage: bool = True,
     sweeps: int = SWEEPS,
-    alpha: float = 0.0,
+    tolerance: float = TOLERANCE,
     max_group_cells: int = MAX_GROUP_CELLS,
 ) -> DataFrame:
-    """Attack, defense (mean 1 per group) and home advantage, one fit per group.
+    """Attack, defense (mean 1 per group), home advantage and ``converged``, one fit per group.
 
     Groups with fewer than two teams, two fixtures or four observations have all
-    ratings 1 and the cold-start advantage.
+    ratings 1 and the cold-start advantage. A group that still moves after ``sweeps``
+    has the empirical ratings and advantage instead, and ``converged`` is false.
     """
+    fitted = _fitted_ratings(fixtures, group, home_field_advantage, sweeps, tolerance, max_group_cells)
+    group = list(group)
+    failed = fitted.where(~F.col("converged"))
+    if failed.isEmpty():
+        return fitted
+    if not group:
+        fitted, fixtures, group = fitted.withColumn("__whole", F.lit(0)), fixtures.withColumn("__whole", F.lit(0)), ["__whole"]
+    mine, theirs = [F.struct(*[f"{side}.{g}" for g in group]) for side in ("f", "e")]
+    means = empirical_ratings(fixtures, group).withColumnsRenamed({"attack": "e_attack", "defense": "e_defense"})
+    joined = fitted.alias("f").join(means.alias("e"), mine.eqNullSafe(theirs) & (F.col("f.team") == F.col("e.team")), "left")
+    joined = joined.select("f.*", "e_attack", "e_defense")
+    ratio = empirical_home_advantage(fixtures, group).withColumnRenamed("home_advantage", "e_advantage")
+    joined = joined.alias("f").join(ratio.alias("e"), mine.eqNullSafe(theirs), "left").select("f.*", "e_advantage")
+    kept = lambda name, other: F.when(F.col("converged"), F.col(name)).otherwise(F.col(other)).alias(name)
+    advantage = kept("home_advantage", "e_advantage") if home_field_advantage else F.col("home_advantage")
+    out = joined.select(*group, "team", kept("attack", "e_attack"), kept("defense", "e_defense"), advantage, "converged")
+    return out.drop("__whole")
+
+
+def _fitted_ratings(
+    fixtures: DataFrame, group: Sequence[str], home_field_advantage: bool, sweeps: int, tolerance: float, max_group_cells: int
+) -> DataFrame:
+    """The fits themselves, as a table of one row per group and team."""
     group = list(group)
     if not group:
         grouped = fixtures.withColumn("__whole", F.lit(0))
-        ratings = fit_poisson_ratings(
-            grouped, ["__whole"], home_field_advantage=home_field_advantage, sweeps=sweeps,
-            alpha=alpha, max_group_cells=max_group_cells,
-        )
-        return ratings.drop("__whole")
+        return _fitted_ratings(grouped, ["__whole"], home_field_advantage, sweeps, tolerance, max_group_cells).drop("__whole")
     cells = written(rating_cells(fixtures, group), "rating-cells")
     options = {
         "sweeps": sweeps,
         "home_field_advantage": home_field_advantage,
-        "alpha": alpha,
+        "tolerance": tolerance,
         "default_advantage": numeric.COLD_START_ADVANTAGE,
     }
     # each group by its own size: one that is too large changes nothing for the others
     large = cells.groupBy(*group).count().where(F.col("count") > max_group_cells)
     large = large.select(*[F.col(g).alias(f"__{g}") for g in group])
     if large.isEmpty():
-        return _solve_in_task(cells, group, **options)
+        return written(_solve_in_task(cells, group, **options), "ratings")
     large = written(large, "large-groups")
     same = reduce(and_, [F.col(g).eqNullSafe(F.col(f"__{g}")) for g in group])
     small = _solve_in_task(cells.join(large, same, "left_anti"), group, **options)
-    return small.unionByName(_solve_distributed(cells.join(large, same, "left_semi"), group, **options))
+    options["sweeps"] = min(sweeps, DISTRIBUTED_SWEEPS)
+    return written(small.unionByName(_solve_distributed(cells.join(large, same, "left_semi"), group, **options)), "ratings")
 
 
 def fit_poisson_ratings_glr(
@@ -431,7 +474,7 @@ def rating_window_members(fixtures: DataFrame, window: int = RATING_WINDOW) -> D
     return ids.select("fixture_id", F.explode(members).alias("member_id"))
 
 
-def _window_fit(sweeps: int, home_field_advantage: bool, alpha: float):
+def _window_fit(sweeps: int, home_field_advantage: bool, prior: float, tolerance: float):
     """Arrow UDF fitting every window of a batch at once.
 
     Earlier meetings of the two teams appear in both histories. Each history
@@ -439,10 +482,10 @@ def _window_fit(sweeps: int, home_field_advantage: bool, alpha: float):
     leaving out the meetings of the side that has fewer keeps each exactly once.
     """
     default_advantage = numeric.COLD_START_ADVANTAGE
-    fields = [pa.field(c, pa.float64()) for c in (*RATING_COLUMNS, "home_advantage")]
+    fields = [*[pa.field(c, pa.float64()) for c in (*RATING_COLUMNS, "home_advantage")], pa.field("converged", pa.bool_())]
     solve, normalize = fit.multiplicative_fit, fit.mean_one
 
-    @F.arrow_udf(", ".join(f"{f.name} double" for f in fields))
+    @F.arrow_udf(", ".join(f"{f.name} double" for f in fields[:-1]) + ", converged boolean")
     def ratings(home: pa.Array, away: pa.Array, home_history: pa.Array, away_history: pa.Array) -> pa.Array:
         n = len(home)
         window = np.arange(n)
@@ -479,7 +522,7 @@ def _window_fit(sweeps: int, home_field_advantage: bool, alpha: float):
         played = ~(np.isnan(scored) | np.isnan(conceded))
         use = played & (opponent >= 0)
         t, o = at(row[use], team[use]), at(row[use], opponent[use])
-        attack, defense, advantage = solve(
+        attack, defense, advantage, converged = solve(
             np.concatenate([row[use], row[use]]),
             np.concatenate([at_home[use], 1 - at_home[use]]),
             np.concatenate([t, o]),
@@ -490,7 +533,8 @@ def _window_fit(sweeps: int, home_field_advantage: bool, alpha: float):
             len(slots),
             sweeps=sweeps,
             home_field_advantage=home_field_advantage,
-            alpha=alpha,
+            prior=prior,
+            tolerance=tolerance,
             default_advantage=default_advantage,
         )
         attack, defense = normalize(attack, slot_row, n), normalize(defense, slot_row, n)
@@ -511,6 +555,7 @@ def _window_fit(sweeps: int, home_field_advantage: bool, alpha: float):
             rating(attack, "away"),
             rating(defense, "away"),
             np.where(enough, advantage, default_advantage),
+            converged | ~enough,
         ]
         return pa.StructArray.from_arrays([pa.array(c) for c in columns], fields=fields)
 
@@ -523,18 +568,27 @@ def rolling_ratings(
     *,
     home_field_advantage: bool = True,
     sweeps: int = SWEEPS,
-    alpha: float = 0.0,
+    prior: float = PRIOR_GOALS,
+    tolerance: float = TOLERANCE,
 ) -> DataFrame:
-    """Each fixture with ratings and expected goals known before it was played."""
+    """Each fixture with ratings and expected goals known before it was played.
+
+    A window of 16 matches doesn't identify the factors of all its teams. ``prior`` goals pull
+    each factor towards 1, which makes the maximum unique; ``ratings_converged`` tells whether it was
+    reached within ``sweeps``. The prior is positive.
+    """
+    if prior <= 0:
+        raise ValueError("a window fit needs a positive prior to be defined")
     fixtures = with_dates(fixtures)
     histories = window_histories(fixtures, window)
-    fitted = _window_fit(sweeps, home_field_advantage, alpha)(
+    fitted = _window_fit(sweeps, home_field_advantage, prior, tolerance)(
         "home_team", "away_team", "home_history", "away_history"
     )
     rated = (
         fixtures.join(histories, "fixture_id", "left")
         .withColumn("__fit", fitted)
         .select(*fixtures.columns, "__fit.*")
+        .withColumnRenamed("converged", "ratings_converged")
     )
     home, away = numeric.expected_goals(*[F.col(c) for c in RATING_COLUMNS], F.col("home_advantage"))
     return rated.withColumns({"expected_home_goals": home, "expected_away_goals": away}).drop("home_advantage")

@@ -44,7 +44,7 @@ def test_distributed_sweeps_equal_sweeps_in_task(spark, home_field_advantage):
     df = _season(spark).withColumn("season", F.when(F.col("fixture_id") < "f0050", "a"))
     run = lambda cells: {
         (r.season, r.team): (r.attack, r.defense, r.home_advantage)
-        for r in ratings.fit_poisson_ratings(df, sweeps=2, home_field_advantage=home_field_advantage, max_group_cells=cells).collect()
+        for r in ratings._fitted_ratings(df, ["season"], home_field_advantage, 2, ratings.TOLERANCE, cells).collect()
     }
     inside, spread = run(ratings.MAX_GROUP_CELLS), run(1)
     assert inside.keys() == spread.keys() and len(inside) == 16
@@ -95,7 +95,7 @@ def test_window_of_two_has_no_leakage(spark):
     assert (got["f1"].expected_home_goals, got["f1"].expected_away_goals) == (1.509, 1.207)
 
 
-def _slow_windows(df, window, sweeps):
+def _slow_windows(df, window, sweeps, prior=ratings.PRIOR_GOALS):
     """The window fit written per fixture in plain Python."""
     games = sorted(df.collect(), key=lambda g: (g.date, g.fixture_id))
     result = {}
@@ -111,20 +111,21 @@ def _slow_windows(df, window, sweeps):
             if g.home_goals is not None:
                 obs += [(g.home_goals, 1, g.home_team, g.away_team), (g.away_goals, 0, g.away_team, g.home_team)]
         names = {t for g in subset for t in (g.home_team, g.away_team)}
-        A, D, R, V = {t: 1.0 for t in names}, {t: 1.0 for t in names}, {0: 1.0}, {1: 1.0}
+        A, D, V = {t: 1.0 for t in names}, {t: 1.0 for t in names}, {1: 1.0}
+        base = sum(o[0] for o in obs) / max(len(obs), 1)
         if len(obs) < 4:
             result[now.fixture_id] = (1.0, 1.0, 1.0, 1.0)
             continue
 
         def update(factors, key):
             for name in factors:
-                mine = [o for o in obs if key is None or o[key] == name]
+                mine = [o for o in obs if o[key] == name]
                 seen = sum(o[0] for o in mine)
-                mu = sum(R[0] * V.get(o[1], 1.0) * A[o[2]] * D[o[3]] for o in mine)
-                factors[name] *= seen / mu if mu > 0 else 1.0
+                mu = sum(base * V.get(o[1], 1.0) * A[o[2]] * D[o[3]] for o in mine)
+                factors[name] *= (seen + prior) / (mu + prior * factors[name])
 
         for _ in range(sweeps):
-            update(R, None), update(V, 1), update(A, 2), update(D, 3)
+            update(V, 1), update(A, 2), update(D, 3)
         ma, md = sum(A.values()) / len(A), sum(D.values()) / len(D)
         h, a = now.home_team, now.away_team
         one = lambda f, t, m: f[t] / m if t in f else 1.0
@@ -183,10 +184,51 @@ def test_one_large_group_among_small_ones(spark):
     df = _season(spark).withColumn("season", F.when(F.col("fixture_id") < "f0010", "a"))
     run = lambda cells: {
         (r.season, r.team): (r.attack, r.defense, r.home_advantage)
-        for r in ratings.fit_poisson_ratings(df, sweeps=2, max_group_cells=cells).collect()
+        for r in ratings._fitted_ratings(df, ["season"], True, 2, ratings.TOLERANCE, cells).collect()
     }
     sizes = sorted(r["count"] for r in ratings.rating_cells(df, ["season"]).groupBy("season").count().collect())
     assert sizes[0] < sizes[-1]
     inside, mixed = run(ratings.MAX_GROUP_CELLS), run(sizes[0])
     assert inside.keys() == mixed.keys()
     assert max(abs(x - y) for k in inside for x, y in zip(inside[k], mixed[k])) < 1e-12
+
+
+def test_more_sweeps_move_no_window(spark):
+    df = _season(spark, n=150, teams=6, seed=3)
+    once, twice = _rolled(df, sweeps=ratings.SWEEPS), _rolled(df, sweeps=2 * ratings.SWEEPS)
+    assert max(abs(x - y) for k in once for x, y in zip(once[k], twice[k])) < 1e-6
+    flags = lambda **options: {r.ratings_converged for r in ratings.rolling_ratings(df, **options).collect()}
+    assert flags() == {True} and flags(sweeps=2) == {True, False}
+    with pytest.raises(ValueError):
+        ratings.rolling_ratings(df, prior=0.0)
+
+
+def test_groups_that_do_not_converge_have_empirical_ratings(spark):
+    df = _season(spark, n=80).withColumn("season", F.when(F.col("fixture_id") < "f0006", "a").when(F.col("fixture_id") > "f0040", "b"))
+    for cells, tries in ((ratings.MAX_GROUP_CELLS, (3, ratings.SWEEPS)), (1, (3,))):
+        for sweeps in tries:
+            fitted = ratings.fit_poisson_ratings(df, sweeps=sweeps, max_group_cells=cells).collect()
+            states = {r.season: r.converged for r in fitted}
+            assert set(states) == {"a", "b", None} and states["b"] == states[None] == (sweeps > 3)
+            # Of six fixtures some factors run to nought, ever more slowly.
+            assert not states["a"]
+            means = {(r.season, r.team): (r.attack, r.defense) for r in ratings.empirical_ratings(df).collect()}
+            ratio = {r.season: r.home_advantage for r in ratings.empirical_home_advantage(df).collect()}
+            for r in fitted:
+                if not r.converged:
+                    assert (r.attack, r.defense) == pytest.approx(means[r.season, r.team]) and r.home_advantage == pytest.approx(ratio[r.season])
+            assert len(fitted) == len(means)
+    # With no columns to group by, too.
+    whole = ratings.fit_poisson_ratings(df, [], sweeps=1).collect()
+    assert {r.converged for r in whole} == {False} and set(whole[0].asDict()) == {"team", "attack", "defense", "home_advantage", "converged"}
+
+
+def test_distributed_sweeps_leave_few_tables(spark):
+    import os
+
+    from pitchframe.plans.scratch import shared_folder
+
+    folder = shared_folder(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    ratings.fit_poisson_ratings(_season(spark, n=40), [], sweeps=6, max_group_cells=1).count()
+    assert len(set(os.listdir(folder)) - before) < 8
