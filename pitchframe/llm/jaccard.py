@@ -29,10 +29,11 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pitchframe.llm.common import NO_ID, ROW, RunHashes, filled_id, mix, restored_id, row_key, text_slices, word_hashes
+from pitchframe.llm.common import NO_ID, ROW, RunHashes, arrow_slices, filled_id, mix, restored_id, row_key, text_slices, word_hashes
 from pitchframe.plans.scratch import dropped, written
 
 SHINGLE_WORDS = 3
@@ -50,7 +51,9 @@ SKETCH_WORDS = 8
 MORE_LEADERS = 16
 
 _NODE = ["doc_id", *ROW]
-_SETS = "doc_id long, row_a long, row_b long, n_shingles long, d1 long, d2 long, sketch array<long>, signatures array<long>"
+_SETS = "doc_id long, row_a long, row_b long, n_shingles long, d1 long, d2 long, sketch array<long>"
+#: Sets whose signatures a task has given out and won't give out again, at most.
+REMEMBERED = 200_000
 
 
 def shingle_set(text: str, shingle_words: int = SHINGLE_WORDS) -> np.ndarray:
@@ -168,11 +171,17 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(filled_id(), *row_key("text"), text.alias("text"))
 
 
-def shingle_table(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int = PERCENT, parts: int = PARTS, different: int = DIFFERENT, band: int = BAND) -> DataFrame:
-    """Set size, a 128-bit digest of the set, and its signatures, for every row."""
+def _digest(shingles: np.ndarray, salt: int) -> int:
+    return int(mix(shingles ^ np.uint64(salt)).sum(dtype="uint64").view("int64"))
+
+
+_SALTS = 0xA0761D6478BD642F, 0xE7037ED1A0B428DB
+
+
+def shingle_table(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
+    """Set size, a 128-bit digest of the set, and its sketch, for every row."""
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        one, two = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
         for frame in text_slices(batches, "text", TEXT_BATCH):
             sets = [shingle_set(t, shingle_words) for t in frame["text"]]
             yield pd.DataFrame(
@@ -180,16 +189,59 @@ def shingle_table(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent:
                     "doc_id": frame["doc_id"].to_numpy(),
                     **{c: frame[c].to_numpy() for c in ROW},
                     "n_shingles": [len(s) for s in sets],
-                    "d1": np.asarray([mix(s ^ one).sum() for s in sets], dtype="uint64").view("int64"),
-                    "d2": np.asarray([mix(s ^ two).sum() for s in sets], dtype="uint64").view("int64"),
+                    "d1": [_digest(s, _SALTS[0]) for s in sets],
+                    "d2": [_digest(s, _SALTS[1]) for s in sets],
                     "sketch": [parity_sketch(s) for s in sets],
-                    "signatures": [signatures(s, percent, parts, different, band).view("int64") for s in sets],
                 }
             )
 
     return _rows(docs).mapInPandas(build, _SETS)
 
 
+def meetings(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int = PERCENT, parts: int = PARTS, different: int = DIFFERENT, band: int = BAND) -> DataFrame:
+    """signature, d1: the sets (by half of their digest) of every signature that different sets have.
+
+    Signatures are shuffled once, in order, and those of one set alone are dropped as they
+    pass by. A task gives out the signatures of a set once, however many copies it reads.
+    """
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given: set[int] = set()
+        for batch in arrow_slices(batches, "text", TEXT_BATCH):
+            found, owners = [np.empty(0, dtype="uint64")], []
+            for text in batch.column("text").to_pylist():
+                shingles = shingle_set(text, shingle_words)
+                digest = _digest(shingles, _SALTS[0])
+                if digest in given:
+                    continue
+                if len(given) < REMEMBERED:
+                    given.add(digest)
+                found.append(signatures(shingles, percent, parts, different, band))
+                owners.append(digest)
+            d1 = np.repeat(np.asarray(owners, dtype="int64"), [len(f) for f in found[1:]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view("int64")), pa.array(d1)], names=["signature", "d1"])
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The last pair seen, and whether it has been passed on.
+        last, passed = (np.empty(0, dtype="int64"),) * 2, False
+        for batch in batches:
+            pairs = [np.append(held, batch.column(c).to_numpy()) for held, c in zip(last, ("signature", "d1"))]
+            new = np.append(True, (pairs[0][1:] != pairs[0][:-1]) | (pairs[1][1:] != pairs[1][:-1]))
+            signature, d1 = (p[new] for p in pairs)
+            same = signature[1:] == signature[:-1]
+            several = np.append(False, same) | np.append(same, False)
+            out = several.copy()
+            if len(last[0]):
+                out[0] &= not passed
+                several[0] |= passed
+            last, passed = (signature[-1:], d1[-1:]), bool(several[-1]) if len(several) else passed
+            yield pa.RecordBatch.from_arrays([pa.array(signature[out]), pa.array(d1[out])], names=["signature", "d1"])
+
+    schema = "signature long, d1 long"
+    signed = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(sign, schema)
+    return signed.repartition("signature").sortWithinPartitions("signature", "d1").mapInArrow(shared, schema)
+
+
 def _linked(pairs: DataFrame, texts: DataFrame, shingle_words: int, percent: int) -> DataFrame:
     """Those of the ``pairs`` (lead, node) whose whole texts are alike."""
     sides = pairs.join(texts.select(F.col("node"), F.col("text").alias("text")), "node")
@@ -238,21 +290,16 @@ def components(links: DataFrame) -> DataFrame:
 
 def _components_of(docs: DataFrame, shingle_words: int, percent: int, parts: int, different: int, band: int) -> DataFrame:
     """doc_id and ``ROW`` of every document, its set size, and the smallest node of its component."""
-    sets = written(shingle_table(docs, shingle_words, percent, parts, different, band), "shingle-sets")
+    sets = written(shingle_table(docs, shingle_words), "shingle-sets")
     digest = ["d1", "d2", "n_shingles"]
     whose = F.struct(*_NODE)
     classes = sets.where("n_shingles > 0").groupBy(*digest).agg(F.min(whose).alias("node"), F.first("sketch").alias("sketch"))
     classes = written(classes, "set-classes")
-    # Signatures that different sets have, in a table of their own, so that the rows of a hot one
-    # can be split in the join; copies of one set don't meet. The tables have no bound, so
-    # all joins sort and merge, at every size.
-    meetings = sets.select(F.explode("signatures").alias("signature"), "d1")
-    ends = meetings.groupBy("signature").agg(F.min("d1").alias("low"), F.max("d1").alias("high"))
-    shared = written(ends.where("low < high").select("signature"), "shared-signatures")
-    several = written(meetings.join(shared.hint("merge"), "signature").distinct(), "shared-members")
+    # The tables have no bound, so all joins sort and merge, at every size.
+    several = written(meetings(docs, shingle_words, percent, parts, different, band), "shared-members")
     members = several.join(classes.select("d1", "node").hint("merge"), "d1")
     live = written(members.select("signature", "node"), "meetings")
-    dropped(shared, several)
+    dropped(several)
 
     # Round one: the smallest node of every meeting against the others.
     lead = live.groupBy("signature").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead < last")
