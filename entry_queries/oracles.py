@@ -101,14 +101,30 @@ STRENGTH = """
    left join league l on l.season = u.season)"""
 
 STATIC = f"""
-, static as (select f.*,
-   {_round('1.35 * coalesce(h.attack, 1.0) * coalesce(a.defense, 1.0) * sqrt(coalesce(v.home_advantage, 1.25))', 3)} as expected_home_goals,
-   {_round('1.35 * coalesce(a.attack, 1.0) * coalesce(h.defense, 1.0) / sqrt(coalesce(v.home_advantage, 1.25))', 3)} as expected_away_goals
-  from fixtures f left join advantages v on v.season = f.season
-  left join strength h on h.season = f.season and h.team = f.home_team
-  left join strength a on a.season = f.season and a.team = f.away_team)"""
-
-_STATIC_ALL = OBSERVATIONS + LEAGUE + STRENGTH + STATIC
+, known_rows as (
+  select season, date, home_team as team, 1 as home, case when home_goals + away_goals is not null then home_goals end as g,
+   case when home_goals + away_goals is not null then away_goals end as c from fixtures
+  union all select season, date, away_team, 0, case when home_goals + away_goals is not null then away_goals end,
+   case when home_goals + away_goals is not null then home_goals end from fixtures)
+, team_days as (select season, team, date, coalesce(sum(g), 0) as g, coalesce(sum(c), 0) as c, count(g) as n from known_rows group by all)
+, league_days as (select season, date, coalesce(sum(g) filter (where home = 1), 0) as h, coalesce(sum(c) filter (where home = 1), 0) as a,
+   count(g) filter (where home = 1) as n from known_rows group by all)
+, team_before as (select season, team, date, sum(g) over w as g, sum(c) over w as c, sum(n) over w as n from team_days
+   window w as (partition by season, team order by date rows between unbounded preceding and 1 preceding))
+, league_before as (select season, date, sum(h) over w as h, sum(a) over w as a, sum(n) over w as n from league_days
+   window w as (partition by season order by date rows between unbounded preceding and 1 preceding))
+, knowing as (select f.*, case when l.a > 0 then l.h / l.a else 1.25 end as v,
+   coalesce(x.g / nullif(x.n, 0) / nullif((l.h + l.a) / nullif(2 * l.n, 0), 0), 1.0) as ha,
+   coalesce(x.c / nullif(x.n, 0) / nullif((l.h + l.a) / nullif(2 * l.n, 0), 0), 1.0) as hd,
+   coalesce(y.g / nullif(y.n, 0) / nullif((l.h + l.a) / nullif(2 * l.n, 0), 0), 1.0) as aa,
+   coalesce(y.c / nullif(y.n, 0) / nullif((l.h + l.a) / nullif(2 * l.n, 0), 0), 1.0) as ad
+  from fixtures f left join league_before l on l.season = f.season and l.date = f.date
+  left join team_before x on x.season = f.season and x.team = f.home_team and x.date = f.date
+  left join team_before y on y.season = f.season and y.team = f.away_team and y.date = f.date)
+, static as (select *, {_round('1.35 * ha * ad * sqrt(v)', 3)} as expected_home_goals,
+   {_round('1.35 * aa * hd / sqrt(v)', 3)} as expected_away_goals from knowing)"""
+
+_STATIC_ALL = STATIC
 
 RUNS = """
 , flagged as (select *, minutes_played is null or minutes_played = 0 as missed,
@@ -345,12 +361,15 @@ ORACLES["elo_history"] = ctes("elo") + " select team, date, elo from elo order b
 ORACLES["player_season_minutes"] = ctes("player_logs", "fixtures") + """
 select f.season, p.player_id, coalesce(sum(minutes_played), 0) as minutes_played,
  count(case when minutes_played > 0 then 1 end) as appearances, count(*) as fixtures
-from player_logs p join fixtures f on f.fixture_id = p.fixture_id group by f.season, p.player_id"""
+from player_logs p left join fixtures f on f.fixture_id = p.fixture_id group by f.season, p.player_id"""
 
 ORACLES["parquet_roundtrip"] = ctes("fixtures") + " select * from fixtures"
 
 ORACLES["landed_season"] = ctes("fixtures") + " select * from fixtures where season = '2024-2025'"
 
+ORACLES["landed_season_again"] = ctes("fixtures") + """
+ select * replace (case when season = '2024-2025' then home_goals + 1 else home_goals end as home_goals) from fixtures"""
+
 # --- scalar functions and projections ---
 
 ORACLES["season_label"] = ctes("raw_schedule") + """

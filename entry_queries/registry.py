@@ -99,8 +99,9 @@ def elo_history(spark, sf):
 
 @query
 def player_season_minutes(spark, sf):
+    # a log of no known fixture counts under the null season
     seasons = table("fixtures", spark, sf).select("fixture_id", "season")
-    return ingest.player_season_minutes(lookup(table("player_logs", spark, sf), seasons, ["fixture_id"], "inner"))
+    return ingest.player_season_minutes(lookup(table("player_logs", spark, sf), seasons, ["fixture_id"]))
 
 
 @query
@@ -120,6 +121,17 @@ def landed_season(spark, sf):
     return landed.of_season(landed.scan(spark, path, fixtures.schema), "2024/2025").select(*fixtures.columns)
 
 
+@query
+def landed_season_again(spark, sf):
+    """A season landed once more, with other goals, beside those already there."""
+    path = scratch_path(spark, "landed")
+    fixtures = table("fixtures", spark, sf)
+    landed.write_table(fixtures, path, partition_by=["season"])
+    corrected = landed.of_season(fixtures, "2024/2025").withColumn("home_goals", F.col("home_goals") + 1)
+    landed.write_table(corrected, path, partition_by=["season"], others="keep")
+    return landed.scan(spark, path, fixtures.schema).select(*fixtures.columns)
+
+
 # --- scalar functions and projections ---
 
 
@@ -337,24 +349,11 @@ def rolling_ratings(spark, sf):
 
 
 def _static_expected_goals(spark, sf):
-    """Expected goals from the season means of both teams; an unknown team counts as average."""
-    fixtures = table("fixtures", spark, sf)
-    strength = ratings.empirical_ratings(fixtures)
-    advantage = ratings.empirical_home_advantage(fixtures).select("season", "home_advantage")
-    for role in ("home", "away"):
-        side = strength.select(
-            "season", F.col("team").alias(f"{role}_team"),
-            F.col("attack").alias(f"{role}_attack"), F.col("defense").alias(f"{role}_defense"),
-        )
-        fixtures = lookup(fixtures, side, ["season", f"{role}_team"])
-    known = lambda c: F.coalesce(F.col(c), F.lit(1.0))
-    # a season without a played match has the advantage of a cold start
-    usual = F.coalesce("home_advantage", F.lit(numeric.COLD_START_ADVANTAGE))
-    home, away = numeric.expected_goals(
-        *[known(f"{r}_{k}") for r in ("home", "away") for k in ("attack", "defense")], usual
-    )
-    joined = lookup(fixtures, advantage, ["season"])
-    return joined.withColumns({"expected_home_goals": home, "expected_away_goals": away})
+    """Expected goals from the means of both teams before the match; an unknown team counts as average."""
+    known = ratings.asof_strengths(table("fixtures", spark, sf))
+    strengths = [F.col(f"{r}_{k}") for r in ("home", "away") for k in ("attack", "defense")]
+    home, away = numeric.expected_goals(*strengths, F.col("home_advantage"))
+    return known.withColumns({"expected_home_goals": home, "expected_away_goals": away})
 
 
 @query

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from pitchframe.functions.text import stripped
 
-NUMBER_PATTERN = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 # Texts that count as a missing entry.
 BLANK_TEXTS = ("", "nan", "None", "<NA>")
 
@@ -23,19 +22,30 @@ def is_blank(c: Column) -> Column:
 
 
 def to_number(c: Column) -> Column:
-    """Double value of a decimal number, null for any other text.
+    """Double value of a decimal number, null for any other text."""
+    return number_of(stripped(c))
 
-    The pattern keeps out suffixed forms such as ``1.5f`` that a cast accepts.
+
+def number_of(text: Column) -> Column:
+    """Double value of a stripped text that is a decimal number, else null.
+
+    The cast accepts more than that: names and suffixes (``Infinity``, ``1.5f``) end in a letter,
+    hexadecimal forms hold an x, and control characters around a number aren't digits.
     """
-    text = stripped(c)
-    return F.when(text.rlike(NUMBER_PATTERN), text.try_cast("double"))
+    first, last = F.substring(text, 1, 1), F.substring(text, -1, 1)
+    plain = first.between("+", "9") & last.between(".", "9") & (F.instr(text, "x") == 0) & (F.instr(text, "X") == 0)
+    return F.when(plain, text.try_cast("double"))
+
+
+def integer_of(text: Column, number: Column) -> Column:
+    """Bigint value of a stripped text with the value ``number``, digit by digit, if it is whole and fits."""
+    exact = F.when(number.isNotNull(), text.try_cast("bigint"))
+    return F.coalesce(exact, F.when(number % 1 == 0, number.try_cast("bigint")))
 
 
 def to_integer(c: Column) -> Column:
     """Bigint value of a decimal number that is whole and fits, digit by digit; null for any other text."""
-    number = to_number(c)
-    exact = F.when(number.isNotNull(), stripped(c).try_cast("bigint"))
-    return F.coalesce(exact, F.when(number % 1 == 0, number.try_cast("bigint")))
+    return integer_of(stripped(c), to_number(c))
 
 
 def expected_goals(

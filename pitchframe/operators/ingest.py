@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pitchframe import schemas
-from pitchframe.functions.numeric import is_blank, to_integer, to_number
-from pitchframe.functions.text import canonical_team, parse_score
+from pitchframe.functions.numeric import BLANK_TEXTS, integer_of, number_of
+from pitchframe.functions.text import canonical_team, parse_score, stripped
+from pitchframe.plans.scratch import written
 from pitchframe.plans.skew import lookup
 
 NUMERIC_SHARE = 0.8
@@ -47,14 +48,17 @@ def numeric_profile(df: DataFrame) -> DataFrame:
     texts = F.array(
         *[F.struct(F.lit(name).alias("column"), F.col(f"`{name}`").alias("text")) for name in names]
     )
-    # long form: one short expression for all columns, combined before the shuffle
-    filled = ~is_blank(F.col("text"))
-    number = F.when(filled, to_number(F.col("text")))
+    # long form: one short expression for all columns, combined before the shuffle; each
+    # text is stripped and parsed once, and what follows refers to that
+    text, number = F.col("text"), F.col("number")
+    filled = text.isNotNull() & ~text.isin(*BLANK_TEXTS)
     # a whole number beyond 64 bits is not an integer of any column
-    whole = F.when(number.isNotNull(), to_integer(F.col("text")).isNotNull())
+    whole = F.when(number.isNotNull(), integer_of(text, number).isNotNull())
     return (
         df.select(F.inline(texts))
-        .select("column", filled.alias("filled"), number.alias("number"), whole.alias("whole"))
+        .select("column", stripped(F.col("text")).alias("text"))
+        .select("column", "text", number_of(text).alias("number"))
+        .select("column", filled.alias("filled"), "number", whole.alias("whole"))
         .groupBy("column")
         .agg(
             F.count_if("filled").alias("non_blank"),
@@ -79,11 +83,17 @@ def infer_numeric(df: DataFrame, share: float = NUMERIC_SHARE) -> dict[str, str]
 
 def apply_types(df: DataFrame, types: dict[str, str]) -> DataFrame:
     """Cast text columns to the given numeric types; anything else in them becomes null."""
-    casts = {
-        c: to_integer(F.col(f"`{c}`")) if t == "bigint" else to_number(F.col(f"`{c}`")).cast(t)
-        for c, t in types.items()
-    }
-    return df.withColumns(casts) if casts else df
+    if not types:
+        return df
+    # parsed once into columns of their own, which the casts refer to
+    mark = "__parsed_"
+    texts = {f"{mark}text_{c}": stripped(F.col(f"`{c}`")) for c in types}
+    numbers = {f"{mark}number_{c}": number_of(F.col(f"`{mark}text_{c}`")) for c in types}
+    casts = {}
+    for c, t in types.items():
+        text, number = F.col(f"`{mark}text_{c}`"), F.col(f"`{mark}number_{c}`")
+        casts[c] = integer_of(text, number) if t == "bigint" else number.cast(t)
+    return df.withColumns(texts).withColumns(numbers).withColumns(casts).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def sanitize_match_stats(
@@ -132,14 +142,18 @@ def resolve_fixture_key(
         .groupBy("__key")
         .agg(F.min("fixture_id").alias("fixture_id"))
     )
-    linked = lookup(stats.drop("fixture_id").withColumn("__key", by_id(link)), known, ["__key"])
-    # rows that have found their fixture have no second key
-    missing = F.when(F.col("__linked").isNull(), at("date", "team"))
-    keyed = linked.withColumnRenamed("fixture_id", "__linked").withColumn("__key", missing)
-    found = lookup(keyed, known, ["__key"]).withColumn("fixture_id", F.coalesce("__linked", "fixture_id"))
-    return found.where(F.col("fixture_id").isNotNull()).select(
-        "fixture_id", *[c for c in stats.columns if c != "fixture_id"]
-    )
+    names = [c for c in stats.columns if c != "fixture_id"]
+    # a row with a link is looked for by that alone, so that one join serves nearly all rows
+    keyed = stats.drop("fixture_id").withColumn("__key", F.coalesce(by_id(link), at("date", "team")))
+    known = written(known, "fixture-keys")
+    first = written(lookup(keyed, known, ["__key"]).select("fixture_id", *names), "linked")
+    found = first.where(F.col("fixture_id").isNotNull())
+    # what is left are links to no fixture, and rows that have no second key
+    missing = F.when(link.isNotNull(), at("date", "team"))
+    left = first.where(F.col("fixture_id").isNull()).select(*names, missing.alias("__key")).where(F.col("__key").isNotNull())
+    if left.isEmpty():
+        return found
+    return found.unionByName(lookup(left, known, ["__key"], "inner").select("fixture_id", *names))
 
 
 def player_minutes(players: DataFrame, fixture_id: str) -> DataFrame:

@@ -121,6 +121,43 @@ def empirical_ratings(fixtures: DataFrame, group: Sequence[str] = ("season",)) -
     )
 
 
+def asof_strengths(fixtures: DataFrame, group: Sequence[str] = ("season",)) -> DataFrame:
+    """Each fixture with ``{home,away}_{attack,defense}`` and ``home_advantage`` as known before its date.
+
+    A team's means of goals scored and conceded, and those of its group, are taken over the
+    matches of the group on strictly earlier dates. A team without one counts as average, and a group
+    without an away goal has the advantage of a cold start; so has a fixture without a date.
+    """
+    group = list(group)
+    fixtures = with_dates(fixtures)
+    sides = _sides(fixtures, *group, "date").where(F.col("date").isNotNull())
+    played = F.col("goals").isNotNull() & F.col("conceded").isNotNull()
+    total = lambda value, condition=played: F.coalesce(F.sum(F.when(condition, value)), F.lit(0.0))
+    at_home = played & (F.col("home") == 1)
+    # one row per team and date, and per group and date: sums before a date need no row of that date
+    team_days = sides.where(F.col("team").isNotNull()).groupBy(*group, "team", "date").agg(
+        total(F.col("goals")).alias("scored"), total(F.col("conceded")).alias("against"), total(F.lit(1.0)).alias("matches")
+    )
+    group_days = sides.groupBy(*group, "date").agg(
+        total(F.col("goals"), at_home).alias("at_home"), total(F.col("conceded"), at_home).alias("away"), total(F.lit(1.0), at_home).alias("matches")
+    )
+    before = lambda days, keys, names: ordered_groups(days, keys, ["date"]).running({f"{n}_before": ("sum", F.col(n)) for n in names}).result()
+    teams = before(team_days, [*group, "team"], ["scored", "against", "matches"])
+    league = before(group_days, group, ["at_home", "away", "matches"])
+    key = lambda *columns: F.struct(*columns)
+    out = fixtures.withColumn("__at", key(*group, "date"))
+    league = league.select(key(*group, "date").alias("__at"), F.col("at_home_before").alias("__h"), F.col("away_before").alias("__a"), F.col("matches_before").alias("__n"))
+    out = out.join(league, "__at", "left")
+    mean = F.nullif((F.col("__h") + F.col("__a")) / F.nullif(2 * F.col("__n"), F.lit(0.0)), F.lit(0.0))
+    out = out.withColumns({"__mean": mean, "home_advantage": F.coalesce(F.when(F.col("__a") > 0, F.col("__h") / F.nullif("__a", F.lit(0.0))), F.lit(numeric.COLD_START_ADVANTAGE))})
+    for role in ("home", "away"):
+        side = teams.select(key(*group, "team", "date").alias("__at"), *[F.col(f"{c}_before").alias(f"__{c}") for c in ("scored", "against", "matches")])
+        out = out.withColumn("__at", key(*group, F.col(f"{role}_team").alias("team"), "date")).join(side, "__at", "left")
+        share = lambda c: F.coalesce(F.col(c) / F.nullif("__matches", F.lit(0.0)) / F.col("__mean"), F.lit(1.0))
+        out = out.withColumns({f"{role}_attack": share("__scored"), f"{role}_defense": share("__against")}).drop("__scored", "__against", "__matches")
+    return out.drop("__at", "__h", "__a", "__n", "__mean")
+
+
 # --- whole-table fit ---------------------------------------------------------
 
 

@@ -64,13 +64,19 @@ def match_stats(landed: DataFrame, season: str | None = None, league: str | None
 
 
 def write_table(
-    df: DataFrame, path: str, *, partition_by: Sequence[str] = (), fmt: str = "parquet"
+    df: DataFrame, path: str, *, partition_by: Sequence[str] = (), fmt: str = "parquet", others: str = "replace"
 ) -> None:
     """Overwrite ``path``; with partition columns the rows are first clustered by them.
 
+    ``others="keep"`` replaces only the partitions that ``df`` has rows of, so one season can be
+    landed again beside the others; no rows then change nothing.
+
     The rebalance hint lets adaptive execution split a large season over many
     writers, so neither one task nor thousands of small files result.
     """
     if partition_by:
         df = df.hint("rebalance", *partition_by)
-    df.write.mode("overwrite").format(fmt).partitionBy(*partition_by).save(path)
+    if others not in ("replace", "keep") or (others == "keep" and not partition_by):
+        raise ValueError(f"others is 'replace', or 'keep' with partition columns: {others}")
+    writer = df.write.mode("overwrite").format(fmt).partitionBy(*partition_by)
+    writer.option("partitionOverwriteMode", "dynamic" if others == "keep" else "static").save(path)

@@ -185,3 +185,18 @@ def test_season_filter_prunes_landed_folders(spark):
     assert "2024-2025" in plan.split("PartitionFilters: ")[1].split("PushedFilters")[0]
     with pytest.raises(ValueError, match="season must be"):
         landed.of_season(df, "2024")
+
+
+def test_one_season_landed_again_leaves_the_others(spark, tmp_path):
+    path = str(tmp_path / "fixtures")
+    rows = [("f1", "a", 1), ("f2", "a", 2), ("f3", "b", 3), ("f4", None, 4)]
+    df = spark.createDataFrame(rows, "fixture_id string, season string, goals int")
+    landed.write_table(df, path, partition_by=["season"])
+    landed.write_table(df.where("fixture_id = 'f3'").withColumn("goals", F.lit(9)), path, partition_by=["season"], others="keep")
+    landed.write_table(df.limit(0), path, partition_by=["season"], others="keep")
+    got = sorted(map(tuple, spark.read.parquet(path).select("fixture_id", "season", "goals").collect()))
+    assert got == [("f1", "a", 1), ("f2", "a", 2), ("f3", "b", 9), ("f4", None, 4)]
+    landed.write_table(df.where("season = 'a'"), path, partition_by=["season"])
+    assert spark.read.parquet(path).count() == 2
+    with pytest.raises(ValueError):
+        landed.write_table(df, path, others="keep")

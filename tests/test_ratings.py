@@ -232,3 +232,33 @@ def test_distributed_sweeps_leave_few_tables(spark):
     before = set(os.listdir(folder))
     ratings.fit_poisson_ratings(_season(spark, n=40), [], sweeps=6, max_group_cells=1).count()
     assert len(set(os.listdir(folder)) - before) < 8
+
+
+def test_strengths_know_neither_the_future_nor_the_own_result(spark):
+    df = _season(spark, n=90, teams=5).withColumn("season", F.when(F.col("fixture_id") < "f0070", "a").otherwise("b"))
+    names = [f"{r}_{k}" for r in ("home", "away") for k in ("attack", "defense")] + ["home_advantage"]
+    known = lambda rows: {r.fixture_id: tuple(r[c] for c in names) for r in ratings.asof_strengths(rows).collect()}
+    whole = known(df)
+    for cut in ("f0030", "f0075"):
+        day = df.where(F.col("fixture_id") == cut).first().date
+        past = df.where(F.col("date") <= day).withColumns({c: F.when(F.col("date") < day, F.col(c)) for c in ("home_goals", "away_goals")})
+        got = known(past)
+        assert got and all(whole[k] == v for k, v in got.items())
+    # Plain means of the matches before, on earlier dates of the season.
+    games = df.collect()
+    for now in games:
+        past = [g for g in games if g.season == now.season and g.date < now.date and None not in (g.home_goals, g.away_goals)]
+        sides = [(g.home_team, g.home_goals, g.away_goals) for g in past] + [(g.away_team, g.away_goals, g.home_goals) for g in past]
+        mine = [s for s in sides if s[0] == now.home_team]
+        mean = sum(s[1] for s in sides) / len(sides) if sides else 0
+        want = (sum(s[1] for s in mine) / len(mine) / mean, sum(s[2] for s in mine) / len(mine) / mean) if mine and mean else (1.0, 1.0)
+        assert whole[now.fixture_id][:2] == pytest.approx(want)
+
+
+def test_strengths_of_odd_fixtures(spark, tiny_groups):
+    df = _season(spark, n=60, teams=4).withColumn("season", F.lit(None).cast("string"))
+    odd = spark.createDataFrame([("x1", None, "T1", "T2", 1.0, 1.0, None), ("x2", dt.datetime(2030, 1, 2), None, "T2", None, None, None)], df.schema)
+    got = {r.fixture_id: r for r in ratings.asof_strengths(df.union(odd)).collect()}
+    assert len(got) == 62 and got["x1"].home_attack == 1.0 and got["x1"].home_advantage == 1.25
+    assert got["x2"].home_attack == 1.0 and got["x2"].away_attack != 1.0
+    assert ratings.asof_strengths(df.limit(0)).collect() == []
