@@ -531,10 +531,11 @@ ORACLES["feature_table"] = (
     ctes("fixtures", "elo", "player_logs") + RUNS + POSITIONS + ABSENT + LOAD + ROLLING + _adjusted("rolling")
     + _grid("adjusted", "adjusted_home_goals", "adjusted_away_goals") + TEAM_ROWS + MEETINGS + ELO_AT
     + f"""
-, own as (select fixture_id, date, {_MATCH_DIFFS}, adjusted_home_goals, adjusted_away_goals,
+, own as (select fixture_id, date, {_MATCH_DIFFS}, home_xg is null or away_xg is null as is_xg_missing,
+   expected_home_goals - expected_away_goals as expected_goals_diff, adjusted_home_goals, adjusted_away_goals,
    case when home_goals > away_goals then 'home' when home_goals = away_goals then 'draw' when home_goals < away_goals then 'away' end as result
   from adjusted)
-select o.fixture_id, o.date, result, {_rounded(('attack_diff', 'defense_diff', 'adjusted_home_goals', 'adjusted_away_goals'))},
+select o.fixture_id, o.date, result, is_xg_missing, {_rounded(('attack_diff', 'defense_diff', 'expected_goals_diff', 'adjusted_home_goals', 'adjusted_away_goals'))},
  {_rounded(('p_home', 'p_draw', 'p_away'))}, {_rounded(_sided((*FORM, *XG)))}, home_rest_days, away_rest_days,
  h2h_matches, h2h_home_wins, h2h_draws, h2h_away_wins, {_rounded(('h2h_goal_diff', 'home_elo', 'away_elo', 'elo_diff'))}
 from own o left join outcomes p on p.fixture_id = o.fixture_id left join both_sides b on b.fixture_id = o.fixture_id

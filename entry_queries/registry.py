@@ -35,8 +35,8 @@ MODEL_FEATURES = (
     "h2h_goal_diff", "elo_diff",
 )
 FEATURE_COLUMNS = (
-    "attack_diff", "defense_diff", "adjusted_home_goals", "adjusted_away_goals", "p_home", "p_draw", "p_away",
-    *(f"{r}_{f}" for r in ("home", "away") for f in (*features.FORM, *features.XG)),
+    "attack_diff", "defense_diff", "expected_goals_diff", "adjusted_home_goals", "adjusted_away_goals", "p_home", "p_draw",
+    "p_away", *(f"{r}_{f}" for r in ("home", "away") for f in (*features.FORM, *features.XG)),
     "h2h_goal_diff", "home_elo", "away_elo", "elo_diff",
 )
 

@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pitchframe.operators import forecast, ratings
-from pitchframe.operators.clean import with_dates, with_side_columns
+from pitchframe.operators.clean import with_dates, with_side_columns, with_xg_flag
 from pitchframe.plans.ordered import OrderedGroups, ordered_groups
 
 POINTS_WINDOW = 5
@@ -241,9 +241,11 @@ def feature_table(
     likely = forecast.outcome_probabilities(adjusted, "adjusted_home_goals", "adjusted_away_goals")
     margin = F.col("home_goals") - F.col("away_goals")
     result = F.when(margin > 0, "home").when(margin == 0, "draw").when(margin < 0, "away")
-    own = likely.select(
+    own = with_xg_flag(with_side_columns(likely)).select(
         "fixture_id",
         "date",
+        "is_xg_missing",
+        (F.col("expected_home_goals") - F.col("expected_away_goals")).alias("expected_goals_diff"),
         (F.col("home_attack_rating") - F.col("away_attack_rating")).alias("attack_diff"),
         (F.col("home_defense_rating") - F.col("away_defense_rating")).alias("defense_diff"),
         "adjusted_home_goals",
