@@ -620,3 +620,24 @@ ORACLES["isotonic"] = ctes("scores") + f"""
 , least_after as (select a, b, min(m) over (partition by a order by b desc) as m from pairs)
 , curve as (select b as i, max(m) as fit from least_after group by b)
 select doc_id, {_round('fit')} as calibrated from scores join placed on x = p join curve using (i)"""
+
+_OUT_OF_FOLD = ctes("scores") + f"""
+, folded as (select *, doc_id % 5 as fold from scores)
+, steps as (select k.k, p as x, sum(y) as s, cast(count(*) as double) as w from folded join (select unnest(range(1, 5)) as k) k on fold < k.k
+   where p is not null and y is not null group by k.k, p)
+, placed as (select k, x, row_number() over (partition by k order by x) as i, sum(s) over (partition by k order by x) as cs,
+   sum(w) over (partition by k order by x) as cw from steps)
+, pairs as (select a.k, a.i as a, b.i as b, (b.cs - coalesce(z.cs, 0)) / (b.cw - coalesce(z.cw, 0)) as m
+  from placed a join placed b on b.k = a.k and b.i >= a.i left join placed z on z.k = a.k and z.i = a.i - 1)
+, least_after as (select k, a, b, min(m) over (partition by k, a order by b desc) as m from pairs)
+, curve as (select k, b as i, max(m) as fit from least_after group by k, b)
+, heights as (select k, x, fit from placed join curve using (k, i))
+, lowest as (select k, min(fit) as fit from heights group by k)
+, recalibrated as (select f.*, case when p is not null then coalesce(h.fit, l.fit) end as calibrated
+  from folded f asof left join heights h on h.k = f.fold and f.p >= h.x left join lowest l on l.k = f.fold)"""
+
+ORACLES["isotonic_out_of_fold"] = _OUT_OF_FOLD + f" select doc_id, fold, {_round('calibrated')} as calibrated from recalibrated"
+
+ORACLES["recalibration_effect"] = _OUT_OF_FOLD + f"""
+select fold, count(*) as n, {_round('avg((p - y) * (p - y))')} as brier_before, {_round('avg((calibrated - y) * (calibrated - y))')} as brier_after
+from recalibrated where p is not null and calibrated is not null and y is not null group by fold"""

@@ -506,6 +506,25 @@ def isotonic(spark, sf):
     return rounded(scaled, "calibrated").select("doc_id", "calibrated")
 
 
+CALIBRATION_FOLDS = 5
+
+
+def _out_of_fold(spark, sf):
+    scores = table("scores", spark, sf).withColumn("fold", F.col("doc_id") % CALIBRATION_FOLDS)
+    return calibrate.isotonic_out_of_fold(scores, "p", "y", "fold", CALIBRATION_FOLDS)
+
+
+@query
+def isotonic_out_of_fold(spark, sf):
+    return rounded(_out_of_fold(spark, sf), "calibrated").select("doc_id", "fold", "calibrated")
+
+
+@query
+def recalibration_effect(spark, sf):
+    effect = calibrate.recalibration_effect(_out_of_fold(spark, sf), "p", "calibrated", "y", "fold")
+    return rounded(effect, "brier_before", "brier_after")
+
+
 def _boosted(spark, sf):
     rows = spark.read.parquet(f"{sf}/events.parquet").count()
     return models.boosted_model(

@@ -59,6 +59,7 @@ def _pool(points: pd.DataFrame) -> pd.DataFrame:
     starts = pooled(total, weight)
     return pd.DataFrame(
         {
+            "curve": points["curve"].to_numpy()[starts],
             "block": points["block"].to_numpy()[starts],
             "x": points["x"].to_numpy()[starts],
             "total": np.add.reduceat(total, starts),
@@ -75,25 +76,34 @@ def isotonic_curve(df: DataFrame, p: str, y: str, block_rows: int = BLOCK_ROWS)
     than they end are pooled together, until none does. Pooling leaves few steps of noisy
     outcomes, so the blocks that meet stay small.
     """
-    seen = _observed(df, p, y).groupBy(F.col(p).cast("double").alias("x"))
-    points = seen.agg(F.sum(F.col(y).cast("double")).alias("total"), F.count("*").cast("double").alias("weight"))
-    points = written(points, "isotonic-points")
+    points = _points(_observed(df, p, y).withColumn("curve", F.lit(0).cast("bigint")), p, y)
+    return _curves(written(points, "isotonic-points"), block_rows).select("x", "fit")
+
+
+def _points(df: DataFrame, p: str, y: str) -> DataFrame:
+    """Sum and number of the outcomes of every curve and value of ``p``."""
+    seen = df.groupBy("curve", F.col(p).cast("double").alias("x"))
+    return seen.agg(F.sum(F.col(y).cast("double")).alias("total"), F.count("*").cast("double").alias("weight"))
+
+
+def _curves(points: DataFrame, block_rows: int) -> DataFrame:
+    """curve, x, fit: the steps of the monotone curve over the ``points`` of each curve."""
     blocks = max(1, -(-points.count() // block_rows))
-    dealt = points.repartitionByRange(blocks, "x").withColumn("block", F.spark_partition_id().cast("bigint"))
-    steps = written(dealt.select("block", "x", "total", "weight"), "isotonic-dealt")
+    dealt = points.repartitionByRange(blocks, "curve", "x").withColumn("block", F.spark_partition_id().cast("bigint"))
+    steps = written(dealt.select("curve", "block", "x", "total", "weight"), "isotonic-dealt")
     while True:
-        steps = steps.groupBy("block").applyInPandas(_pool, "block bigint, x double, total double, weight double")
+        steps = steps.groupBy("curve", "block").applyInPandas(_pool, "curve bigint, block bigint, x double, total double, weight double")
         steps = written(steps, "isotonic-steps")
         mean = F.struct("x", (F.col("total") / F.col("weight")).alias("m"))
-        ends = steps.groupBy("block").agg(F.min(mean)["m"].alias("first"), F.max(mean)["m"].alias("last"))
-        # a row per block from here on
-        order = Window.orderBy("block")
+        ends = steps.groupBy("curve", "block").agg(F.min(mean)["m"].alias("first"), F.max(mean)["m"].alias("last"))
+        # a row per curve and block from here on
+        order = Window.partitionBy("curve").orderBy("block")
         apart = F.coalesce(F.lag("last").over(order) < F.col("first"), F.lit(True))
-        joined = ends.select("block", F.sum(apart.cast("bigint")).over(order).alias("into"))
+        joined = ends.select("curve", "block", F.sum(apart.cast("bigint")).over(order).alias("into"))
         joined = written(joined, "isotonic-blocks")
-        if joined.agg(F.count("*") == F.countDistinct("into")).first()[0]:
-            return steps.select("x", (F.col("total") / F.col("weight")).alias("fit"))
-        steps = steps.join(joined, "block").select(F.col("into").alias("block"), "x", "total", "weight")
+        if joined.agg(F.count("*") == F.countDistinct("curve", "into")).first()[0]:
+            return steps.select("curve", "x", (F.col("total") / F.col("weight")).alias("fit"))
+        steps = steps.join(joined, ["curve", "block"]).select("curve", F.col("into").alias("block"), "x", "total", "weight")
 
 
 def isotonic(df: DataFrame, p: str, y: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -114,3 +124,41 @@ def isotonic(df: DataFrame, p: str, y: str, block_rows: int = BLOCK_ROWS) -> Dat
     found = line.running({"__step": ("max", F.col("__fit"))}, inclusive=True).result().where("__kind = 1")
     fit = F.when(F.col("__x").isNotNull(), F.coalesce("__step", F.lit(lowest).cast("double")))
     return found.select("__row.*", fit.alias("calibrated"))
+
+
+def isotonic_out_of_fold(df: DataFrame, p: str, y: str, fold: str, folds: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Add ``calibrated``: the monotone curve fitted on the folds before the row's alone.
+
+    ``fold`` numbers the rows from 0 to ``folds`` - 1, in the order in which their outcomes became known;
+    other rows are an error. Rows of fold 0, of folds before any outcome, and without ``p`` or
+    fold have no calibrated value. All curves are pooled together, and what they are made of
+    is one row per fold and value of ``p``, repeated for the later folds.
+    """
+    number = F.col(fold).cast("bigint")
+    checked = F.when((number < 0) | (number >= folds), F.raise_error(F.lit(f"fold outside 0 to {folds - 1}"))).otherwise(number)
+    seen = _observed(df, p, y).where(number.isNotNull())
+    per_fold = _points(seen.withColumn("curve", checked), p, y)
+    later = F.explode(F.when(F.col("curve") < folds - 1, F.sequence(F.col("curve") + 1, F.lit(folds - 1).cast("bigint"))))
+    points = per_fold.select(later.alias("curve"), "x", "total", "weight")
+    points = points.groupBy("curve", "x").agg(F.sum("total").alias("total"), F.sum("weight").alias("weight"))
+    curves = written(_curves(written(points, "isotonic-points"), block_rows), "isotonic-curves")
+
+    value = F.nanvl(F.col(p).cast("double"), F.lit(None).cast("double"))
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    rows = df.select(number.alias("__curve"), value.alias("__x"), F.lit(1).alias("__kind"), F.lit(None).cast("double").alias("__fit"), row.alias("__row"))
+    nothing = F.lit(None).cast(rows.schema["__row"].dataType)
+    steps = curves.select(F.col("curve").alias("__curve"), F.col("x").alias("__x"), F.lit(0).alias("__kind"), F.col("fit").alias("__fit"), nothing.alias("__row"))
+    line = ordered_groups(rows.unionByName(steps), ["__curve"], ["__x", "__kind"])
+    found = line.running({"__step": ("max", F.col("__fit"))}, inclusive=True).result().where("__kind = 1")
+    # one row per fold: its curve's lowest step, for values below the first
+    lowest = curves.groupBy(F.col("curve").alias("__curve")).agg(F.min("fit").alias("__lowest"))
+    found = found.join(F.broadcast(lowest), "__curve", "left")
+    fit = F.when(F.col("__x").isNotNull(), F.coalesce("__step", "__lowest"))
+    return found.select("__row.*", fit.alias("calibrated"))
+
+
+def recalibration_effect(df: DataFrame, p: str, calibrated: str, y: str, fold: str) -> DataFrame:
+    """Per fold, rows with an outcome and both probabilities, and their Brier score before and after."""
+    both = df.where(F.col(p).isNotNull() & F.col(calibrated).isNotNull() & F.col(y).isNotNull())
+    error = lambda c: F.avg(F.pow(F.col(c) - F.col(y), 2))
+    return both.groupBy(fold).agg(F.count("*").alias("n"), error(p).alias("brier_before"), error(calibrated).alias("brier_after"))
