@@ -90,29 +90,36 @@ def likeness(a: str, b: str) -> Column:
     return F.when(union == 0, F.lit(1.0)).otherwise(common / union)
 
 
-def _blocks(docs: DataFrame) -> tuple[Column, DataFrame]:
-    """A block number that grows with ``doc_id``, and per block its first id and the block before.
+def _blocks(docs: DataFrame) -> tuple[Callable[[DataFrame], DataFrame], DataFrame]:
+    """What adds a ``block`` that grows with ``doc_id``, and per block its first id and the block before.
 
-    Quantiles cut the ids into stretches of about equally many, which are then cut evenly:
-    at most 65,536 blocks, so the list of first ids can be broadcast.
+    Quantiles cut the ids into stretches of about equally many, and quantiles of its own cut each
+    stretch into blocks, however its ids are spread: at most 65,536 blocks, so the cuts
+    and the list of first ids can be broadcast.
     """
     steps = [i / KNOTS for i in range(1, KNOTS)]
-    seen = docs.agg(F.count("doc_id"), F.min("doc_id"), F.max("doc_id"), F.percentile_approx("doc_id", steps, 10_000)).first()
-    count, low, high, cuts = seen
+    count, low, high, cuts = docs.agg(F.count("doc_id"), F.min("doc_id"), F.max("doc_id"), F.percentile_approx("doc_id", steps, 10_000)).first()
     knots = sorted({low, *(cuts or []), high} - {None}) or [0]
-    ends = [*knots[1:], knots[-1] + 1]
     cells = min(MAX_BLOCKS_PER_KNOT, max(1, -(-count // (KNOTS * BLOCK_ROWS))))
     at = F.size(F.filter(F.array(*[F.lit(k) for k in knots]), lambda k: k <= F.col("doc_id")))
-    start = F.element_at(F.array(*[F.lit(float(k)) for k in knots]), F.greatest(at, F.lit(1)))
-    end = F.element_at(F.array(*[F.lit(float(k)) for k in ends]), F.greatest(at, F.lit(1)))
-    share = (F.col("doc_id").cast("double") - start) / F.greatest(end - start, F.lit(1.0))
-    cell = F.least(F.floor(share * cells), F.lit(cells - 1))
-    block = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(at * cells + cell).cast("long")
-    firsts = docs.select("doc_id", block.alias("block")).groupBy("block").agg(F.min("doc_id").alias("first_id"))
+    stretch = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(at).cast("long")
+    if cells > 1:
+        inner = [i / cells for i in range(1, cells)]
+        inside = docs.where("doc_id IS NOT NULL").groupBy(at.cast("long").alias("stretch"))
+        inside = written(inside.agg(F.percentile_approx("doc_id", inner, 10_000).alias("cuts")), "stretches")
+
+    def place(rows: DataFrame) -> DataFrame:
+        if cells == 1:
+            return rows.withColumn("block", stretch)
+        rows = rows.withColumn("stretch", stretch).join(F.broadcast(inside), "stretch", "left")
+        cell = F.coalesce(F.size(F.filter("cuts", lambda cut: cut <= F.col("doc_id"))), F.lit(0))
+        return rows.withColumn("block", F.col("stretch") * cells + F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(cell)).drop("stretch", "cuts")
+
+    firsts = place(docs.select("doc_id")).groupBy("block").agg(F.min("doc_id").alias("first_id"))
     order = Window.orderBy("block")
     last = F.max("block").over(Window.partitionBy())
     firsts = firsts.select("first_id", F.coalesce(F.lag("block").over(order), last).alias("block_before"))
-    return block, written(firsts, "firsts")
+    return place, written(firsts, "firsts")
 
 
 def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
@@ -122,8 +129,8 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     of the next one. Rows with equal ids follow each other in order of their text, those
     without id come first.
     """
-    block, firsts = _blocks(docs.select("doc_id"))
-    placed = docs.withColumn("block", block).join(F.broadcast(firsts), F.col("doc_id").eqNullSafe(F.col("first_id")), "left")
+    place, firsts = _blocks(docs.select("doc_id"))
+    placed = place(docs).join(F.broadcast(firsts), F.col("doc_id").eqNullSafe(F.col("first_id")), "left")
     home = F.struct(F.col("block").alias("block"), F.lit(False).alias("guest"))
     guest = F.struct(F.col("block_before").alias("block"), F.lit(True).alias("guest"))
     copies = F.explode(F.when(F.col("block_before").isNull(), F.array(home)).otherwise(F.array(home, guest)))

@@ -31,6 +31,17 @@ def test_documents_in_blocks(spark, monkeypatch):
     assert sorted(map(str, check(docs.repartition(7)))) == one
 
 
+def test_ids_dense_in_one_stretch_fill_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(fingerprint, "BLOCK_ROWS", 4)
+    # Most ids lie in a ten-thousandth of the space between their neighbours.
+    ids = [i * 10**9 for i in range(200)] + [50 * 10**9 + i for i in range(1, 3_000)]
+    docs = spark.createDataFrame([(i, f"text {i}") for i in ids], "doc_id long, text string")
+    check(docs)
+    place, _ = fingerprint._blocks(docs.select("doc_id"))
+    sizes = [r["count"] for r in place(docs).groupBy("block").count().collect()]
+    assert max(sizes) < 10 * sorted(sizes)[len(sizes) // 2]
+
+
 def test_odd_rows(spark):
     docs = odd(spark)
     got = check(docs)
