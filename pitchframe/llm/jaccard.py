@@ -30,7 +30,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitchframe.llm.common import NO_ID, ROW, RunHashes, arrow_slices, filled_id, mix, restored_id, row_key, text_slices, word_hashes
@@ -304,8 +304,15 @@ def _components_of(docs: DataFrame, shingle_words: int, percent: int, parts: int
     # Round one: the smallest node of every meeting against the others.
     lead = live.groupBy("signature").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead < last")
     lead = written(lead.select("signature", "lead"), "leads")
-    pairs = written(live.join(lead.hint("merge"), "signature").where("node > lead").select("lead", "node").distinct(), "pairs")
-    nodes = pairs.select(F.explode(F.array("lead", "node")).alias("node")).distinct()
+    met = live.join(lead.hint("merge"), "signature").where("node > lead").select("lead", "node").distinct()
+    met = written(met, "met")
+    # Sizes and sketches rule most unlike pairs out before any text is moved.
+    marks = classes.select("node", "n_shingles", *[F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH_WORDS)])
+    sides = met.join(marks.hint("merge"), "node")
+    leads = marks.withColumnsRenamed({c: f"lead_{c}" for c in marks.columns if c != "node"} | {"node": "lead"})
+    pairs = written(sides.join(leads.hint("merge"), "lead").where(_allowed(percent)).select("lead", "node"), "pairs")
+    # Texts of all that meet: those ruled out here may be compared with others later.
+    nodes = met.select(F.explode(F.array("lead", "node")).alias("node")).distinct()
     nodes = nodes.select(*[F.col(f"node.{c}").alias(c) for c in _NODE])
     texts = _rows(docs).join(nodes.hint("merge"), _NODE).dropDuplicates(_NODE)
     texts = written(texts.select(whose.alias("node"), "text"), "meeting-texts")
@@ -317,7 +324,6 @@ def _components_of(docs: DataFrame, shingle_words: int, percent: int, parts: int
     while not (live := written(_unsettled(rest, comps), "meetings")).isEmpty():
         leaders *= MORE_LEADERS
         rank = F.row_number().over(Window.partitionBy("signature").orderBy("node"))
-        marks = classes.select("node", "n_shingles", *[F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH_WORDS)])
         ranked = written(live.withColumn("rank", rank).join(marks, "node"), "ranked")
         pairs = written(_possible(ranked, leaders, percent), "pairs")
         found = written(_linked(pairs, texts, shingle_words, percent), "links")
@@ -338,16 +344,20 @@ def _unsettled(members: DataFrame, comps: DataFrame) -> DataFrame:
     return members.join(written(several.select("signature"), "unsettled"), "signature")
 
 
+def _allowed(percent: int) -> Column:
+    """Whether sizes and sketches of two sets allow a link."""
+    small, large = F.least("n_shingles", "lead_n_shingles"), F.greatest("n_shingles", "lead_n_shingles")
+    apart = sum((F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"lead_s{i}"))) for i in range(SKETCH_WORDS)), F.lit(0))
+    return (100 * small >= percent * large) & ((100 + percent) * apart <= (100 - percent) * (small + large))
+
+
 def _possible(ranked: DataFrame, leaders: int, percent: int) -> DataFrame:
     """Pairs of a leading node and a later one of another component, as far as sizes and sketches allow a link."""
     sketch = [f"s{i}" for i in range(SKETCH_WORDS)]
     names = {c: f"lead_{c}" for c in ["comp", "n_shingles", *sketch]} | {"node": "lead"}
     lead = ranked.where(F.col("rank") <= leaders).drop("rank").withColumnsRenamed(names)
-    small, large = F.least("n_shingles", "lead_n_shingles"), F.greatest("n_shingles", "lead_n_shingles")
-    apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"lead_{c}"))) for c in sketch), F.lit(0))
-    allowed = (100 + percent) * apart <= (100 - percent) * (small + large)
     meet = (ranked["signature"] == lead["signature"]) & (F.col("node") > F.col("lead")) & (F.col("comp") != F.col("lead_comp"))
-    pairs = ranked.join(lead, meet & (100 * small >= percent * large) & allowed)
+    pairs = ranked.join(lead, meet & _allowed(percent))
     return pairs.select("lead", "node").distinct()
 
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitchframe.llm.common import ROW, WORD, filled_id, restored_id, row_key
@@ -173,6 +173,8 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: floa
     kinds = written(plan.groupBy(*key).agg(F.count("*").alias("__mix_rows"), F.sum("copies").alias("__mix_copies")), "copies")
     marked = docs.withColumns(dict(zip(key, [filled_id(), *row_key("text", "source")])))
     taken = marked.join(kinds.where("__mix_copies > 0").hint("merge"), key)
+    if kinds.where("__mix_rows > 1 AND __mix_copies > 0").isEmpty():
+        return _repeated(taken, F.col("__mix_copies"), docs.columns)
     single = taken.where("__mix_rows = 1").withColumn("__mix_times", F.col("__mix_copies"))
     # Rows of a kind are numbered in salted groups, each starting where those before it end.
     salted = written(taken.where("__mix_rows > 1").withColumn("__mix_salt", F.monotonically_increasing_id() % SALTS), "repeated")
@@ -184,5 +186,10 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: floa
     more = (F.col("__mix_nth") <= F.col("__mix_copies") % F.col("__mix_rows")).cast("long")
     shared = salted.join(counts, [*key, "__mix_salt"]).withColumn("__mix_nth", nth).withColumn("__mix_times", share + more)
     columns = [*docs.columns, "__mix_times"]
-    out = single.select(columns).unionByName(shared.select(columns))
-    return out.select(*docs.columns, F.explode(F.array_repeat(F.lit(True), F.col("__mix_times").cast("int"))).alias("__mix_copy")).select(docs.columns)
+    return _repeated(single.select(columns).unionByName(shared.select(columns)), F.col("__mix_times"), docs.columns)
+
+
+def _repeated(rows: DataFrame, times: Column, columns: list[str]) -> DataFrame:
+    """``columns`` of every row, as often as ``times`` says."""
+    each = F.explode(F.array_repeat(F.lit(True), times.cast("int"))).alias("__mix_copy")
+    return rows.select(*columns, each).select(columns)

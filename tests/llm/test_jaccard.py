@@ -131,3 +131,21 @@ def test_like_sets_meet_at_every_similarity(monkeypatch, percent, parts, differe
             checked += 1
             assert np.intersect1d(jaccard.signatures(a, percent, parts, different), jaccard.signatures(b, percent, parts, different)).size
     assert checked > 100
+
+
+def test_alike_texts_whose_leader_is_unlike_both(spark):
+    """Texts that meet in a common passage, led by one that sizes and sketches rule out at once."""
+    rng = np.random.default_rng(8)
+    passage = [f"p{i}" for i in range(60)]
+    rows = [(0, " ".join(passage + [f"lead{i}" for i in range(70)]))]
+    for family in range(1, 6):
+        words = passage + [f"f{family}_{i}" for i in range(60)]
+        for copy in range(4):
+            changed = list(words)
+            changed[int(rng.integers(60, 120))] = f"c{family}_{copy}"
+            rows.append((len(rows), " ".join(changed)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(texts(docs))
+    assert len({low for _, _, low in want}) > 2
+    got = sorted(map(tuple, jaccard.near_duplicates(docs).collect()))
+    assert got == sorted(want)
