@@ -81,7 +81,8 @@ def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
             here = (F.col("__upto") - F.col("__n") <= rank) & (rank < F.col("__upto"))
             ranks.append(F.max(F.when(here, F.col("value"))).alias(f"{name}_{end}"))
         low, high = F.col(f"{name}_lo"), F.col(f"{name}_hi")
-        quartiles[name] = low + (high - low) * (place - F.floor(place))
+        # two equal neighbours need no interpolation, which would make NaN of infinite ones
+        quartiles[name] = F.when(low == high, low).otherwise(low + (high - low) * (place - F.floor(place)))
     return (
         ranked.groupBy("column", "count", "mean", "min", "max")
         .agg(std.alias("std"), *ranks)

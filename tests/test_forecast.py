@@ -4,7 +4,8 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from pitchframe.operators import calibrate, evaluate, features, forecast
+from pitchframe.functions import numeric
+from pitchframe.operators import calibrate, evaluate, features, forecast, profile
 
 
 def test_outcomes_are_sums_of_the_grid(spark):
@@ -34,6 +35,20 @@ def test_blend_sums_to_one(spark):
     assert abs(row.p_home - (0.75 * 0.5 + 0.25 * 0.2) / (0.75 + 0.25 * 0.6)) < 1e-12
 
 
+def test_no_home_goal_yet(spark):
+    df = spark.createDataFrame([("a", 1.0, 0.0), ("b", 0.0, 0.0), ("c", 1.0, 4.0)], "fixture_id string, attack double, v double")
+    one = F.lit(1.0)
+    home, away = numeric.expected_goals(one, one, F.col("attack"), one, F.col("v"))
+    df = df.select("fixture_id", home.alias("expected_home_goals"), away.alias("expected_away_goals"))
+    a, b, c = df.orderBy("fixture_id").collect()
+    assert (a[1], a[2], b[1], c[1], c[2]) == (0.0, math.inf, 0.0, 2.7, 0.675) and math.isnan(b[2])
+    assert all(math.isnan(r.p_away) == (r.fixture_id != "c") for r in forecast.outcome_probabilities(df).collect())
+    assert forecast.scoreline_grid(df).count() == 3 * 49
+    many = df.where("fixture_id != 'b'").union(df.where("fixture_id = 'a'")).union(df.where("fixture_id = 'a'"))
+    got = profile.describe(many, ["expected_away_goals"]).first()
+    assert (got["mean"], got["p50"], got["max"]) == (math.inf, math.inf, math.inf) and math.isnan(got["std"])
+
+
 def test_absences_lower_expected_goals(spark):
     rated = spark.createDataFrame([("f", "A", "B", 2.0, 1.0)], "fixture_id string, home_team string, away_team string, expected_home_goals double, expected_away_goals double")
     runs = spark.createDataFrame([("f", "A", "GK", 1.0, 1), ("f", "A", "FWD", 0.5, 3)], "fixture_id string, team string, position_group string, starter_minute_share double, consecutive_missed int")
