@@ -1,5 +1,6 @@
 import datetime as dt
 import math
+import re
 import random
 
 import numpy as np
@@ -262,3 +263,32 @@ def test_strengths_of_odd_fixtures(spark, tiny_groups):
     assert len(got) == 62 and got["x1"].home_attack == 1.0 and got["x1"].home_advantage == 1.25
     assert got["x2"].home_attack == 1.0 and got["x2"].away_attack != 1.0
     assert ratings.asof_strengths(df.limit(0)).collect() == []
+
+
+def test_histories_are_never_broadcast_nor_grouped_by_few_tasks(spark, monkeypatch):
+    from pitchframe.plans import ordered, skew
+
+    df = _season(spark, n=120, teams=4)
+    whole = _rolled(df, sweeps=3)
+    rated = ratings.rolling_ratings(df, sweeps=3)
+    plan = rated._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    # tiny tasks: more of them, the same results
+    monkeypatch.setattr(skew, "TASK_ROWS", 5)
+    monkeypatch.setattr(ordered, "TASK_ROWS", 5)
+    assert "hashpartitioning(fixture_id, 48)" in re.sub(r"#\d+", "", ratings.rolling_ratings(df, sweeps=3)._jdf.queryExecution().executedPlan().toString())
+    many = _rolled(df, sweeps=3)
+    assert many.keys() == whole.keys() and all(many[k] == pytest.approx(v, abs=1e-12) for k, v in whole.items())
+
+
+def test_newton_steps_end_where_sweeps_end(spark, monkeypatch):
+    df = _season(spark, n=150, teams=5, seed=4)
+    odd = spark.createDataFrame(
+        [("x1", dt.datetime(2025, 1, 1), None, "T1", 1.0, 1.0), ("x2", dt.datetime(2025, 1, 2), "T2", "T2", 3.0, 1.0), ("x3", dt.datetime(2025, 1, 3), "T2", "T1", None, None)], df.schema
+    )
+    df = df.union(odd)
+    far = _slow_windows(df.where("fixture_id < 'f0100'"), 8, 400)
+    got = _rolled(df)
+    assert max(abs(x - y) for k in far for x, y in zip(got[k][:4], far[k])) < 1e-9
+    # sixteen sweeps suffice for every window, odd ones too
+    assert {r.ratings_converged for r in ratings.rolling_ratings(df, sweeps=16).collect()} == {True}
