@@ -25,6 +25,13 @@ def test_outcomes_are_sums_of_the_grid(spark):
             assert max(abs(x - y) for x, y in zip(got, want[r.fixture_id])) < 1e-12
 
 
+def test_fixtures_are_dealt_before_they_become_scorelines(spark):
+    df = spark.createDataFrame([(f"f{i}", i / 7, i / 5) for i in range(40)], "fixture_id string, h double, a double").coalesce(1)
+    grid = forecast.scoreline_grid(df, "h", "a")
+    used = grid.select(F.spark_partition_id().alias("task")).groupBy("task").count()
+    assert used.count() > 8 and grid.count() == 40 * 49
+
+
 def test_blend_sums_to_one(spark):
     schema = "fixture_id string, p_home double, p_draw double, p_away double"
     a = spark.createDataFrame([("x", 0.5, 0.3, 0.2)], schema)
