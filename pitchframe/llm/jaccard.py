@@ -17,7 +17,8 @@ an order common to all sets, as many as like sets can't differ in (a prefix filt
 Copies are one node, the class of equal sets. Nodes that meet are compared with the smallest
 node of the meeting, not with one another; only where nodes of different components
 remain in a meeting are more of them compared, until none is left, and of these only
-those whose sizes and sketches allow a link. The components hold every link; pairs
+those whose sizes and sketches allow a link: a short sketch of every set, then for the pairs
+that are left one that grows with the set. The components hold every link; pairs
 within a component needn't be listed.
 """
 from __future__ import annotations
@@ -50,8 +51,11 @@ TEXT_BATCH = 2_000_000
 SKETCH_WORDS = 8
 MORE_LEADERS = 16
 
+#: Groups of nodes by hash, of which those that pairs name are broadcast.
+NODE_GROUPS = 1 << 18
+
 _NODE = ["doc_id", *ROW]
-_SETS = "doc_id long, row_a long, row_b long, n_shingles long, d1 long, d2 long, sketch array<long>"
+_SETS = "doc_id long, row_a long, row_b long, n_shingles long, d1 long, d2 long, sketch array<long>, fine binary"
 #: Sets whose signatures a task has given out and won't give out again, at most.
 REMEMBERED = 200_000
 
@@ -153,9 +157,33 @@ def parity_sketch(shingles: np.ndarray) -> np.ndarray:
     An element that only one of two sets has turns one bit, so sketches differ in at most as
     many bits as the sets in elements.
     """
-    cells = 64 * SKETCH_WORDS
+    return _parities(shingles, 64 * SKETCH_WORDS).view("int64")
+
+
+def _parities(shingles: np.ndarray, cells: int) -> np.ndarray:
     odd = np.bincount((shingles >> np.uint64(20)).astype("int64") % cells, minlength=cells) & 1
-    return np.packbits(odd.astype("uint8")).view("int64")
+    return np.packbits(odd.astype("uint8"))
+
+
+def fine_sketch(shingles: np.ndarray) -> bytes | None:
+    """The same with a bit for every element or more, a power of two; None where the short sketch has as many.
+
+    The short one can't tell sets apart that may differ in as many elements as half its bits.
+    """
+    cells = 64 * SKETCH_WORDS
+    if len(shingles) <= cells:
+        return None
+    return _parities(shingles, 1 << (len(shingles) - 1).bit_length()).tobytes()
+
+
+def sketch_distance(a: bytes | None, b: bytes | None) -> int:
+    """Bits in which two fine sketches differ, the longer one folded; 0 if a set has none."""
+    if a is None or b is None:
+        return 0
+    short, long = sorted((np.frombuffer(x, dtype="uint8") for x in (a, b)), key=len)
+    while len(long) > len(short):
+        long = long[: len(long) // 2] ^ long[len(long) // 2 :]
+    return int(np.bitwise_count(short ^ long).sum())
 
 
 def alike(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
@@ -179,7 +207,7 @@ _SALTS = 0xA0761D6478BD642F, 0xE7037ED1A0B428DB
 
 
 def shingle_table(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """Set size, a 128-bit digest of the set, and its sketch, for every row."""
+    """Set size, a 128-bit digest of the set, and its sketches, for every row."""
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in text_slices(batches, "text", TEXT_BATCH):
@@ -192,6 +220,7 @@ def shingle_table(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFr
                     "d1": [_digest(s, _SALTS[0]) for s in sets],
                     "d2": [_digest(s, _SALTS[1]) for s in sets],
                     "sketch": [parity_sketch(s) for s in sets],
+                    "fine": [fine_sketch(s) for s in sets],
                 }
             )
 
@@ -242,8 +271,20 @@ def meetings(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int =
     return signed.repartition("signature").sortWithinPartitions("signature", "d1").mapInArrow(shared, schema)
 
 
+def _named(table: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows of ``table`` (node, ...) whose nodes ``pairs`` may name, found without a shuffle of them.
+
+    What is broadcast are numbers of groups, ``NODE_GROUPS`` at most; where pairs name nodes of all groups, all rows stay.
+    """
+    group = lambda c: F.pmod(F.xxhash64(c), F.lit(NODE_GROUPS)).cast("int")
+    nodes = pairs.select(F.explode(F.array("lead", "node")).alias("node"))
+    groups = nodes.select(group("node").alias("__group")).distinct()
+    return table.withColumn("__group", group("node")).join(F.broadcast(groups), "__group", "left_semi").drop("__group")
+
+
 def _linked(pairs: DataFrame, texts: DataFrame, shingle_words: int, percent: int) -> DataFrame:
     """Those of the ``pairs`` (lead, node) whose whole texts are alike."""
+    texts = _named(texts, pairs)
     sides = pairs.join(texts.select(F.col("node"), F.col("text").alias("text")), "node")
     sides = sides.join(texts.select(F.col("node").alias("lead"), F.col("text").alias("lead_text")), "lead")
 
@@ -293,7 +334,8 @@ def _components_of(docs: DataFrame, shingle_words: int, percent: int, parts: int
     sets = written(shingle_table(docs, shingle_words), "shingle-sets")
     digest = ["d1", "d2", "n_shingles"]
     whose = F.struct(*_NODE)
-    classes = sets.where("n_shingles > 0").groupBy(*digest).agg(F.min(whose).alias("node"), F.first("sketch").alias("sketch"))
+    classes = sets.where("n_shingles > 0").groupBy(*digest)
+    classes = classes.agg(F.min(whose).alias("node"), F.first("sketch").alias("sketch"), F.first("fine").alias("fine"))
     classes = written(classes, "set-classes")
     # The tables have no bound, so all joins sort and merge, at every size.
     several = written(meetings(docs, shingle_words, percent, parts, different, band), "shared-members")
@@ -311,6 +353,8 @@ def _components_of(docs: DataFrame, shingle_words: int, percent: int, parts: int
     sides = met.join(marks.hint("merge"), "node")
     leads = marks.withColumnsRenamed({c: f"lead_{c}" for c in marks.columns if c != "node"} | {"node": "lead"})
     pairs = written(sides.join(leads.hint("merge"), "lead").where(_allowed(percent)).select("lead", "node"), "pairs")
+    fine = classes.select("node", "n_shingles", "fine")
+    pairs = written(_closer(pairs, fine, percent), "pairs")
     # Texts of all that meet: those ruled out here may be compared with others later.
     nodes = met.select(F.explode(F.array("lead", "node")).alias("node")).distinct()
     nodes = nodes.select(*[F.col(f"node.{c}").alias(c) for c in _NODE])
@@ -326,10 +370,13 @@ def _components_of(docs: DataFrame, shingle_words: int, percent: int, parts: int
         rank = F.row_number().over(Window.partitionBy("signature").orderBy("node"))
         ranked = written(live.withColumn("rank", rank).join(marks, "node"), "ranked")
         pairs = written(_possible(ranked, leaders, percent), "pairs")
-        found = written(_linked(pairs, texts, shingle_words, percent), "links")
-        if not found.isEmpty():
-            known = comps.select(F.col("comp").alias("lead"), "node").unionByName(found)
-            comps = written(components(known), "components")
+        pairs = written(_closer(pairs, fine, percent), "pairs")
+        # without pairs no text has to move
+        if not pairs.isEmpty():
+            found = written(_linked(pairs, texts, shingle_words, percent), "links")
+            if not found.isEmpty():
+                known = comps.select(F.col("comp").alias("lead"), "node").unionByName(found)
+                comps = written(components(known), "components")
         rest = ranked.where(F.col("rank") > leaders).select("signature", "node")
 
     labelled = classes.join(comps.hint("merge"), "node", "left").select(*digest, F.coalesce("comp", "node").alias("comp"))
@@ -361,6 +408,20 @@ def _possible(ranked: DataFrame, leaders: int, percent: int) -> DataFrame:
     return pairs.select("lead", "node").distinct()
 
 
+def _closer(pairs: DataFrame, fine: DataFrame, percent: int) -> DataFrame:
+    """Those of the ``pairs`` (lead, node) whose fine sketches allow a link."""
+
+    @F.pandas_udf("int")
+    def apart(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([sketch_distance(x, y) for x, y in zip(a, b)], dtype="int32")
+
+    fine = _named(fine, pairs)
+    leads = fine.withColumnsRenamed({c: f"lead_{c}" for c in fine.columns if c != "node"} | {"node": "lead"})
+    sides = pairs.join(fine.hint("merge"), "node").join(leads.hint("merge"), "lead")
+    near = (100 + percent) * apart("fine", "lead_fine") <= (100 - percent) * (F.col("n_shingles") + F.col("lead_n_shingles"))
+    return sides.where(near).select("lead", "node")
+
+
 def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int = PERCENT, parts: int = PARTS, different: int = DIFFERENT, band: int = BAND) -> DataFrame:
     """doc_id, n_shingles, component_id of every document.
 

@@ -149,3 +149,34 @@ def test_alike_texts_whose_leader_is_unlike_both(spark):
     assert len({low for _, _, low in want}) > 2
     got = sorted(map(tuple, jaccard.near_duplicates(docs).collect()))
     assert got == sorted(want)
+
+
+def test_long_texts_that_share_a_passage_do_not_move(spark, monkeypatch):
+    """Where sets may differ in more elements than the short sketch tells, the fine one rules them out."""
+    rng, moved, verify = random.Random(3), [], jaccard._linked
+    text = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    passage = text(900)
+    rows = [(i, " ".join(text(2100) + passage)) for i in range(6)]
+    rows.append((9, rows[0][1] + " more"))
+
+    def counted(pairs, *rest):
+        moved.append(pairs.count())
+        return verify(pairs, *rest)
+
+    monkeypatch.setattr(jaccard, "_linked", counted)
+    assert result(spark.createDataFrame(rows, "doc_id long, text string"), shingle_words=5, percent=80, parts=1, different=0) == [
+        (i, 2996 + (i == 9), 0 if i == 9 else i) for i in [0, 1, 2, 3, 4, 5, 9]
+    ]
+    assert sum(moved) == 1
+
+
+@pytest.mark.parametrize("n,other", [(600, 700), (1000, 1200), (3000, 3500), (4096, 4097)])
+def test_fine_sketches_differ_in_no_more_bits_than_the_sets(n, other):
+    rng = np.random.default_rng(n)
+    a = np.unique(rng.integers(0, 1 << 63, n, dtype="uint64"))
+    for shared in (0, n // 2, n - 3, n):
+        b = np.unique(np.concatenate([a[:shared], rng.integers(0, 1 << 63, other - shared, dtype="uint64")]))
+        far = jaccard.sketch_distance(jaccard.fine_sketch(a), jaccard.fine_sketch(b))
+        assert far <= len(np.setxor1d(a, b)) and far % 2 == len(np.setxor1d(a, b)) % 2
+    assert far < 200 or other - n > 100
+    assert jaccard.sketch_distance(jaccard.fine_sketch(a), jaccard.fine_sketch(a[:400])) == 0
