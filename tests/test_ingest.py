@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pitchframe import schemas
-from pitchframe.functions import text
+from pitchframe.functions import numeric, text
 from pitchframe.operators import clean, ingest
 from pitchframe.plans.scratch import scratch_path
 from pitchframe.sources import landed
@@ -200,3 +200,14 @@ def test_one_season_landed_again_leaves_the_others(spark, tmp_path):
     assert spark.read.parquet(path).count() == 2
     with pytest.raises(ValueError):
         landed.write_table(df, path, others="keep")
+
+
+def test_no_cast_fails_for_texts_of_digits_and_signs(spark):
+    """A season or a date looks like a number at both ends; casting it would throw once a row."""
+    good = {"1": 1.0, "-1.5": -1.5, "+.5": 0.5, "3.": 3.0, "2e3": 2000.0, "1E-2": 0.01, "00012": 12.0}
+    bad = ["2023-2024", "2023/2024", "1,5", "1-2", "+", "1e", "0x1p3", "1.5f", "1\x00", "\x01" + "1", "1\n", "9:30"]
+    df = spark.createDataFrame([(t,) for t in [*good, *bad]], "t string")
+    got = dict(df.select("t", numeric.number_of(F.col("t"))).collect())
+    assert got == {**good, **{t: None for t in bad}}
+    cast = df.where(F.col("t").rlike(numeric._DECIMAL)).select("t").collect()
+    assert {r.t for r in cast} <= {*good, "1"}
