@@ -170,3 +170,13 @@ def test_blend_keeps_fixtures_of_one_set(spark):
     b = spark.createDataFrame([("y", 0.2, 0.2, 0.6), ("z", 0.1, 0.1, 0.8)], schema)
     got = {r["fixture_id"]: round(r[1], 6) for r in forecast.blend_probabilities(a, b).collect()}
     assert got == {"x": 0.5, "y": 0.2, "z": 0.1}
+
+
+def test_features_are_dealt_by_fixture_over_all_cores(spark):
+    days = [dt.datetime(2024, 8, 1) + dt.timedelta(days=d) for d in range(80)]
+    rows = [(f"f{i:03d}", day, f"T{i % 7}", f"T{7 + i % 5}", float(i % 3), float(i % 2)) for i, day in enumerate(days)]
+    games = spark.createDataFrame(rows, "fixture_id string, date timestamp_ntz, home_team string, away_team string, home_goals double, away_goals double")
+    elo = spark.createDataFrame([("T1", days[0], 1500.0)], "team string, date timestamp_ntz, elo double")
+    for table in (features.team_features(games), features.elo_asof(games, elo)):
+        used = table.select(F.spark_partition_id().alias("task")).groupBy("task").count()
+        assert used.count() > 4 and table.count() == 80

@@ -292,3 +292,14 @@ def test_newton_steps_end_where_sweeps_end(spark, monkeypatch):
     assert max(abs(x - y) for k in far for x, y in zip(got[k][:4], far[k])) < 1e-9
     # sixteen sweeps suffice for every window, odd ones too
     assert {r.ratings_converged for r in ratings.rolling_ratings(df, sweeps=16).collect()} == {True}
+
+
+def test_windows_fitted_a_few_at_once_are_the_same(spark, monkeypatch):
+    columns = ["fixture_id", *ratings.RATING_COLUMNS, "expected_home_goals", "ratings_converged"]
+    got = {}
+    for at_once in (7, 100_000):
+        monkeypatch.setattr(ratings, "FIT_WINDOWS", at_once)
+        got[at_once] = sorted(tuple(r) for r in ratings.rolling_ratings(_season(spark), 5).select(*columns).collect())
+    assert len(got[7]) == 120 and all(r[-1] for r in got[7])
+    for few, all_ in zip(got[7], got[100_000]):
+        assert few[0] == all_[0] and max(abs(a - b) for a, b in zip(few[1:6], all_[1:6])) < 1e-9
